@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerscope.llm import oracles, quality_rules, substring_dedup
+from offerscope.llm import jaccard_join, oracles, quality_rules, substring_dedup
 from offerscope.llm.shared import table
 
 
@@ -14,12 +14,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
