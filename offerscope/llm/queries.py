@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerscope.llm import jaccard_join, oracles, quality_rules, substring_dedup
+from offerscope.llm import decontaminate, hash_tree, jaccard_join, oracles, quality_rules, secret_scan, substring_dedup
 from offerscope.llm.shared import table
 
 
@@ -14,17 +14,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.place(table(spark, sf_dir, "documents"), hash_tree.Tree(40))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_hash_tree_sharding": op2_hash_tree_sharding,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
