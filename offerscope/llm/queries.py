@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerscope.llm import decontaminate, hash_tree, jaccard_join, oracles, quality_rules, secret_scan, substring_dedup
+from offerscope.llm import decontaminate, hash_tree, jaccard_join, oracles, packing, quality_gbdt, quality_rules, secret_scan, substring_dedup, toxicity, warc
 from offerscope.llm.shared import table
 
 
@@ -18,6 +18,29 @@ def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.place(table(spark, sf_dir, "documents"), hash_tree.Tree(40))
 
 
+def op3_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbdt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def byte_bpe() -> str:
+    """Place of the tokenizer file; public_tokenizers comes with the installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), end_id=1)
+
+
+def op5_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -37,6 +60,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_hash_tree_sharding": op2_hash_tree_sharding,
+    "op3_quality_gbdt": op3_quality_gbdt,
+    "op4_vector_packing": op4_vector_packing,
+    "op5_zstd_warc": op5_zstd_warc,
+    "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_secret_scan": op8_secret_scan,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,

@@ -56,6 +56,12 @@ class Words:
     end: np.ndarray
     doc: np.ndarray
     hash: np.ndarray
+    total: np.ndarray | None = None
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hash of each word's first `size` bytes."""
+        stop = np.minimum(self.end, self.start + size)
+        return mix((self.total[stop] - self.total[self.start]) * _powers(_INVERSE, len(self.total))[self.start])
 
     def first(self) -> np.ndarray:
         """Index of each document's first word, with the number of words as last entry."""
@@ -84,15 +90,15 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return (np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)), offsets
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Word table of the texts between offsets."""
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Word table of the texts between offsets; `space` marks the bytes between words."""
     at = int(offsets[0])
     b = data[at : int(offsets[-1])]
     off = offsets - at
     n = len(b)
     if lower:
         b = LOWER[b]
-    inside = ~SPACE[b]
+    inside = ~space[b]
     begin, stop = inside.copy(), inside.copy()
     if n:
         begin[1:] &= ~inside[:-1]
@@ -104,7 +110,9 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[b] * _powers(_BASE, n), out=total[1:])
     h = mix((total[end] - total[start]) * _powers(_INVERSE, n + 1)[start])
-    return Words(0, len(offsets) - 1, b, off, start, end, np.searchsorted(off, start, "right") - 1, h)
+    w = Words(0, len(offsets) - 1, b, off, start, end, np.searchsorted(off, start, "right") - 1, h)
+    w.total = total
+    return w
 
 
 def ranges(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -116,11 +124,11 @@ def ranges(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = min(hi, rows)
 
 
-def word_tables(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Words]:
+def word_tables(column: pa.Array | pa.ChunkedArray, lower: bool = False, space: np.ndarray = SPACE) -> Iterator[Words]:
     """Word tables of a column, slice by slice, in row order."""
     data, offsets = buffers(column)
     for lo, hi in ranges(offsets):
-        w = split(data, offsets[lo : hi + 1], lower)
+        w = split(data, offsets[lo : hi + 1], lower, space)
         w.lo, w.hi = lo, hi
         yield w
 
