@@ -119,3 +119,9 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, id_col
     rows = docs.join(pairs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item")
     found = rows.mapInArrow(_verify(percent), "doc_id long, item_id long, n_item long, n_shared long")
     return found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows, with all their columns, of documents that contain no item; rows without doc_id stay."""
+    leaks = contained_items(docs, items, percent).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)

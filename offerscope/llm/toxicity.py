@@ -32,7 +32,7 @@ from offerscope.llm.labelled import remainder
 from offerscope.llm.words import Words, word_tables
 
 POSITIVES, UNLABELLED = 4_000, 16_000
-FEATURES = 2_048
+FEATURES = 512
 PLACES = 18
 FOLD, HELD_OUT = 3, 1
 THRESHOLD = 0.7
