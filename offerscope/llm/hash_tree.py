@@ -43,32 +43,19 @@ class Tree:
         return [racks[i : i + self.racks] for i in range(0, len(racks), self.racks)]
 
 
-def _draw(key: Column, leaf: int, weight: float) -> Column:
-    digits = F.substring(F.md5(F.concat(key, F.lit(f"/{leaf}"))), 1, 13)
+def _draw(key: Column, leaf: Column) -> Column:
+    digits = F.substring(F.md5(F.concat(key, F.lit("/"), leaf["leaf"].cast("string"))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 1.0) / float(1 << 52)
-    return -F.log(u) / F.lit(float(weight))
+    return F.struct((-F.log(u) / leaf["weight"]).alias("draw"), leaf["leaf"].alias("leaf"))
 
 
-def _descend(draws: Column, tree: Tree) -> Column:
-    """Shard of a row from the array of its leaves' draws."""
-    at = lambda i: F.element_at(draws, i + 1)
-    least = lambda xs: xs[0] if len(xs) == 1 else F.least(*xs)
-
-    def choose(options: list[tuple[Column, Column]]) -> Column:
-        """Of (draw, result), the result with the least draw; the first one on a tie."""
-        best = least([d for d, _ in options])
-        out = options[-1][1]
-        for d, r in reversed(options[:-1]):
-            out = F.when(d == best, r).otherwise(out)
-        return out
-
-    regions = []
-    for region in tree.regions():
-        racks = []
-        for rack in region:
-            racks.append((least([at(i) for i, _ in rack]), choose([(at(i), F.lit(i)) for i, _ in rack])))
-        regions.append((least([d for d, _ in racks]), choose(racks)))
-    return choose(regions)
+def _descend(key: Column, tree: Tree) -> Column:
+    """Shard of a row: the least (draw, leaf) of a rack, of a region, of all; ties go to the lower leaf."""
+    literal = lambda leaf: F.struct(F.lit(leaf[0]).alias("leaf"), F.lit(float(leaf[1])).alias("weight"))
+    regions = F.array(*(F.array(*(F.array(*map(literal, rack)) for rack in region)) for region in tree.regions()))
+    in_rack = lambda rack: F.array_min(F.transform(rack, lambda leaf: _draw(key, leaf)))
+    in_region = lambda region: F.array_min(F.transform(region, in_rack))
+    return F.array_min(F.transform(regions, in_region))["leaf"]
 
 
 def place(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,15 +63,15 @@ def place(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
     grown = Tree(tree.shards + 1, tree.per_rack, tree.racks, tree.weights)
-    leaves = [leaf for region in grown.regions() for rack in region for leaf in rack]
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.substring(F.md5(key), 1, 2).alias("bucket"),
-        F.array(*(_draw(key, i, w) for i, w in leaves)).alias("draws"),
+        F.lit("key").alias("law"),
+        _descend(key, tree).cast("int").alias("shard"),
+        _descend(key, grown).cast("int").alias("grown_shard"),
     )
-    rows = rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), _descend(F.col("draws"), tree).cast("int").alias("shard"), "bucket", _descend(F.col("draws"), grown).cast("int").alias("grown_shard"))
     counts = rows.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))  # at most shards x BUCKETS rows
