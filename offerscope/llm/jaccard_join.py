@@ -9,12 +9,15 @@ tokens of one group is a signature. A group with m tokens loses its last pair on
 tokens are missing, so it counts m - 1. Two sets over the threshold always share a signature.
 
 Equal sets form one class, which joins once. Candidates come in two passes:
-1. in each signature's bucket, every class is paired with the bucket's leader (four fixed
-   orders, so that a group of near copies has few leaders), and the links give components;
-2. buckets that still hold several components give all pairs across components, of which one
-   side is outside of the bucket's largest component.
+1. in each signature's bucket, every class is paired with the bucket's leader (the least in one
+   of four fixed orders), of which it keeps the three it shares most signatures with, and the
+   links give components;
+2. buckets that still hold several components give the pairs across components, of which one
+   side is outside of the bucket's largest component. Classes that share large buckets form
+   communities; these are compared in blocks by their bitmaps, each pair once, so that a group
+   of thousands of near copies doesn't give the same pair for each signature.
 Pairs within a component need no check, as a component is all that is asked for, so a group
-of g near copies costs about 4 g checks and not g * g. A pair is checked by size, then by
+of g near copies costs about 3 g checks and not g * g. A pair is checked by size, then by
 parity bitmaps (their Hamming distance bounds the symmetric difference from below, so no link
 is lost), then exactly on the texts, salted by leader.
 
@@ -32,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerscope.llm.components import components
@@ -40,11 +43,21 @@ from offerscope.llm.shared import written
 from offerscope.llm.words import Words, crossing, mix, word_tables
 
 #: Most frequent tokens that are told apart; 16 bytes each in every Python worker.
-FREQUENT = 500_000
+FREQUENT = 1_500_000
 #: Documents that must hold a token, at least, for it to be frequent.
-LEAST_COUNT = 6
-#: Tokens of one task that are counted together; a token met once in such a run isn't counted.
+LEAST_COUNT = 4
+#: Tokens whose hash is in this lowest share of all are counted exactly: these come first in the order, so
+#: prefixes consist of them. Of the others those are counted that a run of COUNT_RUN tokens holds twice.
+EXACT_SHARE = 0.4
 COUNT_RUN = 2_000_000
+#: Leaders with which a class is paired in the first pass, those with the most shared signatures.
+LEADERS = 3
+#: Classes in a bucket that still holds several components, over which its classes are compared by communities.
+BUCKET = 32
+#: Classes of a community that are compared with as many others in one step.
+BLOCK = 2_000
+#: Ids of candidates that are broadcast to keep other texts from the shuffle, if there are no more than so many.
+BROADCAST_IDS = 1_000_000
 #: Members checked with one leader in one task.
 LEADER_SHARE = 500
 _DOC = np.uint64(0x9E3779B97F4A7C15)
@@ -73,6 +86,8 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counter(k: int) -> Callable:
+    exact = np.uint64(int(EXACT_SHARE * 2**64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -80,8 +95,8 @@ def _counter(k: int) -> Callable:
             if held:
                 h, n = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
-                if (n > 1).any():
-                    yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
+                keep = (n > 1) | (h < exact)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
 
         for batch in batches:
             for w in word_tables(batch.column(0), lower=True):
@@ -199,6 +214,56 @@ def _near(percent: int) -> Callable:
     return run
 
 
+def _blocks(percent: int) -> Callable:
+    """Rows sorted by (community, low, high) of the blocks they are compared with: pairs across components that may be near."""
+
+    def compare(rows: dict[str, list], low: int, high: int) -> pa.RecordBatch:
+        n, c, block, cls = (np.array(rows[k], np.int64) for k in ("n", "c", "block", "cls"))
+        width = np.array([len(x) for x in rows["bits"]])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in np.unique(width).tolist():
+            wide = np.flatnonzero((width == size) | (width == 2 * size))  # bitmaps of twice the width are folded
+            raw = [np.frombuffer(rows["bits"][i], np.uint8) for i in wide.tolist()]
+            bits = np.stack([x if len(x) == size else x[:size] ^ x[size:] for x in raw]).view(np.uint64)
+            own = width[wide] == size
+            for at in np.flatnonzero(own).tolist():
+                i = wide[at]
+                ok = (c[wide] != c[i]) & (100 * np.minimum(n[wide], n[i]) >= percent * np.maximum(n[wide], n[i])) & (~own | (np.arange(len(wide)) > at))
+                if low != high:
+                    ok &= block[wide] != block[i]
+                at_ok = np.flatnonzero(ok)
+                if len(at_ok):
+                    apart = np.bitwise_count(bits[at_ok] ^ bits[at]).sum(1, dtype=np.int64)
+                    j = wide[at_ok[(100 + percent) * apart <= (100 - percent) * (n[wide[at_ok]] + n[i])]]
+                    found.append((np.full(len(j), i), j))
+        i, j = (np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.int64) for x in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("community", "low", "high", "block", "cls", "n", "c", "bits")
+        cell, rows = None, {k: [] for k in names}
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
+                if row[:3] != cell:
+                    if cell:
+                        yield compare(rows, *cell[1:])
+                    cell, rows = row[:3], {k: [] for k in names}
+                for k, v in zip(names, row, strict=True):
+                    rows[k].append(v)
+        if cell:
+            yield compare(rows, *cell[1:])
+
+    return run
+
+
+def _across(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) across components within communities (classes joined by large buckets), block by block."""
+    count = groups.groupBy("community").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = groups.join(count, "community").join(classes.select("cls", "n", "c", "bits"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("community", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "n", "c", "bits")
+    return rows.repartition("community", "low", "high").sortWithinPartitions("community", "low", "high").mapInArrow(_blocks(percent), "a long, b long")
+
+
 def _checker(k: int, percent: int) -> Callable:
     """Rows sorted by (u, salt, member): the leader's text lies before those of the members."""
 
@@ -232,6 +297,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
     sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / LEADER_SHARE).cast("int").alias("salts"))
     leaders = sizes.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("u").alias("v"))
     asked = pairs.join(sizes, "u").select("u", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"), F.lit(True).alias("member"), "v").unionByName(leaders)
+    asked = written(asked, "asked")
+    wanted = asked.select(F.col("v").alias("doc_id")).distinct()
+    if wanted.count() <= BROADCAST_IDS:  # else the texts meet their requests by a shuffle alone
+        texts = texts.join(F.broadcast(wanted), "doc_id", "left_semi")
     rows = texts.join(asked, texts.doc_id == asked.v).select("u", "salt", "member", "v", "text")
     rows = rows.repartition(F.col("u"), F.col("salt")).sortWithinPartitions("u", "salt", "member")
     return written(rows.mapInArrow(_checker(k, percent), "u long, v long"), "links")
@@ -252,18 +321,22 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     order = F.element_at(F.array(*(F.lit(x).cast("long") for x in _ORDERS)), (F.pmod("sig", F.lit(len(_ORDERS))) + 1).cast("int"))
     buckets = rows.groupBy("sig").agg(F.min(F.col("cls").bitwiseXOR(order)).alias("low"), F.max(F.col("cls").bitwiseXOR(order)).alias("high")).filter("low < high")
     shared = written(rows.join(buckets.select("sig", F.col("low").bitwiseXOR(order).alias("leader")), "sig").select("sig", "cls", "leader").distinct(), "buckets")
-    stars = shared.filter("cls <> leader").select(F.least("cls", "leader").alias("x"), F.greatest("cls", "leader").alias("y"), F.col("leader").alias("a"), F.col("cls").alias("b"))
-    stars = stars.dropDuplicates(["x", "y"]).select("a", "b")
-    links = _verified(stars, classes, texts, k, percent)
+    stars = shared.filter("cls <> leader").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).count()
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))  # a class has no more leaders than signatures
+    links = _verified(stars.withColumn("place", place).filter(F.col("place") <= LEADERS).select("a", "b"), classes, texts, k, percent)
     found = components(links)
 
     # buckets that hold several components: pairs across them, one side outside of the largest
     placed = shared.join(classes.select("cls", "rep", "n"), "cls").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "cls", "n", F.coalesce("component", "rep").alias("c"))
-    parts = placed.groupBy("sig", "c").count()
-    split = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.max(F.struct("count", "c")).alias("top")).filter("parts > 1").select("sig", F.col("top.c").alias("top"))
+    parts = placed.groupBy("sig", "c").agg(F.count("*").alias("count"), F.min("cls").alias("first"))
+    split = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("count").alias("size"), F.min("first").alias("first"), F.max(F.struct("count", "c")).alias("top")).filter("parts > 1").select("sig", "size", "first", F.col("top.c").alias("top"))
     open_rows = written(placed.join(split, "sig"), "open")
-    few = open_rows.filter("c <> top").select("sig", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    rest = few.join(open_rows, "sig").filter(f"c_a <> c and 100 * least(n_a, n) >= {percent} * greatest(n_a, n)").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+    large = open_rows.filter(F.col("size") > BUCKET)
+    groups = components(large.select(F.col("cls").alias("u"), "first").distinct().select("u", F.col("first").alias("v"))).withColumnRenamed("node", "cls").withColumnRenamed("component", "community")
+    small = open_rows.filter(F.col("size") <= BUCKET).join(groups, "cls", "left").select("sig", "cls", "n", "c", "top", F.coalesce("community", "cls").alias("community"))
+    few = small.filter("c <> top").select("sig", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("community").alias("g_a"))
+    rest = few.join(small, "sig").filter(f"c_a <> c and g_a <> community and 100 * least(n_a, n) >= {percent} * greatest(n_a, n)").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+    rest = rest.unionByName(_across(groups, classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")), percent))
     more = _verified(rest, classes, texts, k, percent)
     if more.limit(1).count():
         found = components(links.unionByName(more))
@@ -271,3 +344,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     out = live.select("doc_id", "n", "cls").join(home, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(sets.filter("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, with all their columns, of each component's document with the least doc_id.
+
+    Rows without shingles or doc_id stay; of rows that repeat a doc_id one stays.
+    """
+    own = jaccard_components(docs, k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(own, docs.doc_id == own.kept_id)
+    first = F.row_number().over(Window.partitionBy("kept_id").orderBy("kept_id"))  # the join has them in this order
+    kept = kept.withColumn("kept_row", first).filter("kept_row = 1").select(*(docs[c] for c in docs.columns))
+    return kept.unionByName(docs.filter("doc_id is null"))

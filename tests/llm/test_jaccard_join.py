@@ -41,8 +41,8 @@ def test_equals_brute_force(edge, edge_rows, empty):
     assert got(empty) == Counter()
 
 
-@pytest.mark.parametrize("least", [2, 6, 10**9])
-def test_any_split_into_frequent_and_rare_gives_the_same(spark, monkeypatch, least):
+@pytest.mark.parametrize(("least", "bucket", "block"), [(2, 32, 2000), (6, 1, 3), (2, 1, 2), (10**9, 2, 5)])
+def test_any_split_into_frequent_and_rare_gives_the_same(spark, monkeypatch, least, bucket, block):
     rng = random.Random(least)
     vocab = [f"v{i}" for i in range(300)]
     rows = []
@@ -56,6 +56,9 @@ def test_any_split_into_frequent_and_rare_gives_the_same(spark, monkeypatch, lea
                 copy = copy[rng.randint(0, 2) :]
             rows.append((len(rows), " ".join(copy)))
     monkeypatch.setattr(op, "LEAST_COUNT", least)
+    monkeypatch.setattr(op, "BUCKET", bucket)
+    monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "LEADERS", 1)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute(rows)
     assert 12 <= len({c for _, _, c in expected}) < len(rows)
