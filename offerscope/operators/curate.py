@@ -113,7 +113,7 @@ def near_dup_clusters(docs: DataFrame, similarity: float = 0.8, key: str = "doc_
     from pyspark.ml.feature import HashingTF, MinHashLSH, NGram, RegexTokenizer
 
     items = docs.filter(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("digest")).agg(F.min(key).alias("u"))
-    texts = docs.join(items, docs[key] == items["u"]).select("u", text)
+    texts = docs.join(items, docs[key] == items["u"]).select("u", F.coalesce(text, F.lit("")).alias(text))
     grams = NGram(n=5, inputCol="words", outputCol="grams").transform(RegexTokenizer(inputCol=text, outputCol="words", pattern="\\s+").transform(texts))
     vectors = HashingTF(inputCol="grams", outputCol="vector", binary=True, numFeatures=1 << 20).transform(grams.filter(F.size("grams") > 0)).select("u", "vector")
     model = MinHashLSH(inputCol="vector", outputCol="hashes", numHashTables=8, seed=5).fit(vectors)
@@ -145,10 +145,15 @@ def _collapse(text: str, most: int = 8) -> str:
         i = 0
         while i < len(lines):
             block = lines[i : i + size]
-            out += block
-            i += len(block)
-            while len(block) == size and any(x.strip() for x in block) and lines[i : i + size] == block:
-                i += size
+            again = i + size
+            while len(block) == size and any(x.strip() for x in block) and lines[again : again + size] == block:
+                again += size
+            if again > i + size:
+                out += block
+                i = again
+            else:
+                out.append(lines[i])
+                i += 1
         lines = out
     return "\n".join(lines)
 
