@@ -49,7 +49,7 @@ LEAST_COUNT = 4
 #: Tokens whose hash is in this lowest share of all are counted exactly: these come first in the order, so
 #: prefixes consist of them. Of the others those are counted that a run of COUNT_RUN tokens holds twice.
 EXACT_SHARE = 0.4
-COUNT_RUN = 2_000_000
+COUNT_RUN = 1_000_000
 #: Leaders with which a class is paired in the first pass, those with the most shared signatures.
 LEADERS = 3
 #: Classes in a bucket that still holds several components, over which its classes are compared by communities.

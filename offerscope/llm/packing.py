@@ -41,7 +41,7 @@ from tokenizers import Tokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Words whose ids a worker remembers: twice so many.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Fixed value: the usual pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -68,10 +68,17 @@ class Words(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        ranks = _merge_ranks(json.loads(self.tokenizer.to_str()))
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.path, self.old, self._tokenizer = path, {}, Tokenizer.from_file(path)
+        self.special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        ranks = _merge_ranks(json.loads(self._tokenizer.to_str()))
+        self.encode = self.whole
+        if ranks:
+            self.encode, self._tokenizer = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, None  # loaded again only if asked for
+
+    def whole(self, text: str) -> list[int]:
+        """The tokenizer's own ids."""
+        self._tokenizer = self._tokenizer or Tokenizer.from_file(self.path)
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, chunk: str) -> bytes:
         out = self.old.get(chunk)
@@ -110,7 +117,7 @@ def token_bytes(path: str, text: str) -> bytes:
         _KNOWN[path] = Words(path)
     words = _KNOWN[path]
     if any(t in text for t in words.special):
-        return np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(words.whole(text), "<u4").tobytes()
     return b"".join(map(words.__getitem__, _CHUNK.findall(text)))
 
 
