@@ -1,5 +1,9 @@
 """Training sets without leaks, and evaluation of retrieval and classification."""
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,3 +133,45 @@ def check_embeddings(rows: DataFrame, key: str, vector: str, size: int) -> DataF
     """Rows whose vector has another dimension or a value that isn't finite."""
     bad = F.exists(vector, lambda x: F.isnan(x) | x.isNull() | (F.abs(x) == float("inf")))
     return rows.filter(F.col(vector).isNull() | (F.size(vector) != size) | bad).select(key)
+
+
+#: Tokens of the training rows: words with inner numbers and paths, or single marks.
+TOKEN = re.compile(r"\w+(?:[.,/]\w+)*|[^\w\s]")
+
+
+def bio_tags(evidence: str, facts: list[tuple[str, str]]) -> tuple[list[str], list[str]] | None:
+    """Tokens and their tags for facts (text, label): the longest first, later ones only where they overlap none; None if all are O."""
+    spans: list[tuple[int, int, str]] = []
+    for text, label in sorted(facts, key=lambda f: -len(f[0])):
+        a = evidence.find(text) if text else -1
+        if a >= 0 and all(a + len(text) <= b or e <= a for b, e, _ in spans):
+            spans.append((a, a + len(text), label))
+    spans.sort()
+    tokens, tags, at = [], [], 0
+    for m in TOKEN.finditer(evidence):
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        inside = at < len(spans) and spans[at][0] < m.end()
+        first = inside and not any(t.end() > spans[at][0] for t in tokens[-1:])
+        tokens.append(m)
+        tags.append(("B-" if first else "I-") + spans[at][2] if inside else "O")
+    return ([m[0] for m in tokens], tags) if set(tags) - {"O"} else None
+
+
+def silver_bio_rows(facts: DataFrame) -> DataFrame:
+    """(doc_id, evidence, tokens, tags) of facts (doc_id, evidence, fact_text, label); rows without a tag are left out.
+
+    Facts are distinct and a document has few (they are capped when extracted), so a group is short. Facts of equal length go by
+    text and label. Null evidence or fact text gives no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tagged = [bio_tags(e, [(f["fact_text"], f["label"]) for f in fs]) for e, fs in zip(batch["evidence"], batch["facts"], strict=True)]
+            keep = [t is not None for t in tagged]
+            rows = [t for t in tagged if t]
+            yield batch.loc[keep, ["doc_id", "evidence"]].assign(tokens=[a for a, _ in rows], tags=[b for _, b in rows])
+
+    said = facts.filter("evidence is not null and fact_text is not null and label is not null")
+    groups = said.groupBy("doc_id", "evidence").agg(F.array_sort(F.collect_set(F.struct("fact_text", "label"))).alias("facts"))
+    return groups.mapInPandas(run, "doc_id long, evidence string, tokens array<string>, tags array<string>")

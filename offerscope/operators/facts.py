@@ -145,3 +145,97 @@ def merge_fact_sources(stored: DataFrame, derived: DataFrame) -> DataFrame:
 
 def fact_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+
+
+# Patterns that the folded evidence of a claimed fact must contain, all of them, by type of fact.
+AMOUNT, PERCENT, DIGIT = r"\d[\d., ]*\s*(?:tl|try|turk lirasi)\b", "%|yuzde", r"\d"
+MONTHS = r"\b\d{1,4}\s*(?:ay(?:a|lik)?|yil(?:a|lik)?|gun(?:e|luk)?)\b"
+DAY = r"\b\d{1,2}\s+(?:ocak|subat|mart|nisan|mayis|haziran|temmuz|agustos|eylul|ekim|kasim|aralik)\b"
+CLAIMS = {
+    "FINANSMAN_TUTARI": ("finansman", AMOUNT),
+    "FINANSMAN_ORANI": ("finansman", PERCENT),
+    "GEREKLI_BELGE": ("belge|nufus|ehliyet|pasaport|gelir|bordro|tapu|ikametgah|fatura",),
+    "BASVURU_KANALI": ("basvuru|sube|internet|web sitesi|online|mobil|iletisim merkezi",),
+    "ODEME_PLANI": ("odeme|taksit",),
+    "VERGI_MUAFIYETI": ("kkdf|bsmv|vergi.*muaf|muaf.*vergi",),
+    "SIGORTA_KOSULU": ("sigorta|dask|deprem",),
+    "ERKEN_ODEME_KOSULU": ("erken", "odeme"),
+    "TEMINAT": ("teminat|ipotek|kefil",),
+    "HARCAMA_ESIGI": ("harcama", AMOUNT),
+    "INDIRIM_ORANI": ("indirim", PERCENT),
+    "KAMPANYA_SURESI": ("kampanya", rf"{MONTHS}|{DAY}|\b20\d{{2}}\b"),
+    "KAR_PAYI_ORANI": ("kar payi|kar orani", DIGIT),
+    "KAR_PAYLASIM_ORANI": ("paylasim", rf"{PERCENT}|{DIGIT}"),
+    "MASRAF_DURUMU": ("masraf|ucret|komisyon|muaf",),
+    "ODUL_MIKTARI": ("odul|puan|iade", DIGIT),
+    "TAHSIS_UCRETI": ("tahsis", rf"{AMOUNT}|{PERCENT}"),
+    "TAKSIT_SAYISI": ("taksit", DIGIT),
+    "VADE_SURESI": ("vade", MONTHS),
+    "ALISVERIS_PUANI": ("puan", DIGIT),
+}
+
+
+def recover_evidence(text: Column, claimed: Column) -> Column:
+    """The passage of a text that equals a claimed one but for case and kinds of white space; null without one."""
+    said = F.trim(F.regexp_replace(claimed, r"\s+", " "))
+    literal = F.regexp_replace(said, r"([^\p{L}\p{M}\p{N}_ ])", r"\\$1")
+    return F.when(said != "", F.regexp_substr(text, F.concat(F.lit("(?iu)"), F.replace(literal, F.lit(" "), F.lit(r"\s+")))))
+
+
+def validate_claimed_facts(claims: DataFrame, docs: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
+    """Claims (key, fact_type, fact_text, evidence, confidence and others) with the evidence as the source has it and the reason of a rejection.
+
+    Checked in order: confidence, evidence in the source, fact in the evidence, patterns of the type; null reason: accepted.
+    Claims without a document have no evidence. Only claims of enough confidence ask for texts.
+    """
+    sure = F.coalesce(F.col("confidence") >= least, F.lit(False))
+    sources = docs.select(F.col(key).alias("_key"), F.col("text").alias("_source"))
+    rows = claims.join(sources, (F.col(key) == F.col("_key")) & sure, "left").withColumn("_found", F.when(sure, recover_evidence(F.col("_source"), F.col("evidence"))))
+    folded = fold_text("_found")
+    inside = F.coalesce(F.instr(folded, fold_text("fact_text")) > 0, F.lit(False))
+    met = F.lit(True)
+    for kind, patterns in CLAIMS.items():
+        for p in patterns:
+            met = met & ((F.col("fact_type") != kind) | folded.rlike(p))
+    reason = F.when(~sure, "low_confidence").when(F.col("_found").isNull(), "evidence_not_in_source").when(~inside, "fact_not_in_evidence").when(~F.coalesce(met, F.lit(True)), "label_rule_failed")
+    return rows.withColumn("reason", reason).withColumn("evidence", F.coalesce("_found", "evidence")).drop("_found", "_source", "_key")
+
+
+# Application channels (specific ones, then the plain branch), cues of free use and of tax exemption, on folded text.
+CHANNELS = (
+    r"\bmobil sube\b", r"\bmobil uygulama(?:si|dan|mizdan)?\b", r"\binternet sube(?:si|den|mizden)?\b", r"\bweb sitesi(?:nden)?\b",
+    r"\bonline basvuru\b", r"\bcagri merkezi(?:nden)?\b", r"\bmusteri iletisim merkezi(?:nden)?\b", r"\bgoruntulu gorusme\b",
+)
+BRANCH = r"\bsube(?:lerimiz|miz|den|ye)?\b"
+NOT_NEEDED = r"(?!.{0,12}gitmeden)"
+OPERATION, ABLE = "islem|alim satim|hesap acilis", "yapabilir|gerceklestirebilir|acabilirsiniz"
+FREE = r"masrafsiz|ucret alinmaz|masraf alinmaz|herhangi bir ucret alinmamaktadir|ucretsiz olarak kullan|islemler ucretsiz|islem ucretsiz|basvuru ucretsiz|hesap acilis ucretsiz"
+FREE_OF = "urun|finansman|hesap|basvuru|islem|kart|kampanya|hizmet"
+FREE_VALUE = r"\bmasrafsiz\b|\bucretsiz\b|\bucret alinmaz\b|\bmasraf alinmaz\b|\bherhangi bir ucret alinmamaktadir\b"
+TAX, EXEMPT = r"\b(?:kkdf|bsmv)\b", "muaf|alinmaz|tabi degil"
+
+
+def _matches(rows: DataFrame, values: Column, fact_type: str, confidence: float, key: str) -> DataFrame:
+    out = rows.select(key, "at", F.explode(F.array_distinct(values)).alias("fact_text"), F.col("segment").alias("evidence"))
+    return out.select(key, "at", F.lit(fact_type).alias("fact_type"), "fact_text", "evidence", F.lit(confidence).alias("confidence"))
+
+
+def channel_rules(rows: DataFrame, operations: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    """Application channels (folded) of segments that speak of applying, or of operations for products (column `product`) in `operations`.
+
+    The plain branch word doesn't count inside a specific channel; "gitmeden" (without going) shortly after a channel cancels it.
+    """
+    text = fold_text("segment")
+    applies = text.contains("basvur")
+    if operations:
+        applies = applies | (F.col("product").isin(*operations) & text.rlike(OPERATION) & text.rlike(ABLE))
+    specific = "|".join(CHANNELS)
+    found = F.concat(F.regexp_extract_all(text, F.lit(f"(?:{specific}){NOT_NEEDED}"), F.lit(0)), F.regexp_extract_all(F.regexp_replace(text, specific, "/"), F.lit(BRANCH + NOT_NEEDED), F.lit(0)))
+    return _matches(rows.filter(applies), found, "BASVURU_KANALI", 0.96, key)
+
+
+def fee_tax_rules(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Free use (0.95) and taxes that aren't charged (0.98), as folded values."""
+    text = fold_text("segment")
+    free = _matches(rows.filter(text.rlike(FREE) & text.rlike(FREE_OF)), F.regexp_extract_all(text, F.lit(FREE_VALUE), F.lit(0)), "MASRAF_DURUMU", 0.95, key)
+    return free.unionByName(_matches(rows.filter(text.rlike(EXEMPT)), F.regexp_extract_all(text, F.lit(TAX), F.lit(0)), "VERGI_MUAFIYETI", 0.98, key))

@@ -94,3 +94,30 @@ def session_islands(events: DataFrame, ttl_seconds: int) -> DataFrame:
     gap = at - F.lag(at).over(w)
     rows = events.withColumn("begins", (gap.isNull() | (gap > ttl_seconds * 1_000_000)).cast("int")).withColumn("session", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def merge_session_hits(fresh: DataFrame, session: DataFrame, most: int = 2) -> DataFrame:
+    """Hits of a query, then the hits carried over from its session, in their order.
+
+    A carried hit is left out if its chunk is there or if its offer or its document has `most` hits already. Columns query_id, place,
+    chunk_id, offer_id, doc_id; lists are results of a top-k search, so a query's list is short. Queries of either table are kept.
+    """
+    hit = "array<struct<place:bigint,chunk_id:bigint,offer_id:string,doc_id:bigint>>"
+    lists = lambda t, name: t.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "offer_id", "doc_id"))).cast(hit).alias(name))
+    rows = lists(fresh, "own").join(lists(session, "old"), "query_id", "full")
+    empty = F.array().cast(hit)
+
+    def add(kept: Column, h: Column) -> Column:
+        n = lambda c: F.size(F.filter(kept, lambda k: k[c].eqNullSafe(h[c])))
+        return F.when((n("chunk_id") == 0) & (n("offer_id") < most) & (n("doc_id") < most), F.concat(kept, F.array(h))).otherwise(kept).cast(hit)
+
+    own = F.coalesce("own", empty)
+    kept = rows.select("query_id", F.size(own).alias("n"), F.aggregate(F.coalesce("old", empty), own, add).alias("kept"))
+    out = kept.select("query_id", "n", F.posexplode("kept").alias("at", "h"))
+    return out.select("query_id", (F.col("at") + 1).alias("place"), "h.chunk_id", "h.offer_id", "h.doc_id", (F.col("at") >= F.col("n")).alias("carried"))
+
+
+def cited_refs(turns: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(conv_id, source_id, turn): sources that verified answers cite as [Sx], with the newest turn that does."""
+    cited = turns.filter("verified").select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[(S\d+)\]"), F.lit(1)))).alias("source_id"))
+    return cited.join(evidence.select("conv_id", "turn", "source_id").distinct(), ["conv_id", "turn", "source_id"]).groupBy("conv_id", "source_id").agg(F.max("turn").alias("turn"))

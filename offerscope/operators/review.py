@@ -92,3 +92,31 @@ def replace_snapshot_facts(old: DataFrame, new: DataFrame) -> DataFrame:
     both = kept.withColumn("age", F.when(decided, 0).otherwise(2)).unionByName(fresh.select(old.columns).withColumn("age", F.lit(1)))
     w = Window.partitionBy("fact_key").orderBy("age", "doc_id", "decision")
     return both.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "age")
+
+
+def import_upsert(old: DataFrame, new: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of touched keys are replaced by the new rows: spans of a passage, samples of a dataset version, or single rows by their own key.
+
+    A touched key without new rows loses its old ones; null keys match nothing, so such rows stay.
+    """
+    return old.join(touched.select(keys).distinct(), keys, "left_anti").select(old.columns).unionByName(new.select(old.columns))
+
+
+def refresh_live(docs: DataFrame, state: DataFrame, classified: DataFrame, eligible: DataFrame, candidates: DataFrame, version: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, candidates to write, state) after a run over live documents.
+
+    docs (doc_id, digest, label, verified), state (doc_id, digest, version, accepted, review, rejected), classified (doc_id, new_label, by_review),
+    eligible (new_label, entity), candidates (doc_id, entity, decision and others). Documents with the same digest and version are skipped; those whose
+    classification needs a review, or that have none, are left as they are; of a label without entities no candidates are taken,
+    but the document is saved with zero facts. Verified documents keep their label.
+    """
+    unchanged = state.filter(F.col("version") == version).select("doc_id", "digest")
+    due = docs.join(unchanged, ["doc_id", "digest"], "left_anti").join(classified.filter(~F.coalesce("by_review", F.lit(True))).select("doc_id", "new_label"), "doc_id")
+    saved = due.select("doc_id", "digest", "new_label")
+    allowed = saved.select("doc_id", "new_label").join(eligible.select("new_label", "entity").distinct(), "new_label").select("doc_id", "entity")
+    taken = candidates.join(allowed, ["doc_id", "entity"], "left_semi")
+    relabelled = docs.join(saved.select("doc_id", "new_label"), "doc_id", "left")
+    after = relabelled.withColumn("label", F.when(F.col("verified") | F.col("new_label").isNull(), F.col("label")).otherwise(F.col("new_label"))).select(docs.columns)
+    count = taken.groupBy("doc_id").agg(*(F.count_if(F.col("decision") == d).alias(n) for d, n in (("accepted", "accepted"), ("review", "review"), ("rejected", "rejected"))))
+    fresh = saved.join(count, "doc_id", "left").select("doc_id", "digest", F.lit(version).alias("version"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("accepted", "review", "rejected")))
+    return after, taken, import_upsert(state.select(fresh.columns), fresh, saved, ["doc_id"])

@@ -109,9 +109,19 @@ def f23(spark, d):
     return op.dedup_candidates(rows.withColumn("decision", reason)).select("doc_id", "label", "fact_text", "ordinal")
 
 
-@query("f25_validate_claimed_facts", "SELECT doc_id, CASE WHEN n_chars < 500 THEN 'confidence' WHEN NOT contains(lower(text), 'the') THEN 'no_evidence' ELSE 'ok' END AS reason FROM documents")
+_PASSAGE = "substr(text, 11, 40)"
+
+
+@query("f25_validate_claimed_facts", f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'low_confidence' WHEN doc_id % 3 = 0 OR NOT regexp_matches({_PASSAGE}, '[^ \\t\\n\\r\\f\\v]') THEN 'evidence_not_in_source' WHEN doc_id % 7 = 0 THEN 'fact_not_in_evidence'
+WHEN doc_id % 2 = 1 AND NOT regexp_matches(lower({_PASSAGE}), 'odeme|taksit') THEN 'label_rule_failed' END AS reason FROM documents WHERE text IS NOT NULL""")
 def f25(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") < 500, "confidence").when(~F.lower("text").contains("the"), "no_evidence").otherwise("ok").alias("reason"))
+    docs = A.table(spark, d, "documents").filter("text is not null")
+    passage = F.substring("text", 11, 40)
+    claims = docs.select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 1, "ODEME_PLANI").otherwise("OTHER").alias("fact_type"), F.when(F.col("doc_id") % 7 == 0, "not there at all").otherwise(F.substring(passage, 1, 5)).alias("fact_text"),
+        F.when(F.col("doc_id") % 3 == 0, "a passage that no document has (1)").otherwise(F.regexp_replace(passage, " ", "  ")).alias("evidence"), F.when(F.col("doc_id") % 5 == 0, 0.2).otherwise(0.9).alias("confidence"),
+    )
+    return op.validate_claimed_facts(claims, docs, 0.5).select("doc_id", "reason")
 
 
 @query("f26_f27_merge_bio_tokens", """WITH t AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS word, CASE o_orderstatus WHEN 'O' THEN 'B-x' WHEN 'F' THEN 'I-x' ELSE 'O' END AS label, o_orderkey % 100 / 100 AS score FROM orders),
@@ -139,3 +149,21 @@ def f30(spark, d):
 @query("f31_fact_key", "SELECT l_orderkey, l_linenumber, sha256(l_orderkey || '|' || l_returnflag || '|' || l_linestatus) AS fact_key FROM lineitem")
 def f31(spark, d):
     return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", op.fact_key(F.col("l_orderkey"), F.col("l_returnflag"), F.col("l_linestatus")).alias("fact_key"))
+
+
+def _turkish(spark, d):
+    """A sentence for each order, by its status."""
+    says = (
+        F.when(F.col("o_orderstatus") == "O", "Mobil Şubeden başvurun, şubeye gitmeden tamamlayın.").when(F.col("o_orderstatus") == "F", "Başvuru için şubelerimiz ve internet şubesi açıktır.").otherwise("KKDF ve BSMV'den muaf, işlem ücretsiz.")
+    )
+    return A.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("at"), says.alias("segment"))
+
+
+@query("f4_channel_rules", "SELECT o_orderkey AS doc_id, unnest(CASE o_orderstatus WHEN 'O' THEN ['subeden'] WHEN 'F' THEN ['internet subesi', 'subelerimiz'] ELSE [] END) AS fact_text FROM orders")
+def f4(spark, d):
+    return op.channel_rules(_turkish(spark, d)).select("doc_id", "fact_text")
+
+
+@query("f5_fee_tax_rules", "SELECT o_orderkey AS doc_id, unnest(['kkdf', 'bsmv', 'ucretsiz']) AS fact_text, unnest([0.98, 0.98, 0.95])::DOUBLE AS confidence FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
+def f5(spark, d):
+    return op.fee_tax_rules(_turkish(spark, d)).select("doc_id", "fact_text", "confidence")

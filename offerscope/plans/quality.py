@@ -79,6 +79,13 @@ def j8(spark, d):
     return J.apply_review_sheet(_queue(spark, d).select(F.col("review_id").alias("key"), F.col("note").alias("label"), "status"), sheet)
 
 
+@query("j9_import_upsert", "SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS v FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT l_orderkey, l_linenumber, -l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND l_linenumber > 1")
+def j9(spark, d):
+    old = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("v"))
+    touched = A.table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"))
+    return J.import_upsert(old, old.join(touched, "k", "left_semi").filter("n > 1").withColumn("v", -F.col("v")), touched, ["k"])
+
+
 @query("j10_replace_snapshot_facts", """WITH o AS (SELECT l_orderkey AS doc_id, 'v' || l_linenumber % 2 AS version, l_orderkey * 10 + l_linenumber AS fact_key, CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'R' THEN 'rejected' ELSE 'pending' END AS review, 'old' AS decision FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey * 10 + l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag) = 1),
 n AS (SELECT doc_id, version, fact_key + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 100000000 END AS fact_key, CASE WHEN fact_key % 2 = 0 THEN 'review' ELSE 'accepted' END AS decision FROM o WHERE version = 'v1'),
 b AS (SELECT doc_id, version, fact_key, review, decision, 0 AS age FROM o WHERE review <> 'pending' UNION ALL SELECT doc_id, version, fact_key, review, decision, 2 FROM o WHERE review = 'pending' AND (doc_id, version) NOT IN (SELECT doc_id, version FROM n) UNION ALL SELECT doc_id, version, fact_key, CASE decision WHEN 'review' THEN 'pending' ELSE 'not_required' END, decision, 1 FROM n)
@@ -226,3 +233,28 @@ def q7(spark, d):
 def q8(spark, d):
     e = A.table(spark, d, "embeddings")
     return K.check_embeddings(e.withColumn("embedding", F.when(F.col("label") == 3, F.slice("embedding", 1, 10)).otherwise(F.col("embedding"))), "vec_id", "embedding", 64)
+
+
+@query("j11_refresh_live", """WITH l AS (SELECT o_orderkey AS doc_id, o_orderpriority AS new_label, o_orderstatus = 'P' AS by_review FROM orders), s AS (SELECT doc_id, 'd' || doc_id % 3 AS digest, new_label FROM l WHERE NOT by_review AND doc_id % 4 > 0),
+c AS (SELECT l_orderkey AS doc_id, count(*) FILTER (l_linestatus = 'F') AS accepted, count(*) FILTER (l_linestatus = 'O') AS review FROM lineitem JOIN s ON l_orderkey = s.doc_id WHERE new_label LIKE '1%' AND l_returnflag = 'A' OR new_label LIKE '2%' AND l_returnflag IN ('A', 'N') GROUP BY 1)
+SELECT doc_id, digest, 'v2' AS version, coalesce(accepted, 0) AS accepted, coalesce(review, 0) AS review, 0::BIGINT AS rejected FROM s LEFT JOIN c USING (doc_id)
+UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'old' ELSE 'd' || doc_id % 3 END, CASE WHEN doc_id % 4 = 2 THEN 'v1' ELSE 'v2' END, 7, 7, 7 FROM l WHERE doc_id % 4 < 3 AND doc_id NOT IN (SELECT doc_id FROM s)""")
+def j11(spark, d):
+    o = A.table(spark, d, "orders").withColumnRenamed("o_orderkey", "doc_id").withColumn("digest", F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")))
+    rest = F.col("doc_id") % 4
+    state = o.filter(rest < 3).select("doc_id", F.when(rest == 1, "old").otherwise(F.col("digest")).alias("digest"), F.when(rest == 2, "v1").otherwise("v2").alias("version"), *(F.lit(7).cast("long").alias(c) for c in ("accepted", "review", "rejected")))
+    docs = o.select("doc_id", "digest", F.lit("old").alias("label"), (F.col("o_custkey") % 2 == 0).alias("verified"))
+    classified = o.select("doc_id", F.col("o_orderpriority").alias("new_label"), (F.col("o_orderstatus") == "P").alias("by_review"))
+    pairs = F.when(F.col("new_label").startswith("1"), F.array(F.lit("A"))).when(F.col("new_label").startswith("2"), F.array(F.lit("A"), F.lit("N")))
+    eligible = classified.select("new_label").distinct().select("new_label", F.explode(pairs).alias("entity"))
+    decision = F.when(F.col("l_linestatus") == "F", "accepted").otherwise("review")
+    candidates = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("entity"), decision.alias("decision"))
+    return J.refresh_live(docs, state, classified, eligible, candidates, "v2")[2]
+
+
+@query("k6_silver_bio_rows")
+def k6(spark, d):
+    first = F.substring("text", 1, 300)
+    w = F.split(first, " ")
+    spans = F.array(F.struct(F.get(w, 1).alias("fact_text"), F.lit("A").alias("label")), F.struct(F.concat_ws(" ", F.get(w, 1), F.get(w, 2)).alias("fact_text"), F.lit("B").alias("label")), F.struct(F.get(w, 5).alias("fact_text"), F.lit("C").alias("label")))
+    return K.silver_bio_rows(A.table(spark, d, "documents").select("doc_id", first.alias("evidence"), F.explode(spans).alias("s")).select("doc_id", "evidence", "s.fact_text", "s.label"))

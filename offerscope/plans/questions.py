@@ -83,9 +83,24 @@ def l13(spark, d):
     return op.recent_context(A.table(spark, d, "conversations"), 6, 1000, 300)
 
 
-@query("l14_cited_refs", "SELECT conv_id, max(turn) AS turn, count(*) AS n FROM conversations WHERE role = 'assistant' AND contains(text, 'the') GROUP BY conv_id")
+@query("l12_merge_session_hits")
+def l12(spark, d):
+    ranked = op.order_evidence(_evidence(spark, d), True).select("query_id", F.col("place").cast("long").alias("place"), F.col("doc_id").alias("chunk_id"), F.col("bank").alias("offer_id"), (F.col("doc_id") % 50).alias("doc_id"))
+    return op.merge_session_hits(ranked.filter("place <= 6"), ranked.filter("place between 5 and 16"))
+
+
+@query("l14_cited_refs", "SELECT user_id AS conv_id, 'S' || event_id % 4 AS source_id, max(event_id) AS turn FROM events WHERE event_type <> 'error' AND event_id % 3 > 0 GROUP BY ALL")
 def l14(spark, d):
-    return A.table(spark, d, "conversations").filter("role = 'assistant' and contains(text, 'the')").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.count("*").alias("n"))
+    e = A.events(spark, d).withColumnRenamed("user_id", "conv_id").withColumnRenamed("event_id", "turn")
+    turns = e.select("conv_id", "turn", F.concat(F.lit("so [S"), (F.col("turn") % 4).cast("string"), F.lit("] says, not [S9]")).alias("text"), (F.col("event_type") != "error").alias("verified"))
+    return op.cited_refs(turns, e.filter("turn % 3 > 0").select("conv_id", "turn", F.concat(F.lit("S"), (F.col("turn") % 4).cast("string")).alias("source_id")))
+
+
+@query("n1_embed_chunks")
+def n1(spark, d):
+    from offerscope.operators.embed import embed_chunks, hashing_embedder
+
+    return embed_chunks(A.table(spark, d, "documents").select("doc_id", "text"), hashing_embedder(64), 64).select("doc_id", "embedding")
 
 
 @query("st2_session_ttl", "WITH g AS (SELECT *, ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(b::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, session")

@@ -1,6 +1,7 @@
 """Sources and sinks: page corpora, labelled passages, review sheets, keyed replacement, text of HTML."""
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,6 +28,37 @@ def read_review_csv(spark: SparkSession, path: str, answer: str) -> DataFrame:
     return rows.withColumn(answer, F.upper(F.trim(answer)))
 
 
+# Files and fields of the labelled dataset.
+LABELLED = {
+    "documents": ("ara/dokumanlar.jsonl", "kayit_id string, banka_key string, banka_adi string, kaynak_url string, sayfa_basligi string, ham_metin string, ozet_metin string, kampanya_turu_kod string, kampanya_turu string, guven double, kaynak string, gerekce string, dogrulandi boolean, otomatik_kabul boolean"),
+    "passages": ("ara/pasajlar.jsonl", "pasaj_id string, kayit_id string, kampanya_turu_kod string, metin string, belge_ofseti long, dogrulandi boolean, otomatik_kabul boolean, spanlar array<struct<baslangic:int,bitis:int,etiket:string,metin:string,normal_deger:string,guven:double,kaynak:string>>"),
+    "class_samples": ("final/siniflandirma/{split}.jsonl", "id string, metin string, etiket string, etiket_kod string, dogrulandi boolean"),
+    "extraction_samples": ("final/bilgi_cikarim/{split}.jsonl", "id string, tokens array<string>, ner_tags array<string>, dogrulandi boolean"),
+}
+SPLITS = ("train", "val", "test")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines that may begin with a byte order mark; blank lines are skipped, a line that isn't JSON fails the job."""
+    lines = spark.read.text(path).select(F.ltrim(F.col("value"), F.lit("\ufeff")).alias("value")).filter("trim(value) <> ''")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def read_labelled(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """documents, passages, spans (with span_index from 0), class_samples and extraction_samples (with their split) of a dataset folder."""
+    out = {}
+    for name, (file, schema) in LABELLED.items():
+        if "{split}" in file:
+            out[name] = reduce(DataFrame.unionByName, (read_jsonl(spark, f"{path}/{file.format(split=s)}", schema).withColumn("split", F.lit(s)) for s in SPLITS))
+        else:
+            out[name] = read_jsonl(spark, f"{path}/{file}", schema)
+        if "dogrulandi" in out[name].columns:
+            out[name] = out[name].withColumn("dogrulandi", F.coalesce("dogrulandi", F.lit(False)))
+    out["spans"] = out["passages"].select("pasaj_id", "dogrulandi", F.posexplode("spanlar").alias("span_index", "s")).select("pasaj_id", "span_index", "s.*", "dogrulandi")
+    out["passages"] = out["passages"].drop("spanlar")
+    return out
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from offerscope.functions import text as X
-from offerscope.operators import chunk, curate, facts, questions, review
+from offerscope.operators import chunk, curate, embed, evaluate, facts, questions, review
 from offerscope.sources import files
 from offerscope.streaming import jobs
 
@@ -101,3 +102,89 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.status, r.n) for r in spark.sql("SELECT * FROM review_counts").collect()} == {("x", 2), ("y", 1)}
+
+
+def test_session_hits_against_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = [(q, p, int(rng.integers(30)), f"o{rng.integers(6)}", int(rng.integers(8))) for q in range(40) for p in range(1, 13)]
+    schema = "query_id long, place long, chunk_id long, offer_id string, doc_id long"
+    fresh, session = [r for r in rows if r[1] <= 5 and r[0] % 9], [r for r in rows if r[1] > 5 and r[0] % 7]
+    expected = []
+    for q in range(40):
+        kept = [r[2:] for r in fresh if r[0] == q]
+        own = len(kept)
+        for r in (r[2:] for r in session if r[0] == q):
+            if all(r[0] != k[0] for k in kept) and sum(r[1] == k[1] for k in kept) < 2 and sum(r[2] == k[2] for k in kept) < 2:
+                kept.append(r)
+        expected += [(q, i + 1, *k, i >= own) for i, k in enumerate(kept)]
+    got = questions.merge_session_hits(spark.createDataFrame(fresh, schema), spark.createDataFrame(session, schema))
+    assert sorted(map(tuple, got.collect())) == expected
+
+
+def test_bio_rows(spark):
+    text = "Vade 36 ay, oran %2,05 ve 36 ay."
+    assert evaluate.bio_tags(text, [("36", "N"), ("36 ay", "T"), ("2,05", "R"), ("none", "X"), ("", "E")]) == (["Vade", "36", "ay", ",", "oran", "%", "2,05", "ve", "36", "ay", "."], ["O", "B-T", "I-T", "O", "O", "O", "B-R", "O", "O", "O", "O"])
+    assert evaluate.bio_tags("ab cd", [("b c", "S")]) == (["ab", "cd"], ["B-S", "I-S"]) and evaluate.bio_tags(text, [("none", "X")]) is None
+    rows = [(1, text, "36 ay", "T"), (1, text, "36 ay", "T"), (2, text, "none", "T"), (3, None, "x", "T"), (4, text, None, "T")]
+    got = evaluate.silver_bio_rows(spark.createDataFrame(rows, "doc_id long, evidence string, fact_text string, label string")).collect()
+    assert [(r.doc_id, r.tags.count("B-T")) for r in got] == [(1, 1)]
+
+
+def test_claimed_facts(spark):
+    docs = spark.createDataFrame([(1, "Vade: 36\n ay (sabit) olarak.  Masraf yok"), (2, None)], "doc_id long, text string")
+    rows = [(1, "VADE_SURESI", "36 AY", "vade: 36 ay (SABIT)", 0.9), (1, "VADE_SURESI", "36", "Masraf yok", 0.9), (1, "VADE_SURESI", "yok", "Masraf  yok", 0.9), (1, "X", "a.b", "Vade. 36", 0.9), (1, "X", "36", "Vade", 0.1), (2, "X", "x", "x", 0.9), (3, "X", "x", "x", 0.9), (1, "X", "x", "  ", 0.9)]
+    got = facts.validate_claimed_facts(spark.createDataFrame(rows, "doc_id long, fact_type string, fact_text string, evidence string, confidence double"), docs, 0.5)
+    assert sorted((r.doc_id, r.evidence, r.reason or "") for r in got.collect()) == sorted(
+        [(1, "Vade: 36\n ay (sabit)", ""), (1, "Masraf yok", "fact_not_in_evidence"), (1, "Masraf yok", "label_rule_failed"), (1, "Vade. 36", "evidence_not_in_source"), (1, "Vade", "low_confidence"), (2, "x", "evidence_not_in_source"), (3, "x", "evidence_not_in_source"), (1, "  ", "evidence_not_in_source")]
+    )
+
+
+def test_channels(spark):
+    rows = [(1, "Mobil şubeden ve şubelerimizden başvurun"), (2, "Başvuru: şubeye hiç gitmeden mobil uygulamadan"), (3, "Mobil şube açık")]
+    got = facts.channel_rules(spark.createDataFrame(rows, "doc_id long, segment string").withColumn("at", F.lit(0)))
+    assert sorted((r.doc_id, r.fact_text) for r in got.collect()) == [(1, "subeden"), (2, "mobil uygulamadan")]
+
+
+def test_embedding_of_chunks(spark):
+    texts = ["a b a", "", None, "x " * 3000]
+    got = {r.k: r.embedding for r in embed.embed_chunks(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), embed.hashing_embedder(16), 16, size=2).collect()}
+    plain = embed.hashing_embedder(16)([t or "" for t in texts])
+    for k, v in enumerate(plain):
+        assert np.allclose(got[k], v / (np.linalg.norm(v) or 1), atol=1e-6)
+    with pytest.raises(Exception, match="embeddings of shape"):
+        embed.embed_chunks(spark.createDataFrame([(1, "a")], "k long, text string"), embed.hashing_embedder(8), 16).collect()
+
+
+def test_labelled_dataset(spark, tmp_path):
+    for folder in ("ara", "final/siniflandirma", "final/bilgi_cikarim"):
+        (tmp_path / folder).mkdir(parents=True)
+    mark = "\ufeff"
+    (tmp_path / "ara/dokumanlar.jsonl").write_text(mark + '{"kayit_id":"k","ham_metin":"metin"}\n\n{"kayit_id":"l","dogrulandi":true}\n')
+    (tmp_path / "ara/pasajlar.jsonl").write_text(mark + '{"pasaj_id":"p","kayit_id":"k","metin":"36 ay","spanlar":[{"baslangic":0,"bitis":2,"etiket":"N","metin":"36"},{"baslangic":3,"bitis":5,"etiket":"B","metin":"ay"}]}\n{"pasaj_id":"q","kayit_id":"k"}\n')
+    for s in files.SPLITS:
+        (tmp_path / f"final/siniflandirma/{s}.jsonl").write_text(f'{{"id":"{s}1","etiket_kod":"A"}}\n')
+        (tmp_path / f"final/bilgi_cikarim/{s}.jsonl").write_text(f'{{"id":"{s}2","tokens":["a"],"ner_tags":["O"]}}\n')
+    got = files.read_labelled(spark, str(tmp_path))
+    assert sorted((r.kayit_id, r.dogrulandi) for r in got["documents"].collect()) == [("k", False), ("l", True)]
+    assert sorted((r.pasaj_id, r.span_index, r.etiket) for r in got["spans"].collect()) == [("p", 0, "N"), ("p", 1, "B")]
+    assert got["passages"].count() == 2 and sorted((r.split, r.id) for r in got["class_samples"].collect()) == [("test", "test1"), ("train", "train1"), ("val", "val1")]
+    (tmp_path / "ara/dokumanlar.jsonl").write_text("no json\n")
+    with pytest.raises(Exception):
+        files.read_labelled(spark, str(tmp_path))["documents"].collect()
+
+
+def test_session_state_stream_equals_the_table(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i % 6}", i // 6, f"said {i}", *(None if rng.random() < 0.5 else f"v{rng.integers(3)}" for _ in range(2)), bool(rng.random() < 0.2)) for i in range(90)]
+    schema = "conv_id string, turn long, text string, bank string, field string, change boolean"
+    for n in range(3):  # three files are three batches; the second holds repeats of the first
+        spark.createDataFrame(rows[30 * max(0, n - (n == 1)) : 30 * (n + 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.session_state_stream(stream, ["bank", "field"], "change", 40).writeStream.outputMode("append").format("memory").queryName("session_state").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql("SELECT * FROM session_state").collect()
+    table = questions.fold_session(spark.createDataFrame(rows, schema), ["bank", "field"], "change")
+    assert sorted(((r.conv_id, r.turn, r.bank, r.field) for r in got), key=str) == sorted(map(tuple, table.collect()), key=str)
+    assert all(r.version == r.turn + 1 and len(r.summary) <= 40 for r in got)
+    assert {r.summary for r in got if r.conv_id == "c0" and r.turn == 14} == {"12: said 72\n13: said 78\n14: said 84"}
