@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from offerscope import adapters as A
 from offerscope.operators import facts as op
+from offerscope.operators import typed_rules as T
 from offerscope.plans.corpus import FOLD
 from offerscope.registry import query
 
@@ -167,3 +168,31 @@ def f4(spark, d):
 @query("f5_fee_tax_rules", "SELECT o_orderkey AS doc_id, unnest(['kkdf', 'bsmv', 'ucretsiz']) AS fact_text, unnest([0.98, 0.98, 0.95])::DOUBLE AS confidence FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
 def f5(spark, d):
     return op.fee_tax_rules(_turkish(spark, d)).select("doc_id", "fact_text", "confidence")
+
+
+_TYPED = """SELECT o_orderkey AS doc_id, unnest(CASE left(o_orderpriority, 1) WHEN '1' THEN ['FINANSMAN_TUTARI', 'KAR_PAYI_ORANI', 'VADE_SURESI'] WHEN '2' THEN ['MINIMUM_BAKIYE', 'KAR_PAYLASIM_ORANI', 'MEVDUAT_GUVENCESI'] WHEN '3' THEN ['ISLEM_ALT_LIMITI']
+WHEN '4' THEN ['SIGORTA_UCRETI', 'TEMINAT', 'SIGORTA_KOSULU'] ELSE ['ODEMESIZ_DONEM', 'ODEME_PLANI', 'ODEME_PLANI', 'HEDEF_KITLE'] END) AS fact_type,
+unnest(CASE left(o_orderpriority, 1) WHEN '1' THEN [n || ' tl', '%' || m, k || ' ay'] WHEN '2' THEN [n || ' tl', '80/20', 'tmsf'] WHEN '3' THEN [n || ' tl']
+WHEN '4' THEN [n || ' tl', 'sigorta primi ' || n || ' tl dahil, vefat teminat kapsaminda.', 'sigorta primi ' || n || ' tl dahil, vefat teminat kapsaminda.'] ELSE [k || ' ay', 'esit taksitli', 'odeme plani', 'esnaflara'] END) AS fact_text
+FROM (SELECT *, o_orderkey AS n, o_custkey % 9 + 1 AS m, o_orderkey % 36 + 1 AS k FROM orders)"""
+
+
+@query("f6_f10_typed_rules", _TYPED)
+def f6(spark, d):
+    kind = F.substring("o_orderpriority", 1, 1)
+    n, m, k = (c.cast("string") for c in (F.col("o_orderkey"), F.col("o_custkey") % 9 + 1, F.col("o_orderkey") % 36 + 1))
+    says = (
+        F.when(kind == "1", F.concat(F.lit("Finansman tutarı "), n, F.lit(" TL, kâr payı %"), m, F.lit(", vade "), k, F.lit(" ay.")))
+        .when(kind == "2", F.concat(F.lit("Minimum bakiye "), n, F.lit(" TL, kâr paylaşım oranı 80/20, TMSF güvencesi.")))
+        .when(kind == "3", F.concat(F.lit("EFT işlem alt limiti "), n, F.lit(" TL.")))
+        .when(kind == "4", F.concat(F.lit("Sigorta primi "), n, F.lit(" TL dahil, vefat teminat kapsamında.")))
+        .otherwise(F.concat(F.lit("Ödemesiz dönem "), k, F.lit(" ay, eşit taksitli ödeme planı; esnaflara yönelik.")))
+    )
+    product = F.when(kind == "2", "HESAP_YATIRIM").when(kind == "3", "ODEME_TRANSFER").when(kind == "4", "SIGORTA_TEKAFUL").otherwise("FINANSMAN")
+    rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("at"), product.alias("product"), says.alias("segment"), F.array().cast("array<string>").alias("keywords"))
+    return T.typed_rules(rows).select("doc_id", "fact_type", "fact_text")
+
+
+@query("f6_f10_typed_rules_documents")
+def f6_documents(spark, d):
+    return T.typed_rules(_segments(spark, d).withColumn("product", F.lit("FINANSMAN")).withColumn("keywords", F.array().cast("array<string>")))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerscope.functions import text as X
-from offerscope.operators import chunk, curate, embed, evaluate, facts, questions, review
+from offerscope.operators import chunk, curate, embed, evaluate, facts, questions, review, typed_rules
 from offerscope.sources import files
 from offerscope.streaming import jobs
 
@@ -188,3 +188,17 @@ def test_session_state_stream_equals_the_table(spark, tmp_path):
     assert sorted(((r.conv_id, r.turn, r.bank, r.field) for r in got), key=str) == sorted(map(tuple, table.collect()), key=str)
     assert all(r.version == r.turn + 1 and len(r.summary) <= 40 for r in got)
     assert {r.summary for r in got if r.conv_id == "c0" and r.turn == 14} == {"12: said 72\n13: said 78\n14: said 84"}
+
+
+def test_typed_rules_by_relevance_and_distance(spark):
+    far = "x" * 60
+    rows = [
+        (1, "FINANSMAN", "Vade 12 ay, ödemesiz dönem 3 ay", []), (2, "FINANSMAN", f"Vade {far} 12 ay", []), (3, "FINANSMAN", "Gerekli belgeler: kimlik ve tapu", ["konut"]), (4, "FINANSMAN", "Konut için gerekli belgeler: kimlik", ["konut"]),
+        (5, "HESAP_YATIRIM", "Kâr paylaşım oranı 80 / 20", None), (6, None, "Emeklilere yönelik kampanya", []), (7, "FINANSMAN", None, []), (8, "KART", "Finansman tutarı 5 TL", []),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, product string, segment string, keywords array<string>").withColumn("at", F.lit(0))
+    got = typed_rules.typed_rules(df)
+    assert sorted((r.doc_id, r.fact_type, r.fact_text) for r in got.collect()) == [
+        (1, "ODEMESIZ_DONEM", "12 ay"), (1, "ODEMESIZ_DONEM", "3 ay"), (4, "GEREKLI_BELGELER", "konut icin gerekli belgeler: kimlik"), (5, "KAR_PAYLASIM_ORANI", "80 / 20"), (6, "HEDEF_KITLE", "emeklilere"),
+    ]
+    assert tuple(got.filter("doc_id = 5").select(typed_rules.sharing_ratio(F.col("fact_text")).alias("r")).first().r) == (80, 20)
