@@ -9,7 +9,7 @@ value of COST or more is taken as a secret.
 
 Defined results: null or empty text has no spans (counts 0, the digest of the empty string);
 a null doc_id is kept; repeated rows are each scanned; offsets count code points, end
-exclusive; whole texts are scanned whatever their length; other columns are ignored; an empty
+exclusive; whole texts and quoted values (to the closing quote in the same line) are scanned whatever their length; other columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -33,7 +33,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Values of other keys and characters than ASSIGN has, such as pwd: "p@ss w0rd!".
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|credentials?|auth|api[_-]?key|access[_-]?key|private[_-]?key)["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*(?:"([^"\n]{6,256})"|'([^'\n]{6,256})'|([^\s"',;<>]{6,}))""", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|credentials?|auth|api[_-]?key|access[_-]?key|private[_-]?key)["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"',;<>]{6,}))""", re.IGNORECASE | re.ASCII)
 _HINT = re.compile(r"passw|passphrase|pwd|secret|token|credential|auth|key", re.IGNORECASE | re.ASCII)
 
 # Common words of passwords and placeholders, most common first.
@@ -63,8 +63,8 @@ def _adjacent(a: str, b: str) -> bool:
     return p is not None and q is not None and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-def guess_cost(value: str) -> float:
-    """Least log10 guesses over all segmentations of a value."""
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """Least log10 guesses over all segmentations of a value; with `enough`, a lower bound that reaches it may end the search."""
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
@@ -73,7 +73,17 @@ def guess_cost(value: str) -> float:
         m = _DATE.match(value, i)
         if m:
             dates.setdefault(i, []).append(m.end())
+    same = [0] * 21  # by block size: characters from i on that equal those a block later
+    again: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (size, count) of repeated blocks
+    for i in reversed(range(n)):
+        for size in range(2, min(20, n - 1 - i) + 1):
+            same[size] = same[size] + 1 if value[i] == value[i + size] else 0
+            if same[size] >= size:
+                again[i].append((size, same[size] // size + 1))
+    far = math.inf  # least cost of a repeat, which may end anywhere
     for i in range(n):
+        if far >= enough and min(best[i : i + PIECE + 1]) >= enough:  # all ways to the end pass here
+            return enough
         base = best[i]
         best[i + 1] = min(best[i + 1], base + _brute(value[i]))
         for end in dates.get(i, ()):
@@ -99,12 +109,10 @@ def guess_cost(value: str) -> float:
                     best[j + 1] = min(best[j + 1], base + math.log10(47 * (walk + 1) * 4))
             if run < j - i and walk < j - i:
                 break
-        for size in range(2, min(20, (n - i) // 2) + 1):  # repeated blocks
-            k = 1
-            while value.startswith(value[i : i + size], i + k * size):
-                k += 1
-            if k > 1:
-                best[i + k * size] = min(best[i + k * size], base + sum(map(_brute, value[i : i + size])) + math.log10(k))
+        for size, k in again[i]:
+            cost = base + sum(map(_brute, value[i : i + size])) + math.log10(k)
+            best[i + k * size] = min(best[i + k * size], cost)
+            far = min(far, cost)
     return best[n]
 
 
@@ -124,7 +132,7 @@ def value_spans(text: str) -> list[tuple[int, int, str, int]]:
     if _HINT.search(text):
         for m in CONTEXT.finditer(text):
             g = m.lastindex
-            if guess_cost(m[g]) >= COST:
+            if guess_cost(m[g], COST) >= COST:
                 out.append((m.start(g), 3, "guess", m.end(g)))
     return out
 

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+import string
+import time
 
+from offerscope.llm import secret_scan
 from offerscope.llm.secret_scan import COST, base_spans, guess_cost, redact, scan_documents
 
 
@@ -61,3 +66,68 @@ def test_values_in_context_are_added_and_masked(spark):
     masked = redact(text)
     assert "kX93v" not in masked and "9f3kd" not in masked and '"password"' in masked
     assert redact("plain words of a text") == "plain words of a text" and redact(None) is None
+
+
+def test_long_quoted_values_are_found_and_masked(spark):
+    rng = random.Random(5)
+    for n in (256, 257, 400, 5000):
+        body = "".join(rng.choices(string.ascii_letters + string.digits, k=n - 7))
+        for head, value in (('auth: "', "Bearer " + body), ("pwd => '", "p@ss w " + body), ('"private_key": "', ("-----BEGIN PRIVATE KEY-----\\n" + body)[:n])):
+            text = f"so {head}{value}{head[-1]} it is"
+            assert len(value) == n
+            at = len("so " + head)
+            assert (at, 3, "guess", at + n) in secret_scan.scan(text)[1]
+            assert redact(text) == f"so {head}[secret]{head[-1]} it is"
+            (r,) = scan_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect() if n == 5000 else (None,)
+            assert r is None or f"guess:{at}:{at + n}" in r.spans
+        assert redact(f'pwd: "{"z" * n}"') == f'pwd: "{"z" * n}"'  # long, but easy to guess
+
+
+def plain_cost(value):
+    """guess_cost by its definition: all segmentations, repeats counted by comparison."""
+    n, low = len(value), value.lower()
+    plain, best = low.translate(secret_scan._LEET), [0.0] + [math.inf] * n
+    b, R = secret_scan._brute, secret_scan._RANK
+
+    def walk(i, j):
+        return all(secret_scan._adjacent(low[x - 1], low[x]) for x in range(i + 1, j))
+
+    for i in range(n):
+        def to(j, cost, base=best[i]):
+            best[j] = min(best[j], base + cost)
+
+        to(i + 1, b(value[i]))
+        m = secret_scan._DATE.match(value, i)
+        if m:
+            to(m.end(), math.log10(120 * (1 if m.end() - i == 4 else 365)))
+        for j in range(i + 3, min(n, i + 40) + 1):
+            piece = value[i:j]
+            for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
+                if form in R:
+                    to(j, math.log10(R[form] + 1) + extra + (0.0 if piece.islower() else 0.5))
+            steps = {ord(y) - ord(x) for x, y in zip(piece, piece[1:])}
+            if len(steps) == 1 and abs(min(steps)) <= 1 and piece[1:].isalnum():
+                to(j, b(value[i]) + math.log10((j - i) * 2))
+            if j - i >= 4 and walk(i, j):
+                to(j, math.log10(47 * (j - i) * 4))
+        for size in range(2, min(20, (n - i) // 2) + 1):
+            k = 1
+            while value[i + k * size : i + (k + 1) * size] == value[i : i + size]:
+                k += 1
+            if k > 1:
+                to(i + k * size, sum(map(b, value[i : i + size])) + math.log10(k))
+    return best[n]
+
+
+def test_guess_cost_keeps_its_result_and_is_about_linear():
+    rng = random.Random(6)
+    parts = ["password", "P@ssw0rd", "qwerty", "2024-01-31", "1999", "abc", "zzzz", "321", "é", "xY9", "ab", "0000", "kX", " ", "asdfgh", "\\n"]
+    for _ in range(400):
+        value = "".join(rng.choice(parts) * rng.choice([1, 1, 1, 2, 5]) for _ in range(rng.randint(1, 12)))
+        cost = plain_cost(value)
+        assert math.isclose(guess_cost(value), cost, abs_tol=1e-9)
+        assert (guess_cost(value, COST) >= COST) == (guess_cost(value) >= COST)
+    for value in ("ab" * 5_000, "a" * 10_000, "password" * 1_250):
+        began = time.process_time()
+        guess_cost(value)
+        assert time.process_time() - began < 10
