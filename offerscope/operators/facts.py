@@ -14,23 +14,40 @@ def segments(docs: DataFrame, least: int = 12, most: int = 420, key: str = "doc_
     return first.select(key, "s.at", "s.segment")
 
 
-def apply_rules(rows: DataFrame, rules: list[dict], key: str = "doc_id") -> DataFrame:
-    """(key, at, fact_type, fact_text, evidence, confidence, ordinal) of all matches.
-
-    A rule has fact_type, pattern (with one group), required and excluded cues, radius and confidence. The number
-    of rules is fixed by the program; they are one array literal, exploded over each segment, so a
-    segment is read once whatever the number of rules, and cues are looked for in the radius around the match.
+def _rule_values(text: Column, rule: dict, every: bool) -> Column:
+    """Distinct values of a rule's matches whose surroundings have the required cue and not the excluded one."""
+    whole, value = (F.regexp_extract_all(text, F.lit(rule["pattern"]), F.lit(i)) for i in (0, 1))
+    gaps, radius = F.split(text, rule["pattern"], -1), rule.get("radius", 60)
+    chars = lambda texts: F.aggregate(texts, F.lit(0), lambda n, x: n + F.length(x))
+
+    def around(v: Column, i: Column) -> Column:
+        place = chars(F.slice(gaps, F.lit(1), i + 1)) + chars(F.slice(whole, F.lit(1), i)) + F.instr(F.get(whole, i), v)
+        start = F.greatest(place - radius, F.lit(1))
+        return F.substring(text, start, place + F.length(v) + radius - start)
+
+    found = F.transform(value, lambda v, i: F.struct(v.alias("value"), around(v, i).alias("around")))
+    found = found if every else F.slice(found, 1, 1)
+    if rule.get("required"):
+        found = F.filter(found, lambda m: m["around"].rlike(rule["required"]))
+    if rule.get("excluded"):
+        found = F.filter(found, lambda m: ~m["around"].rlike(rule["excluded"]))
+    return F.array_distinct(F.filter(F.transform(found, lambda m: m["value"]), lambda v: v != ""))
+
+
+def apply_rules(rows: DataFrame, rules: list[dict], key: str = "doc_id", every: bool = True) -> DataFrame:
+    """(key, at, fact_type, fact_text, evidence, confidence, ordinal) of all matches, distinct for each segment and rule.
+
+    A rule has fact_type, pattern (with one group, matching no empty text), required and excluded cues, radius and
+    confidence. The number of rules is fixed by the program; they are one array literal, exploded over each segment, so
+    a segment is read once whatever the number of rules, and cues are looked for in the radius around each match.
+    With `every` false only a rule's first match in a segment is taken.
     """
-    text = F.lower("segment")
-    made = []
-    for i, r in enumerate(rules):
-        value = F.regexp_extract(text, r["pattern"], 1)
-        place = F.instr(text, value)
-        radius = r.get("radius", 60)
-        around = F.substring(text, F.greatest(place - radius, F.lit(1)), F.length(value) + 2 * radius)
-        ok = (value != "") & (around.rlike(r["required"]) if r.get("required") else F.lit(True)) & (~around.rlike(r["excluded"]) if r.get("excluded") else F.lit(True))
-        made.append(F.when(ok, F.struct(F.lit(r["fact_type"]).alias("fact_type"), value.alias("fact_text"), F.lit(float(r["confidence"])).alias("confidence"), F.lit(i).alias("ordinal"))))
-    found = rows.select(key, "at", "segment", F.explode(F.array_compact(F.array(*made))).alias("f"))
+
+    def made(i: int, r: dict) -> Column:
+        fact = lambda v: F.struct(F.lit(r["fact_type"]).alias("fact_type"), v.alias("fact_text"), F.lit(float(r["confidence"])).alias("confidence"), F.lit(i).alias("ordinal"))
+        return F.transform(_rule_values(F.lower("segment"), r, every), fact)
+
+    found = rows.select(key, "at", "segment", F.explode(F.flatten(F.array(*(made(i, r) for i, r in enumerate(rules))))).alias("f"))
     return found.select(key, "at", "f.fact_type", "f.fact_text", F.col("segment").alias("evidence"), "f.confidence", "f.ordinal")
 
 

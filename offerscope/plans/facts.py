@@ -31,7 +31,8 @@ UNION ALL SELECT doc_id, place, segment, 'license', regexp_extract(s, '(licensed
 
 
 def _found(spark, d):
-    return op.apply_rules(_segments(spark, d), [RULES[0], {**RULES[1], "pattern": "(never to be found)"}, RULES[2]])
+    """As _FOUND has it: years and licenses only, the first of a segment; f3_f10_rules_with_cues has all rules and matches."""
+    return op.apply_rules(_segments(spark, d), [RULES[0], {**RULES[1], "pattern": "(never to be found)"}, RULES[2]], every=False)
 
 
 @query("f2_f13_rules", f"WITH {_FOUND} SELECT doc_id, place, fact_type, fact_text, confidence FROM found")

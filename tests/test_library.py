@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 import tempfile
 
 import numpy as np
@@ -11,9 +12,13 @@ from pyspark.sql import functions as F
 
 from offerscope.functions import text as X
 from offerscope.operators import chunk, curate, embed, evaluate, facts, questions, review, typed_rules
+from offerscope.plans import QUERIES
+from offerscope.plans.facts import RULES as FACT_RULES
 from offerscope.sources import files
 from offerscope.streaming import jobs
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, expr, *values):
     df = spark.createDataFrame([values], ", ".join(f"c{i} string" for i in range(len(values))))
@@ -202,3 +207,35 @@ def test_typed_rules_by_relevance_and_distance(spark):
         (1, "ODEMESIZ_DONEM", "12 ay"), (1, "ODEMESIZ_DONEM", "3 ay"), (4, "GEREKLI_BELGELER", "konut icin gerekli belgeler: kimlik"), (5, "KAR_PAYLASIM_ORANI", "80 / 20"), (6, "HEDEF_KITLE", "emeklilere"),
     ]
     assert tuple(got.filter("doc_id = 5").select(typed_rules.sharing_ratio(F.col("fact_text")).alias("r")).first().r) == (80, 20)
+
+
+def brute_rules(text, rules):
+    text, out = text.lower(), set()
+    for i, r in enumerate(rules):
+        for m in re.finditer(r["pattern"], text):
+            around = text[max(m.start(1) - 60, 0) : m.end(1) + 60]
+            if re.search(r.get("required") or "", around) and not (r.get("excluded") and re.search(r["excluded"], around)):
+                out.add((r["fact_type"], m[1], i))
+    return out
+
+
+def test_rules_find_all_matches(spark):
+    texts = {
+        1: "from 1999 to 2004 and 1999 again, then 2031",
+        2: "token 1234567 " + "x " * 40 + "but 7654321 and 55555 here",
+        3: "99999 first " + "y " * 40 + "token 99999 and 88888",
+        4: "licensed under a, b. also: licensed under c",
+        5: "nothing of the kind",
+    }
+    docs = spark.createDataFrame([(k, 0, v) for k, v in texts.items()], "doc_id long, at int, segment string")
+    rows = facts.apply_rules(docs, FACT_RULES).collect()
+    found = {k: {(r.fact_type, r.fact_text, r.ordinal) for r in rows if r.doc_id == k} for k in texts}
+    assert found == {k: brute_rules(v, FACT_RULES) for k, v in texts.items()}
+    assert {x[1] for x in found[1]} == {"1999", "2004", "2031"} and {x[1] for x in found[2]} == {"7654321", "55555"} and {x[1] for x in found[3]} == {"99999"}
+
+
+def test_rule_query_equals_brute_force(spark):
+    segments = QUERIES["f1_segments"](spark, SF).collect()
+    expected = sorted((r.doc_id, r.place, *f) for r in segments for f in brute_rules(r.segment, FACT_RULES))
+    got = sorted((r.doc_id, r.at, r.fact_type, r.fact_text, r.ordinal) for r in QUERIES["f3_f10_rules_with_cues"](spark, SF).collect())
+    assert got == expected and "number" in {x[2] for x in got}  # years do not occur in this table
