@@ -1,7 +1,7 @@
 """Jaccard join of shingle sets by token-combination prefixes.
 
 Tokens are hashed word shingles. A token is frequent if it is among the FREQUENT most common
-ones (counted over the whole corpus), else rare. All sets are sorted by (count, hash), rare
+ones, else rare. The counts, one order for the whole corpus, are partial: see EXACT_SHARE. All sets are sorted by (count, hash), rare
 tokens first. Of a set with n tokens at most n - ceil(t n) may be missing from a partner, so
 the prefix needs that many signatures and one more: a rare token is a signature by itself;
 frequent tokens are dealt to hash groups, the prefix is extended, and each pair of frequent
@@ -47,7 +47,8 @@ FREQUENT = 1_500_000
 #: Documents that must hold a token, at least, for it to be frequent.
 LEAST_COUNT = 4
 #: Tokens whose hash is in this lowest share of all are counted exactly: these come first in the order, so
-#: prefixes consist of them. Of the others those are counted that a run of COUNT_RUN tokens holds twice.
+#: prefixes consist of them. Of the others those are counted that a run of COUNT_RUN tokens holds twice, so one that
+#: is spread thinly counts as rare; all sets are sorted by the same counts, and results stay exact.
 EXACT_SHARE = 0.4
 COUNT_RUN = 1_000_000
 #: Leaders with which a class is paired in the first pass, those with the most shared signatures.
@@ -192,7 +193,7 @@ def _signer(k: int, percent: int, frequent) -> Callable:
                     own = ranked[a : a + min(rare[i], need[i])]
                     if rare[i] < need[i] and size[i]:
                         own = np.concatenate([own, _pairs(ranked[a + rare[i] : b], int(rare[i]), int(need[i]), percent, int(size[i]))])
-                    sigs.append(own if size[i] > 5 else own[:0])  # smaller sets are over the threshold only if equal
+                    sigs.append(own if 100 * size[i] >= percent * (size[i] + 1) else own[:0])  # else even one more or less is too far: only equal sets link
                     maps.append(_bitmap(h[a:b]))
                 reach = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

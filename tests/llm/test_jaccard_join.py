@@ -63,3 +63,25 @@ def test_any_split_into_frequent_and_rare_gives_the_same(spark, monkeypatch, lea
     expected = brute(rows)
     assert 12 <= len({c for _, _, c in expected}) < len(rows)
     assert got(df) == expected
+
+
+@pytest.mark.parametrize(("percent", "least"), [(80, 2), (80, 10**9), (75, 2)])
+def test_short_texts_link_at_the_threshold(spark, monkeypatch, least, percent):
+    rng = random.Random(percent)
+    rows = []
+    for g in range(30):
+        words = [f"w{g}x{rng.randrange(10**6)}" for _ in range(12)]
+        lo = rng.choice([6, 7, 8, 9])
+        rows += [(len(rows) + i, " ".join(words[:n])) for i, n in enumerate((lo, lo + 1, lo + 1 + g % 2))]
+    monkeypatch.setattr(op, "LEAST_COUNT", least)
+    up = {i: i for i, _ in rows}
+    sets = [shingles(t, 5) for _, t in rows]
+    for b in range(len(rows)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                up = {i: up[a] if r == up[b] else r for i, r in up.items()} if up[a] < up[b] else {i: up[b] if r == up[a] else r for i, r in up.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in op.jaccard_components(df, 5, percent).collect()} == up
+    assert len(set(up.values())) < len(rows)
+    if percent == 80 and least == 2:
+        assert {r.doc_id for r in op.keep_one(df, 5, percent).collect()} == set(up.values())
