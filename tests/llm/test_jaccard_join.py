@@ -41,7 +41,7 @@ def test_equals_brute_force(edge, edge_rows, empty):
     assert got(empty) == Counter()
 
 
-@pytest.mark.parametrize(("least", "bucket", "block"), [(2, 32, 2000), (6, 1, 3), (2, 1, 2), (10**9, 2, 5)])
+@pytest.mark.parametrize(("least", "bucket", "block"), [(2, 32, 400_000), (6, 1, 300), (2, 1, 200), (10**9, 2, 500)])
 def test_any_split_into_frequent_and_rare_gives_the_same(spark, monkeypatch, least, bucket, block):
     rng = random.Random(least)
     vocab = [f"v{i}" for i in range(300)]
