@@ -43,7 +43,14 @@ def test_equals_brute_force(edge, edge_rows, empty):
 def test_salted_homes_and_hot_anchors_give_the_same(edge, edge_rows, monkeypatch, homes):
     monkeypatch.setattr(op, "HOME_BYTES", homes)
     monkeypatch.setattr(op, "SHARD_BYTES", homes)
-    hashes = [r.h for r in edge.filter("text is not null").select("doc_id", "text").filter("doc_id is not null").mapInArrow(op._emit_anchors, "doc_id long, h long").groupBy("h").count().filter("count > 2").limit(20).collect()]
+    hashes = [(r.h, 7) for r in edge.filter("text is not null").select("doc_id", "text").filter("doc_id is not null").mapInArrow(op._emit_anchors, "doc_id long, h long").groupBy("h").count().filter("count > 2").limit(20).collect()]
     assert hashes
     monkeypatch.setattr(op, "_hot", lambda texts: hashes)
     assert got(edge) == brute([(r[0], r[1]) for r in edge_rows])
+
+
+def test_rows_that_repeat_an_id_with_another_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    base, own = " ".join(words), " ".join(f"own{i}" for i in range(60))
+    rows = [(1, base), (2, "before it all " + base), (2, "short"), (2, base + " tail"), (3, own), (3, own), (4, own[:200])] + [(i, " ".join(f"u{i}x{k}" for k in range(30))) for i in range(5, 11)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute(rows)
