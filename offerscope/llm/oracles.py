@@ -19,14 +19,18 @@ kept AS (SELECT word.doc_id, count(*) AS n_kept, string_agg(x, ' ' ORDER BY word
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-# The draws of the hash tree as a race of all leaves, which has the same winner; crc32 by its table.
-OP2 = r"""
+# The hash tree level by level (regions of 10 shards, racks of 5, the 41st shard alone in a fifth region); crc32 by its table.
+_DRAW = "-ln((('0x' || substr(md5(doc_id || '/{kind}' || n), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE)"
+OP2 = rf"""
 WITH crc AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
 raw AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
 sums AS (SELECT doc_id, n + 16 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(b, lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS text_crc32 FROM raw, crc),
-draw AS (SELECT doc_id, leaf, -ln((('0x' || substr(md5(doc_id || '/' || leaf), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) AS e FROM documents, range(41) AS r(leaf)),
-won AS (SELECT doc_id, arg_min(leaf, e) FILTER (leaf < 40) AS shard, arg_min(leaf, e) AS grown_shard FROM draw GROUP BY doc_id)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(doc_id::VARCHAR), 1, 2), doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM sums JOIN won USING (doc_id)
+grown AS (SELECT unnest([false, true]) AS g),
+region AS (SELECT doc_id, g, arg_min(n, {_DRAW.format(kind="region")} / CASE WHEN n = 4 THEN 1 ELSE 10 END) AS region FROM documents, grown, range(5) AS r(n) WHERE g OR n < 4 GROUP BY doc_id, g),
+rack AS (SELECT doc_id, g, arg_min(n, {_DRAW.format(kind="rack")} / CASE WHEN n = 8 THEN 1 ELSE 5 END) AS rack FROM region, range(9) AS r(n) WHERE n // 2 = region GROUP BY doc_id, g),
+leaf AS (SELECT doc_id, g, arg_min(n, {_DRAW.format(kind="shard")}) AS leaf FROM rack, range(41) AS r(n) WHERE n // 5 = rack GROUP BY doc_id, g),
+won AS (SELECT doc_id, max(leaf) FILTER (NOT g)::INT AS shard, max(leaf) FILTER (g)::INT AS grown_shard FROM leaf GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id || '/' || text_crc32), 1, 3))::BIGINT // 4, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM sums JOIN won USING (doc_id)
 """
 
 OP5 = """
