@@ -46,7 +46,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"), vocabulary=byte_bpe())
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

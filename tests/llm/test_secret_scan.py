@@ -7,6 +7,8 @@ import re
 import string
 import time
 
+import public_tokenizers
+
 from offerscope.llm import secret_scan
 from offerscope.llm.secret_scan import COST, base_spans, guess_cost, redact, scan_documents
 
@@ -83,40 +85,57 @@ def test_long_quoted_values_are_found_and_masked(spark):
         assert redact(f'pwd: "{"z" * n}"') == f'pwd: "{"z" * n}"'  # long, but easy to guess
 
 
-def plain_cost(value):
-    """guess_cost by its definition: all segmentations, repeats counted by comparison."""
-    n, low = len(value), value.lower()
-    plain, best = low.translate(secret_scan._LEET), [0.0] + [math.inf] * n
-    b, R = secret_scan._brute, secret_scan._RANK
-
-    def walk(i, j):
-        return all(secret_scan._adjacent(low[x - 1], low[x]) for x in range(i + 1, j))
-
-    for i in range(n):
-        def to(j, cost, base=best[i]):
-            best[j] = min(best[j], base + cost)
-
-        to(i + 1, b(value[i]))
-        m = secret_scan._DATE.match(value, i)
-        if m:
-            to(m.end(), math.log10(120 * (1 if m.end() - i == 4 else 365)))
-        for j in range(i + 3, min(n, i + 40) + 1):
-            piece = value[i:j]
-            for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
-                if form in R:
-                    to(j, math.log10(R[form] + 1) + extra + (0.0 if piece.islower() else 0.5))
-            steps = {ord(y) - ord(x) for x, y in zip(piece, piece[1:])}
-            if len(steps) == 1 and abs(min(steps)) <= 1 and piece[1:].isalnum():
-                to(j, b(value[i]) + math.log10((j - i) * 2))
-            if j - i >= 4 and walk(i, j):
-                to(j, math.log10(47 * (j - i) * 4))
-        for size in range(2, min(20, (n - i) // 2) + 1):
-            k = 1
-            while value[i + k * size : i + (k + 1) * size] == value[i : i + size]:
-                k += 1
-            if k > 1:
-                to(i + k * size, sum(map(b, value[i : i + size])) + math.log10(k))
-    return best[n]
+def piece_cost(value, i, j, rank):
+    """Cheapest way to guess value[i:j] as one piece."""
+    b, piece, low = secret_scan._brute, value[i:j], value[i:j].lower()
+    costs = [b(piece)] if j - i == 1 else []
+    costs += [cost for end, cost in secret_scan.dates_at(value, i) if end == j]
+    if 3 <= j - i <= 40:
+        for form, extra in ((low, 0.0), (low.translate(secret_scan._LEET), 0.6)):
+            if form in rank:
+                costs.append(math.log10(rank[form] + 1) + extra + (0.0 if piece.islower() else 0.5))
+        steps = {ord(y) - ord(x) for x, y in zip(piece, piece[1:])}
+        if len(steps) == 1 and abs(min(steps)) <= 1 and piece[1:].isalnum():
+            costs.append(b(piece[0]) + math.log10((j - i) * 2))
+        if j - i >= 4 and all(secret_scan._adjacent(x, y) for x, y in zip(low, low[1:])):
+            costs.append(math.log10(47 * (j - i) * 4))
+    for size in range(2, 21):
+        k, rest = divmod(j - i, size)
+        block = value[i : i + size]
+        if k > 1 and not rest and piece == block * k and value[j : j + size] != block:
+            costs.append(sum(map(b, block)) + math.log10(k))
+    return min(costs, default=math.inf)
+
+
+def plain_cost(value, rank=secret_scan.ranks(None)):
+    """guess_cost by its definition: the least over all cuts, each prefix once."""
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + piece_cost(value, i, j, rank) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_over_every_segmentation():
+    rng = random.Random(8)
+    parts = ["pass", "my", "abc", "21", "zz", "qwer", "1999", "x", "é", "K", "aa", "31", "12", "99", "-"]
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    rank = secret_scan.ranks(vocabulary)
+    assert len(rank) > 10_000 and rank["password"] == 1
+    for _ in range(60):
+        value = "".join(rng.choice(parts) for _ in range(6))[: rng.randint(1, 11)]
+        n = len(value)
+        every = []
+        for cuts in range(1 << (n - 1)):
+            at = [0, *(i for i in range(1, n) if cuts >> (i - 1) & 1), n]
+            every.append(sum(piece_cost(value, i, j, rank) for i, j in zip(at, at[1:])))
+        assert math.isclose(guess_cost(value, vocabulary=vocabulary), min(every), abs_tol=1e-9)
+
+
+def test_words_of_the_vocabulary_and_short_years_are_cheap():
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    for value in ("environment", "correcthouse", "31-01-99", "990131", "12/31/99", "Development24"):
+        assert guess_cost(value, vocabulary=vocabulary) < COST
+    assert guess_cost("kX93vQz1Lw8", vocabulary=vocabulary) >= COST
 
 
 def test_guess_cost_keeps_its_result_and_is_about_linear():
