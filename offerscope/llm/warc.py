@@ -5,9 +5,10 @@ Zstandard frame with its content size and checksum. The reader loads the diction
 leading frame, decodes frame by frame, and validates version line, header fields, content
 length, block ends and payload digests; a defect raises an error that names file and record.
 
-Archives are written by the tasks to the shared folder under a name of their own attempt and
-then renamed, so that a task that is run again replaces its files. They are read back with the
-binary-file source. Only digests and ids are grouped, after pre-aggregation; a payload that
+Archives are written by the tasks to the shared folder under names of their own attempt. The
+manifest, a Parquet table, has the files and record counts of the attempts that Spark committed; only
+these are read back, so that what lost, repeated or speculative attempts left is never seen, and a
+count that differs is an error. Only digests and ids are grouped, after pre-aggregation; a payload that
 very many pages share is split by the engine's skew join handling.
 
 Defined results: null html is an empty payload; payloads under `least` bytes are all responses;
@@ -146,11 +147,10 @@ def _writer(folder: str, dictionary: bytes) -> Callable:
 
         def close():
             nonlocal made, count, held
-            name = f"{base}/part-{context.partitionId():06d}-{made:04d}.warc.zst"
-            trial = f"{base}/.trial-{context.taskAttemptId()}-{made:04d}"
-            with store.open_output_stream(trial) as out:
+            # an attempt has files of its own; the manifest has those of the attempts that Spark committed
+            name = f"part-{context.partitionId():06d}-{context.taskAttemptId():012d}-{made:04d}.warc.zst"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(dictionary_frame(dictionary) + b"".join(parts))
-            store.move(trial, name)
             row = pa.RecordBatch.from_pydict({"file": [name], "records": [count], "size": [held]}, schema=pa.schema([("file", pa.string()), ("records", pa.int64()), ("size", pa.int64())]))
             made, count, held = made + 1, 0, 0
             parts.clear()
@@ -188,12 +188,22 @@ def read_archive(name: str, archive: bytes) -> Iterator[dict]:
             raise ValueError(f"{name}, record {i}: {e!r}") from e
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(folder: str) -> Callable:
+    """Rows (file, records) of the manifest: the records of these archives, as many as were written."""
     kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    for batch in batches:
-        for name, archive in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = [{k: r[k] for k in kinds.names} for r in read_archive(name, archive.as_py())]
-            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    archive = f.read()
+                rows = [{k: r[k] for k in kinds.names} for r in read_archive(name, archive)]
+                if len(rows) != records:
+                    raise ValueError(f"{name} has {len(rows)} records, {records} were written")
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    return run
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
@@ -225,9 +235,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of all archives in a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("path", "content").mapInArrow(_reader, SCHEMA)
+    """Records of the archives that the folder's manifest names; files of lost or repeated task attempts aren't read."""
+    manifest = spark.read.schema("file string, records long, size long").parquet(f"{folder}/manifest")
+    files = manifest.select("file", "records").repartition(F.col("file"))  # an archive has ARCHIVE_BYTES at most, so a task holds one of them at a time
+    return files.mapInArrow(_reader(folder), SCHEMA)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

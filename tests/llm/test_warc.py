@@ -39,6 +39,20 @@ def test_round_trip(spark, monkeypatch):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_only_committed_archives_are_read(spark, tmp_path):
+    folder = f"file://{tmp_path}/warc"
+    df = spark.createDataFrame(pages(), SCHEMA).select("page_id", "url", "html").repartition(2)
+    made = warc.write_archives(df, folder).collect()
+    good = sorted((tuple(r) for r in warc.read_archives(spark, folder).collect()), key=str)
+    assert len(good) == len(pages()) == sum(r.records for r in made)
+    stray = warc.record(1, "http://x", b"hello", hashlib.sha256(b"hello").hexdigest(), None)
+    (tmp_path / "warc" / "part-000000-000000000099-0000.warc.zst").write_bytes(archive([stray]))
+    assert sorted((tuple(r) for r in warc.read_archives(spark, folder).collect()), key=str) == good
+    (tmp_path / "warc" / made[0].file).write_bytes(archive([stray]))
+    with pytest.raises(Exception, match="were written"):
+        warc.read_archives(spark, folder).collect()
+
+
 def archive(records, dictionary=b""):
     tool = zstandard.ZstdCompressor(write_checksum=True, write_content_size=True, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     return warc.dictionary_frame(dictionary) + b"".join(map(tool.compress, records))
