@@ -7,6 +7,10 @@ over its limit) has the largest dot product with the sequence's remaining capaci
 piece fits whole, the largest one is cut to what is left, so only segment or loss limits and a
 task's last sequence leave padding. Instruction examples are packed without cuts.
 
+The limits of documents bind: a sequence bears at most LOSS loss tokens, a little under its 2048 tokens, so
+a long document's inner pieces have LOSS ids and a sequence is filled up only by beginnings, whose first id bears no loss; and it
+has at most SEGMENTS segments, so the tiniest documents are spread over sequences.
+
 Each task packs its own rows in one streaming pass: no shuffle, memory bounded by the
 buffer, and the token ids never leave the task. Sequence numbers hold the partition number in
 the upper bits, so they are unique and a task that is run again gives the same rows.
@@ -39,6 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+#: Loss-bearing tokens and segments of a sequence of documents.
+LOSS, SEGMENTS = 2046, 12
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Words whose ids a worker remembers: twice so many.
 REMEMBERED = 150_000
@@ -51,8 +57,8 @@ _CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 512
-    loss: int = 2048
+    segments: int = SEGMENTS
+    loss: int = LOSS
     #: Pieces, and full sequences of tokens, that wait in a task.
     buffer: int = 4096
     waiting: int = 64
@@ -138,14 +144,14 @@ def pack(pieces: Iterator[tuple], limits: Limits, loss_of: Callable[[int, int],
         there = np.ones(len(waiting), bool)
         room = np.array([limits.tokens, limits.segments, limits.loss])
         out, offset, rest = [], 0, None
-        while room.all():
+        while room[0] and room[1]:
             fits = np.flatnonzero(there & (size <= room[0]) & (loss <= room[2]))
             if len(fits):
                 gain = size[fits] * (room[0] / limits.tokens**2) + room[1] / limits.segments**2 + loss[fits] * (room[2] / limits.loss**2)
                 at = int(fits[np.argmax(gain)])
                 piece = waiting[at]
                 there[at] = False
-            elif loss_of and there.any():
+            elif loss_of and there.any() and room[2]:
                 at = int(np.argmax(np.where(there, size, -1)))
                 tokens, _, key, start = waiting[at]
                 own = min(tokens, int(room[0]), int(room[2]))
@@ -166,8 +172,8 @@ def pack(pieces: Iterator[tuple], limits: Limits, loss_of: Callable[[int, int],
     for piece in pieces:
         if piece[0] > limits.tokens or piece[1] > limits.loss:
             raise ValueError("a piece is over the limits")
-        if piece[0] == limits.tokens:
-            yield [(piece, 0)]
+        if piece[0] == limits.tokens or piece[1] == limits.loss and limits.tokens - limits.loss < 4:
+            yield [(piece, 0)]  # full, or all but full
             continue
         waiting.append(piece)
         held += piece[0]
@@ -194,9 +200,11 @@ def _packer(path: str, end_id: int, limits: Limits) -> Callable:
                         ids = token_bytes(path, text or "") + end
                         n = len(ids) // 4
                         texts[key] = [doc, ids, n]
-                        for start in range(0, n, limits.tokens):
-                            size = min(limits.tokens, n - start)
-                            yield size, size - (start == 0), key, start
+                        start = 0
+                        while start < n:
+                            size = min(limits.tokens, limits.loss + (start == 0), n - start)
+                            yield size, document_loss(start, size), key, start
+                            start += size
                         key += 1
 
         number = TaskContext.get().partitionId() << 36

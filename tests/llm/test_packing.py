@@ -27,9 +27,27 @@ def test_chunks_give_the_ids_of_whole_texts():
         assert np.frombuffer(token_bytes(PATH, text), "<u4").tolist() == REAL.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(tokens=64, segments=3, loss=60), Limits(tokens=2048, buffer=5, waiting=2)])
+def test_every_code_point_gives_the_ids_of_the_library():
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000, 1)] if c < 0x32000 or c % 61 == 0 or 0xE0000 <= c < 0xE0200]
+    texts = ["".join(f"a{c}b {c} {c}{c}1" for c in points[i : i + 400]) for i in range(0, len(points), 400)]
+    for text, real in zip(texts, REAL.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(token_bytes(PATH, text), "<u4").tolist() == real.ids
+
+
+def test_the_limits_of_documents_bind(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seqs = defaultdict(list)
+    for r in pack_documents(docs, PATH, 1).collect():
+        seqs[r.sequence_id].append(r)
+    limits = Limits()
+    size, loss = [sum(r.length for r in s) for s in seqs.values()], [sum(r.loss_tokens for r in s) for s in seqs.values()]
+    assert max(loss) == limits.loss and sum(x == limits.loss for x in loss) > len(seqs) / 4
+    assert max(map(len, seqs.values())) <= limits.segments and sum(size) > 0.97 * 2048 * len(seqs)
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(tokens=64, segments=3, loss=60), Limits(tokens=2048, segments=512, loss=2048, buffer=5, waiting=2)])
 def test_every_id_lies_in_one_piece(edge, edge_rows, empty, limits):
-    small = Limits(limits.tokens, limits.segments, max(limits.loss, limits.tokens), limits.buffer, limits.waiting)
+    small = limits
     rows = pack_documents(edge, PATH, 1, small).collect()
     by = defaultdict(list)
     for r in rows:
@@ -62,9 +80,9 @@ def test_every_id_lies_in_one_piece(edge, edge_rows, empty, limits):
             assert r.offset == at
             at += r.length
         assert at <= small.tokens and len(own) <= small.segments and sum(r.loss_tokens for r in own) <= small.loss
-    if small.segments > 100 and small.buffer > 100:
+    if small == Limits():
         used = sum(r.length for r in rows)
-        assert len(seqs) <= used / small.tokens + 2 * 3 + 1
+        assert len(seqs) <= used / small.loss + len(rows) / small.segments + 2 * 3 + 1
     assert pack_documents(empty, PATH, 1, small).count() == 0
 
 
