@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. Near duplicates link at five words and a Jaccard similarity of 0.8.
+
+Defined results: null and empty texts are rejected by the rules (they have too few words); a row with a null doc_id passes
+the Jaccard join and the decontamination and is packed; rows that repeat one wholly give one row after the Jaccard join, rows that
+repeat a doc_id with another text are documents of their own; very long texts are worked on whole;
+further columns, whatever their names, are carried to the packing; empty tables give empty stages.
 """
 
 from __future__ import annotations

@@ -422,4 +422,4 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     order = F.xxhash64(*(F.col("row")[f.name] for f in docs.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double", "boolean", "date", "timestamp")))
     one = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(order))  # the join has its rows in this order
     found = found.withColumn("place", one).filter("place = 1").select("row.*")
-    return found.unionByName(docs.filter("doc_id is null"))
+    return found.union(docs.filter("doc_id is null"))

@@ -75,6 +75,13 @@ b AS (SELECT *, (n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words):
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits::BIGINT AS failed_bits, failed_bits & {quality_rules.BASE} <> 0 AS base_failed, failed_bits & {_B} = 0 AS kept FROM b
 """
 
+_M = quality_rules.POLICIES[quality_rules.CURRENT]
+_RULES = ", ".join(f"('{name}', {1 << b})" for name, b in quality_rules.RULES.items() if _M >> b & 1)
+ABLATIONS = f"""
+WITH f AS (SELECT failed_bits & {_M} AS own FROM ({OP10})), r(rule, bit) AS (VALUES {_RULES})
+SELECT rule, count(*) FILTER (own & bit <> 0) AS n_failed, count(*) FILTER (own = bit) AS n_only, count(*) FILTER (own & ~bit = 0) AS n_kept_without FROM r, f GROUP BY rule
+"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1,
     "op2_hash_tree_sharding": OP2,
@@ -82,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op7_ngram_jaccard_join": OP7,
     "op9_benchmark_decontamination": OP9,
     "op10_quality_rules": OP10,
+    "quality_rule_ablations": ABLATIONS,
 }

@@ -102,5 +102,23 @@ def test_edges(spark, edge, edge_rows, empty):
     assert len(ids) == len(set(ids)) and kept.filter("doc_id is null").count() == 2
 
 
+def test_further_columns_of_any_name_are_carried(spark, edge):
+    docs = edge.selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 AS row", "'k' AS key", "doc_id AS component", "named_struct('a', 1) AS first", "map('x', 2) AS kept_id", "array(doc_id) AS doc", "2.5D AS rep", "date'2020-01-01' AS `a b`", "doc_id AS item_id", "lang AS h", "3 AS place")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        plain = stage(spark, edge.select("doc_id", "text", "lang", "source", "n_chars"), SF)
+        assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(str((r.doc_id, r.text)) for r in plain.collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (1, b), (2, a + " tail"), (3, b.replace("b20", "other")), (4, "c " + b), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert kept == sorted([(1, a), (1, b), (3, rows[4][1]), (5, "")])
+
+
 def test_run_gives_the_last_stage(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[-1].count()
