@@ -47,10 +47,12 @@ from tokenizers import Tokenizer
 LOSS, SEGMENTS = 2046, 12
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Words whose ids a worker remembers: twice so many.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Fixed value: the usual pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WHITE = "\t-\r \x85\xa0  -     　"
+#: Where one of these is in a text, chunks are cut by the pattern; else a cut at each space and line end gives the same.
+_HARD = ("\0", "  ", " \n", "\n ", "\n\n", *(chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
@@ -124,7 +126,8 @@ def token_bytes(path: str, text: str) -> bytes:
     words = _KNOWN[path]
     if any(t in text for t in words.special):
         return np.array(words.whole(text), "<u4").tobytes()
-    return b"".join(map(words.__getitem__, _CHUNK.findall(text)))
+    chunks = _CHUNK.findall(text) if any(x in text for x in _HARD) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return b"".join(map(words.__getitem__, chunks))
 
 
 def document_loss(start: int, tokens: int) -> int:
