@@ -60,7 +60,10 @@ def period_change(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Banks whose set of attributes changed, appeared or went between two periods, with the difference in facts."""
 
     def signed(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("bank").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "fact_type", "fact_text"))), "|"), 256).alias(f"sign_{name}"), F.count("*").alias(f"n_{name}"))
+        own = df.groupBy("bank", "fact_type", "fact_text").agg(F.count("*").alias("n"))
+        # a digest of the set that is combined in any order: no bank's facts are gathered
+        sign = F.struct(F.count("*"), F.bit_xor(F.xxhash64("fact_type", "fact_text")), F.bit_xor(F.xxhash64(F.lit(1), "fact_type", "fact_text")))
+        return own.groupBy("bank").agg(sign.alias(f"sign_{name}"), F.sum("n").alias(f"n_{name}"))
 
     both = signed(current, "now").join(signed(baseline, "then"), "bank", "full")
     return both.select("bank", (~F.col("sign_now").eqNullSafe(F.col("sign_then"))).alias("changed"), (F.coalesce("n_now", F.lit(0)) - F.coalesce("n_then", F.lit(0))).alias("fact_delta"), F.coalesce("n_then", F.lit(0)).alias("baseline"))
@@ -138,12 +141,13 @@ def version_groups(snaps: DataFrame) -> DataFrame:
 def as_of(snaps: DataFrame, days: DataFrame, by: str = "product") -> DataFrame:
     """For each asked day and key the latest searchable snapshot on or before it.
 
-    The days are grouped with the snapshots by key, so a running maximum answers all days at once
-    without pairing each day with all earlier snapshots.
+    Snapshots are first combined to one for each key and day, then asked days join them by key and a running
+    maximum answers all days at once: the window sees calendar days, not snapshots.
     """
     keys = snaps.select(by).distinct()
     asked = keys.crossJoin(days.distinct()).select(by, F.col("as_of").alias("day"), F.lit(1).alias("asked"), F.lit(None).cast("long").alias("snap_id"))
-    rows = snaps.filter("searchable").select(by, "day", F.lit(0).alias("asked"), "snap_id").unionByName(asked)
+    daily = snaps.filter("searchable").groupBy(by, "day").agg(F.max("snap_id").alias("snap_id"))
+    rows = daily.select(by, "day", F.lit(0).alias("asked"), "snap_id").unionByName(asked)
     last = Window.partitionBy(by).orderBy("day", "asked", "snap_id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("found", F.last("snap_id", ignorenulls=True).over(last)).filter("asked = 1").select(by, F.col("day").alias("as_of"), F.col("found").alias("snap_id"))
 

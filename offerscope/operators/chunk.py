@@ -2,13 +2,15 @@
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerscope.functions.text import fold_text, stable_digest
+from offerscope.functions.text import canonical_url_offer, fold_text, stable_digest
 
 CHUNKS = "doc_id long, chunk_index int, section string, content string, n_words int"
 _END = re.compile(r"[.!?;][\"')]*$")
@@ -136,14 +138,33 @@ def embedding_context(title: Column, bank: Column, product: Column, section: Col
 
 
 def weighted_postings(rows: DataFrame, fields: dict[str, str], key: str = "doc_id") -> DataFrame:
-    """(key, term, weight, tf): accent-folded terms of fields with weights A to C; counts are combined before the shuffle."""
+    """(key, term, weight, tf): accent-folded terms of fields with weights A to C.
 
-    def weighted(column: str, weight: str) -> Column:
-        terms = F.filter(F.split(F.regexp_replace(fold_text(column), "[^a-z0-9]+", " "), " "), lambda t: t != "")
-        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+    All terms of a row are in it, so they are counted where it is read, without a shuffle; the key is unique to a row.
+    """
+    folded = [F.trim(F.regexp_replace(fold_text(c), "[^a-z0-9]+", " ")).alias(f"field{i}") for i, c in enumerate(fields)]
+    weights = list(fields.values())
 
-    parts = [weighted(c, w) for c, w in fields.items()]
-    return rows.select(key, F.explode(F.concat(*parts)).alias("p")).groupBy(key, "p.term", "p.weight").agg(F.count("*").alias("tf"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 200):
+                part, at, terms, weight, tf = batch.slice(lo, 200), [], [], [], []
+                for i in range(len(part)):
+                    for w in sorted(set(weights)):
+                        said = Counter(t for f, own in enumerate(weights, 1) if own == w for t in (part.column(f)[i].as_py() or "").split())
+                        at += [i] * len(said)
+                        terms += said.keys()
+                        weight += [w] * len(said)
+                        tf += said.values()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(weight, pa.string()), pa.array(tf, pa.int64())], names=[key, "term", "weight", "tf"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, *folded).mapInArrow(run, f"{key} {kind}, term string, weight string, tf long")
+
+
+def offer_id(bank: Column, product: Column, url: Column, title: Column, boundary: Column, start: Column, end: Column) -> Column:
+    """Digest of what makes an offer: bank, product, canonical address, title, identity facts and days."""
+    return stable_digest(bank, product, canonical_url_offer(url), title, boundary, start.cast("string"), end.cast("string"))
 
 
 def sync_chunks(desired: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,10 +27,24 @@ def protect_groups(candidates: DataFrame, protected: DataFrame, group: str) -> D
 
 
 def hard_negatives(sentences: DataFrame, positives: DataFrame, ratio: float) -> DataFrame:
-    """Sentences with a digit that aren't positive, by digest; round(ratio * positives) of them."""
+    """Sentences with a digit that aren't positive, by digest; round(ratio * positives) of them.
+
+    The digests' first four digits are counted (65,536 rows at most); those below the one in which the number is reached are
+    taken whole, and only within that one are sentences put in order.
+    """
     n = int(round(ratio * positives.count()))
     rows = sentences.filter(F.length("sentence").between(40, 420) & F.col("sentence").rlike("[0-9]")).join(positives.select("sentence").distinct(), "sentence", "left_anti")
-    return rows.select("sentence").distinct().withColumn("digest", F.sha2("sentence", 256)).orderBy("digest").limit(n)
+    rows = rows.select("sentence").distinct().withColumn("digest", F.sha2("sentence", 256)).withColumn("head", F.substring("digest", 1, 4))
+    before, last = 0, ""
+    for r in rows.groupBy("head").count().orderBy("head").collect():
+        if before + r["count"] > n:
+            last = r["head"]
+            break
+        before += r["count"]
+    else:
+        return rows.drop("head")
+    rest = rows.filter(F.col("head") == last).orderBy("digest").limit(n - before)
+    return rows.filter(F.col("head") < last).unionByName(rest).drop("head")
 
 
 def merge_train(base: DataFrame, extra: DataFrame, text: Column) -> DataFrame:

@@ -207,15 +207,15 @@ def d3(spark, d):
     return op.incremental_gate(i, state, "v2").select("doc_id")
 
 
-@query("d4_intake_action", f"""WITH {_ID}, inc AS (SELECT doc_id % 500 AS record_key, source AS bank, digest, n_chars % 7 = 0 AS review, doc_id FROM i WHERE doc_id % 2 = 0),
-cur AS (SELECT doc_id % 500 AS record_key, source AS bank, digest FROM i WHERE doc_id < 400 QUALIFY row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id) = 1)
+@query("d4_intake_action", f"""WITH {_ID}, k AS (SELECT *, lang || '/' || n_chars AS record_key FROM i), inc AS (SELECT record_key, source AS bank, digest, n_chars % 7 = 0 AS review, doc_id FROM k WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+cur AS (SELECT record_key, source AS bank, digest FROM k WHERE doc_id IN (SELECT doc_id FROM labels) QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY doc_id) = 1)
 SELECT inc.record_key, inc.bank, inc.digest, CASE WHEN c.digest = inc.digest THEN 'unchanged_skipped' WHEN c.digest IS NULL AND EXISTS (SELECT 1 FROM cur x WHERE x.bank = inc.bank AND x.digest = inc.digest) THEN 'duplicate_content_skipped'
 WHEN inc.review THEN 'review_queued' WHEN c.digest IS NOT NULL THEN 'changed_document_review_queued' ELSE 'inserted' END AS action FROM inc LEFT JOIN cur c USING (record_key)""")
 def d4(spark, d):
-    i = _ident(spark, d)
-    key = (F.col("doc_id") % 500).alias("record_key")
-    inc = i.filter("doc_id % 2 = 0").select(key, F.col("source").alias("bank"), "digest", (F.col("n_chars") % 7 == 0).alias("review"))
-    cur = i.filter("doc_id < 400").select(key, F.col("source").alias("bank"), "digest")
+    i, known = _ident(spark, d), A.table(spark, d, "labels").select("doc_id").distinct()
+    key = F.concat_ws("/", "lang", F.col("n_chars").cast("string")).alias("record_key")
+    inc = i.join(known, "doc_id", "left_anti").select(key, F.col("source").alias("bank"), "digest", (F.col("n_chars") % 7 == 0).alias("review"))
+    cur = i.join(known, "doc_id", "left_semi").groupBy(key).agg(F.min_by(F.struct(F.col("source").alias("bank"), "digest"), "doc_id").alias("first")).select("record_key", "first.*")
     return op.intake_action(inc, cur)
 
 

@@ -26,26 +26,28 @@ def f1(spark, d):
     return _segments(spark, d).withColumnRenamed("at", "place")
 
 
-_FOUND = f"""{SEG}, t AS (SELECT doc_id, place, segment, lower(segment) AS s FROM seg), f AS (SELECT doc_id, place, segment, 'year' AS fact_type, regexp_extract(s, '\\b((19|20)[0-9]{{2}})\\b', 1) AS fact_text, 0.97::DOUBLE AS confidence, 0 AS ordinal FROM t
-UNION ALL SELECT doc_id, place, segment, 'license', regexp_extract(s, '(licensed under[a-z ,]+)', 1), 0.95, 2 FROM t), found AS (SELECT * FROM f WHERE fact_text <> '')"""
+_FOUND = f"""{SEG}, t AS (SELECT doc_id, place, segment, lower(segment) AS s FROM seg), g AS (SELECT *, string_split_regex(s, '\\b[0-9]{{5,}}\\b') AS gaps, regexp_extract_all(s, '\\b[0-9]{{5,}}\\b') AS m FROM t),
+n AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM g), a AS (SELECT *, m[i] AS v, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + 1)::BIGINT AS p FROM n),
+found AS (SELECT doc_id, place, segment, 'year' AS fact_type, unnest(list_distinct(regexp_extract_all(s, '\\b((19|20)[0-9]{{2}})\\b', 1))) AS fact_text, 0.97::DOUBLE AS confidence, 0 AS ordinal FROM t
+UNION ALL SELECT DISTINCT doc_id, place, segment, 'number', v, 0.9::DOUBLE, 1 FROM a WHERE NOT contains(substr(s, greatest(p - 60, 1), p + length(v) + 60 - greatest(p - 60, 1)), 'token')
+UNION ALL SELECT doc_id, place, segment, 'license', unnest(list_distinct(regexp_extract_all(s, '(licensed under[a-z ,]+)', 1))), 0.95::DOUBLE, 2 FROM t)"""
 
 
 def _found(spark, d):
-    """As _FOUND has it: years and licenses only, the first of a segment; f3_f10_rules_with_cues has all rules and matches."""
-    return op.apply_rules(_segments(spark, d), [RULES[0], {**RULES[1], "pattern": "(never to be found)"}, RULES[2]], every=False)
+    return op.apply_rules(_segments(spark, d), RULES)
 
 
-@query("f2_f13_rules", f"WITH {_FOUND} SELECT doc_id, place, fact_type, fact_text, confidence FROM found")
+@query("fact_rules", f"WITH {_FOUND} SELECT doc_id, place, fact_type, fact_text, confidence FROM found")
 def f2(spark, d):
     return _found(spark, d).select("doc_id", F.col("at").alias("place"), "fact_type", "fact_text", "confidence")
 
 
-@query("f3_f10_rules_with_cues")
+@query("fact_rules_with_evidence", f"WITH {_FOUND} SELECT doc_id, place, fact_type, fact_text, segment AS evidence, confidence, ordinal FROM found")
 def f3(spark, d):
-    return op.apply_rules(_segments(spark, d), RULES)
+    return _found(spark, d).withColumnRenamed("at", "place")
 
 
-@query("f11_cap_facts", f"WITH {_FOUND}, a AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, fact_type, fact_text ORDER BY place, ordinal) = 1) SELECT doc_id, fact_type, fact_text, place FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, fact_type ORDER BY place, ordinal, fact_text) <= 3")
+@query("f11_cap_facts", f"WITH {_FOUND}, b AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, fact_type, fact_text ORDER BY place, ordinal) = 1), c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, fact_type ORDER BY place, ordinal, fact_text) <= 3) SELECT doc_id, fact_type, fact_text, place FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place, ordinal, fact_text) <= 18")
 def f11(spark, d):
     return op.cap_facts(_found(spark, d)).select("doc_id", "fact_type", "fact_text", F.col("at").alias("place"))
 
@@ -55,13 +57,39 @@ def f12(spark, d):
     return op.page_keywords(A.table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title")), ("with", "that"))
 
 
-@query("f14_f15_nearest_cue")
+@query("nearest_cue")
 def f14(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")).withColumn("at", F.instr("t", "the"))
-    return docs.filter("at > 0").select("doc_id", op.nearest_cue(F.col("t"), F.col("at"), {"of": r"\bof\b", "and": r"\band\b"}).alias("role"))
+    """Of each fact in its segment, which cue is nearest."""
+    rows = _found(spark, d).withColumn("t", F.lower("evidence")).withColumn("place", F.instr(F.col("t"), F.col("fact_text")))
+    return rows.select("doc_id", "at", "fact_type", "fact_text", op.nearest_cue(F.col("t"), F.col("place"), {"of": r"\bof\b", "and": r"\band\b", "is": r"\bis\b", "by": r"\bby\b"}).alias("role"))
+
+
+_MONEY = """SELECT l_orderkey, l_linenumber, unnest([n::VARCHAR || ' tl', m::VARCHAR || ' tl']) AS amount, unnest(CASE l_returnflag WHEN 'A' THEN ['spend_threshold', 'reward'] WHEN 'N' THEN ['spend_threshold', 'discount'] ELSE [NULL, NULL] END) AS role
+FROM (SELECT *, l_partkey + 100 AS n, l_suppkey + 5 AS m FROM lineitem)"""
 
 
-@query("f16_f18_surface_check", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN l_linestatus = 'F' WHEN 'N' THEN l_quantity BETWEEN 1 AND 120 ELSE l_linestatus = 'F' END AS ok FROM lineitem")
+@query("f14_amount_role", _MONEY)
+def f14_amounts(spark, d):
+    """Amounts of a sentence for each order line: its numbers are the line's own."""
+    n, m = (F.col("l_partkey") + 100).cast("string"), (F.col("l_suppkey") + 5).cast("string")
+    says = (
+        F.when(F.col("l_returnflag") == "A", F.concat(n, F.lit(" TL ve üzeri harcamanıza "), m, F.lit(" TL bonus kazanın.")))
+        .when(F.col("l_returnflag") == "N", F.concat(F.lit("En az "), n, F.lit(" TL tutarında alışverişinizde "), m, F.lit(" TL indirim sizi bekliyor.")))
+        .otherwise(F.concat(F.lit("Hesap bakiyesi "), n, F.lit(" TL, kalan borç "), m, F.lit(" TL olarak görünür.")))
+    )
+    rows = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", says.alias("evidence"))
+    return op.amount_roles(rows).select("l_orderkey", "l_linenumber", "amount", "role")
+
+
+@query("f15_percent_role", "SELECT l_orderkey, l_linenumber, '%' || (l_quantity::INT) AS percent, CASE l_returnflag WHEN 'A' THEN 'finance' WHEN 'N' THEN 'discount' END AS role FROM lineitem")
+def f15(spark, d):
+    n = F.col("l_quantity").cast("int").cast("string")
+    says = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Kâr payı oranı %"), n, F.lit(" ile başlar, indirim kuponu ise başka bir sayfada anlatılır."))).when(F.col("l_returnflag") == "N", F.concat(F.lit("Finansman kullananlara %"), n, F.lit(" indirim."))).otherwise(F.concat(F.lit("Katılım %"), n, F.lit(" düzeyinde kaldı.")))
+    rows = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", says.alias("evidence"))
+    return op.percent_roles(rows).select("l_orderkey", "l_linenumber", "percent", "role")
+
+
+@query("f18_surface_check", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN l_linestatus = 'F' WHEN 'N' THEN l_quantity BETWEEN 1 AND 120 ELSE l_linestatus = 'F' END AS ok FROM lineitem")
 def f18(spark, d):
     n = F.col("l_quantity").cast("int").cast("string")
     value = F.when(F.col("l_returnflag") == "N", n).when(F.col("l_linestatus") == "F", F.concat(n, F.when(F.col("l_returnflag") == "A", " TL").otherwise(" ay"))).otherwise(n)
@@ -77,9 +105,13 @@ def f19(spark, d):
     return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", v["value"].alias("value"), v["unit"].alias("unit"))
 
 
-@query("f20_evidence_window", """WITH t AS (SELECT doc_id, text, 200 AS a, 210 AS b FROM documents WHERE length(text) > 400) SELECT doc_id, trim(regexp_extract(substr(text, 21, 180), '([^.!?\\n]*)$', 1) || substr(text, 201, 10) || CASE WHEN regexp_matches(substr(text, 211, 180), '[.!?\\n]') THEN regexp_extract(substr(text, 211, 180), '^([^.!?\\n]*[.!?]?)', 1) ELSE substr(text, 211, 180) END, ' ') AS evidence FROM t""")
+@query("f20_evidence_window", f"""WITH {_FOUND}, o AS (SELECT DISTINCT doc_id, fact_type, fact_text FROM found), w AS (SELECT doc_id, fact_type, fact_text, text, instr(lower(text), fact_text) - 1 AS a FROM o JOIN documents USING (doc_id)), x AS (SELECT *, a + length(fact_text) AS b FROM w WHERE a >= 0)
+SELECT doc_id, fact_type, fact_text, trim(regexp_extract(substr(text, greatest(a - 180, 0) + 1, least(a, 180)), '([^.!?\\n]*)$', 1) || substr(text, a + 1, b - a) || CASE WHEN regexp_matches(substr(text, b + 1, 180), '[.!?\\n]') THEN regexp_extract(substr(text, b + 1, 180), '^([^.!?\\n]*[.!?]?)', 1) ELSE substr(text, b + 1, 180) END, ' ') AS evidence FROM x""")
 def f20(spark, d):
-    return A.table(spark, d, "documents").filter(F.length("text") > 400).select("doc_id", op.evidence_window(F.col("text"), F.lit(200), F.lit(210)).alias("evidence"))
+    """The window around each fact's first place in its document."""
+    facts = _found(spark, d).select("doc_id", "fact_type", "fact_text").distinct()
+    rows = facts.join(A.table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("a", F.instr(F.lower("text"), F.col("fact_text")) - 1).filter("a >= 0")
+    return rows.select("doc_id", "fact_type", "fact_text", op.evidence_window(F.col("text"), F.col("a"), F.col("a") + F.length("fact_text")).alias("evidence"))
 
 
 _DECIDED = """c AS (SELECT l_orderkey AS doc_id, l_returnflag AS label, l_quantity::INT || ' ' || l_linestatus AS fact_text, CASE WHEN l_linenumber % 5 = 0 THEN 'none' ELSE 'x ' || l_quantity::INT || ' ' || l_linestatus END AS evidence, l_linenumber % 3 > 0 AS rule_ok, l_quantity / 50 AS confidence, l_linenumber AS ordinal FROM lineitem),
@@ -91,7 +123,7 @@ def _cand(spark, d):
     return A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("label"), text.alias("fact_text"), F.when(F.col("l_linenumber") % 5 == 0, "none").otherwise(F.concat(F.lit("x "), text)).alias("evidence"), (F.col("l_linenumber") % 3 > 0).alias("rule_ok"), (F.col("l_quantity") / 50).alias("confidence"), F.col("l_linenumber").alias("ordinal"))
 
 
-@query("f17_f21_decide", f"WITH {_DECIDED} SELECT doc_id, label, fact_text, CASE reason WHEN 'accepted' THEN 'accepted' WHEN 'low_confidence' THEN 'review' ELSE 'rejected' END AS decision, reason FROM decided")
+@query("f21_decide", f"WITH {_DECIDED} SELECT doc_id, label, fact_text, CASE reason WHEN 'accepted' THEN 'accepted' WHEN 'low_confidence' THEN 'review' ELSE 'rejected' END AS decision, reason FROM decided")
 def f21(spark, d):
     return op.decide(_cand(spark, d), {"A": 0.8}, ("A", "R"))
 
@@ -104,29 +136,26 @@ def f22(spark, d):
     return op.allowed_labels(spans, allowed)
 
 
-@query("f23_f24_dedup_candidates", f"WITH {_DECIDED} SELECT doc_id, label, fact_text, ordinal FROM decided QUALIFY row_number() OVER (PARTITION BY doc_id, label, lower(fact_text) ORDER BY CASE reason WHEN 'accepted' THEN 0 WHEN 'low_confidence' THEN 1 ELSE 2 END, confidence DESC, ordinal) = 1")
+@query("f23_dedup_candidates", f"WITH {_DECIDED} SELECT doc_id, label, fact_text, ordinal FROM decided QUALIFY row_number() OVER (PARTITION BY doc_id, label, lower(fact_text) ORDER BY CASE reason WHEN 'accepted' THEN 0 WHEN 'low_confidence' THEN 1 ELSE 2 END, confidence DESC, ordinal) = 1")
 def f23(spark, d):
     rows = _cand(spark, d)
     reason = F.when(F.col("evidence") == "none", "rejected").when(F.col("rule_ok") & (F.col("confidence") >= F.when(F.col("label") == "A", 0.8).otherwise(0.95)), "accepted").when(F.col("rule_ok") & (F.col("confidence") >= 0.5), "review").otherwise("rejected")
     return op.dedup_candidates(rows.withColumn("decision", reason)).select("doc_id", "label", "fact_text", "ordinal")
 
 
-_PASSAGE = "substr(text, 11, 40)"
-
-
-@query("f25_validate_claimed_facts", f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'low_confidence' WHEN doc_id % 3 = 0 OR NOT regexp_matches({_PASSAGE}, '[^ \\t\\n\\r\\f\\v]') THEN 'evidence_not_in_source' WHEN doc_id % 7 = 0 THEN 'fact_not_in_evidence'
-WHEN doc_id % 2 = 1 AND NOT regexp_matches(lower({_PASSAGE}), 'odeme|taksit') THEN 'label_rule_failed' END AS reason FROM documents WHERE text IS NOT NULL""")
+@query("f25_validate_claimed_facts", f"""WITH {SEG} SELECT doc_id, CASE WHEN (doc_id + place) % 5 = 0 THEN 'low_confidence' WHEN (doc_id + place) % 3 = 0 THEN 'evidence_not_in_source' WHEN (doc_id + place) % 7 = 0 THEN 'fact_not_in_evidence'
+WHEN (doc_id + place) % 2 = 1 AND NOT regexp_matches(lower(segment), 'odeme|taksit') THEN 'label_rule_failed' END AS reason FROM seg""")
 def f25(spark, d):
-    docs = A.table(spark, d, "documents").filter("text is not null")
-    passage = F.substring("text", 11, 40)
-    claims = docs.select(
-        "doc_id", F.when(F.col("doc_id") % 2 == 1, "ODEME_PLANI").otherwise("OTHER").alias("fact_type"), F.when(F.col("doc_id") % 7 == 0, "not there at all").otherwise(F.substring(passage, 1, 5)).alias("fact_text"),
-        F.when(F.col("doc_id") % 3 == 0, "a passage that no document has (1)").otherwise(F.regexp_replace(passage, " ", "  ")).alias("evidence"), F.when(F.col("doc_id") % 5 == 0, 0.2).otherwise(0.9).alias("confidence"),
+    """A claim for each segment of each document."""
+    n, passage = F.col("doc_id") + F.col("at"), F.col("segment")
+    claims = _segments(spark, d).select(
+        "doc_id", F.when(n % 2 == 1, "ODEME_PLANI").otherwise("OTHER").alias("fact_type"), F.when(n % 7 == 0, "not there at all").otherwise(F.substring(passage, 1, 5)).alias("fact_text"),
+        F.when(n % 3 == 0, "a passage that no document has (1)").otherwise(F.regexp_replace(passage, " ", "  ")).alias("evidence"), F.when(n % 5 == 0, 0.2).otherwise(0.9).alias("confidence"),
     )
-    return op.validate_claimed_facts(claims, docs, 0.5).select("doc_id", "reason")
+    return op.validate_claimed_facts(claims, A.table(spark, d, "documents").filter("text is not null"), 0.5).select("doc_id", "reason")
 
 
-@query("f26_f27_merge_bio_tokens", """WITH t AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS word, CASE o_orderstatus WHEN 'O' THEN 'B-x' WHEN 'F' THEN 'I-x' ELSE 'O' END AS label, o_orderkey % 100 / 100 AS score FROM orders),
+@query("f27_merge_bio_tokens", """WITH t AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS word, CASE o_orderstatus WHEN 'O' THEN 'B-x' WHEN 'F' THEN 'I-x' ELSE 'O' END AS label, o_orderkey % 100 / 100 AS score FROM orders),
 k AS (SELECT *, CASE WHEN label = 'O' THEN NULL ELSE substr(label, 3) END AS kind FROM t), b AS (SELECT *, lag(kind) OVER w AS before FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY word)),
 s AS (SELECT *, sum((kind IS NOT NULL AND (label = 'B-x' OR before IS NULL))::INT) OVER (PARTITION BY doc_id ORDER BY word) AS span FROM b) SELECT doc_id, kind, min(word) AS start, max(word) AS "end", round(avg(score), 6) AS score FROM s WHERE kind IS NOT NULL GROUP BY doc_id, span, kind HAVING round(avg(score), 6) >= 0.3""")
 def f27(spark, d):

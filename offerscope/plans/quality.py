@@ -136,10 +136,10 @@ def k7(spark, d):
     return K.hard_negatives(s, s.filter("doc_id % 2 = 0").select("sentence").distinct(), 0.01)
 
 
-@query("k8_merge_train", "WITH b AS (SELECT doc_id, lower(text) AS norm FROM documents WHERE doc_id % 3 = 0), e AS (SELECT lower(text) AS norm, min(doc_id) AS doc_id FROM documents WHERE doc_id % 3 = 1 GROUP BY 1) SELECT doc_id, 'base' AS origin FROM b UNION ALL SELECT doc_id, 'extra' FROM e WHERE norm NOT IN (SELECT norm FROM b)")
+@query("k8_merge_train", "WITH b AS (SELECT doc_id, lower(text) AS norm FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), e AS (SELECT lower(text) AS norm, min(doc_id) AS doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1) SELECT doc_id, 'base' AS origin FROM b UNION ALL SELECT doc_id, 'extra' FROM e WHERE norm NOT IN (SELECT norm FROM b)")
 def k8(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", "text")
-    return K.merge_train(docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 = 1"), F.lower("text")).select("doc_id", "origin")
+    docs, known = A.table(spark, d, "documents").select("doc_id", "text"), A.table(spark, d, "labels").select("doc_id")
+    return K.merge_train(docs.join(known, "doc_id", "left_semi"), docs.join(known, "doc_id", "left_anti"), F.lower("text")).select("doc_id", "origin")
 
 
 @query("k9_relabel_audit", "SELECT status, final, count(*) AS n FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN 'MANUAL' WHEN NOT regexp_matches(text, '\\bthe\\b') THEN 'REVIEW' WHEN lang = 'en' THEN 'ACCEPT' ELSE 'CORRECT' END AS status, CASE WHEN doc_id % 11 = 0 THEN 'checked' WHEN regexp_matches(text, '\\bthe\\b') THEN 'en' END AS final FROM documents) GROUP BY ALL")
@@ -148,11 +148,11 @@ def k9(spark, d):
     return K.relabel_audit(rows).groupBy("status", "final").agg(F.count("*").alias("n"))
 
 
-@query("k10_augment_rare", """WITH r AS (SELECT doc_id, lang AS label, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM documents), n AS (SELECT label, count(*) AS n FROM r GROUP BY 1 HAVING count(*) < 60),
+@query("k10_augment_rare", """WITH r AS (SELECT doc_id, lang || '/' || source AS label, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM documents), n AS (SELECT label, count(*) AS n FROM r GROUP BY 1 HAVING count(*) < 60),
 m AS (SELECT doc_id, label, n, i::INT AS round, array_to_string(list_slice(w, i * 70 + 1, i * 70 + 140), ' ') AS text FROM r JOIN n USING (label), unnest(range(0, 8)) AS u(i) WHERE len(w) > i * 70)
 SELECT doc_id, label, round, text FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY round, doc_id) <= 60 - n""")
 def k10(spark, d):
-    return K.augment_rare(A.table(spark, d, "documents").select("doc_id", F.col("lang").alias("label"), "text"), 60)
+    return K.augment_rare(A.table(spark, d, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("label"), "text"), 60)
 
 
 @query("k11_sample_reviews", f"SELECT doc_id FROM labels WHERE quality = 0 OR {_U.format(c='doc_id')} < 0.2")
@@ -185,12 +185,12 @@ def k13(spark, d):
     return _metrics(spark, d, False)
 
 
-@query("k14_k15_k18_compare_retrievers", f"WITH a AS (WITH {_RUN.format(way='ASC')} SELECT * FROM metric), b AS (WITH {_RUN.format(way='DESC')} SELECT * FROM metric) SELECT true AS available, round((SELECT avg(rr) FROM b) - (SELECT avg(rr) FROM a), 6) AS delta")
+@query("k14_k15_paired_deltas", f"WITH a AS (WITH {_RUN.format(way='ASC')} SELECT * FROM metric), b AS (WITH {_RUN.format(way='DESC')} SELECT * FROM metric) SELECT true AS available, round((SELECT avg(rr) FROM b) - (SELECT avg(rr) FROM a), 6) AS delta")
 def k14(spark, d):
     return K.paired_deltas(_metrics(spark, d, True), _metrics(spark, d, False))
 
 
-@query("k16_k17_citation_accuracy", "WITH s AS (SELECT l_orderkey AS k, list(DISTINCT l_returnflag) AS act, list(DISTINCT CASE WHEN l_linenumber = 1 THEN l_returnflag END) AS req FROM lineitem GROUP BY 1) SELECT k, list_has_all(act, list_filter(req, lambda x: x IS NOT NULL)) AND list_has_all(['A', 'R'], act) AS ok FROM s")
+@query("k16_citation_accuracy", "WITH s AS (SELECT l_orderkey AS k, list(DISTINCT l_returnflag) AS act, list(DISTINCT CASE WHEN l_linenumber = 1 THEN l_returnflag END) AS req FROM lineitem GROUP BY 1) SELECT k, list_has_all(act, list_filter(req, lambda x: x IS NOT NULL)) AND list_has_all(['A', 'R'], act) AS ok FROM s")
 def k16(spark, d):
     s = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_returnflag").alias("act"), F.collect_set(F.when(F.col("l_linenumber") == 1, F.col("l_returnflag"))).alias("req"))
     return s.select("k", K.citation_accuracy(F.col("req"), F.col("act"), F.array(F.lit("A"), F.lit("R"))).alias("ok"))
@@ -254,7 +254,6 @@ def j11(spark, d):
 
 @query("k6_silver_bio_rows")
 def k6(spark, d):
-    first = F.substring("text", 1, 300)
-    w = F.split(first, " ")
-    spans = F.array(F.struct(F.get(w, 1).alias("fact_text"), F.lit("A").alias("label")), F.struct(F.concat_ws(" ", F.get(w, 1), F.get(w, 2)).alias("fact_text"), F.lit("B").alias("label")), F.struct(F.get(w, 5).alias("fact_text"), F.lit("C").alias("label")))
-    return K.silver_bio_rows(A.table(spark, d, "documents").select("doc_id", first.alias("evidence"), F.explode(spans).alias("s")).select("doc_id", "evidence", "s.fact_text", "s.label"))
+    from offerscope.plans.facts import _found
+
+    return K.silver_bio_rows(_found(spark, d).select("doc_id", "evidence", "fact_text", F.col("fact_type").alias("label")))

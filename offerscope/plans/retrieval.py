@@ -8,6 +8,7 @@ from offerscope.operators import chunk as C
 from offerscope.operators import classify as G
 from offerscope.operators import retrieve as H
 from offerscope.plans.corpus import FOLD
+from offerscope.plans.facts import _FOUND, _found
 from offerscope.registry import query
 
 WORDS = "list_filter(regexp_split_to_array({c}, '[ \\t\\n\\r]+'), lambda w: w <> '')"
@@ -42,12 +43,11 @@ def _chunks(spark, d):
     return C.char_windows(A.table(spark, d, "documents"), 1000, 100).withColumnRenamed("chars", "content")
 
 
-@query("e7_attach_facts", f"""WITH {_CH}, f AS (SELECT doc_id, lang AS fact_type, substr(text, 880, 30) AS evidence FROM documents), x AS (SELECT ch.doc_id, chunk_index, fact_type, evidence, {FOLD.format(c='content')} AS c, {FOLD.format(c='evidence')} AS e FROM ch JOIN f USING (doc_id)),
+@query("e7_attach_facts", f"""WITH {_CH}, {_FOUND}, f AS (SELECT DISTINCT doc_id, fact_type, segment AS evidence FROM found), x AS (SELECT ch.doc_id, chunk_index, fact_type, evidence, {FOLD.format(c='content')} AS c, {FOLD.format(c='evidence')} AS e FROM ch JOIN f USING (doc_id)),
 y AS (SELECT *, instr(c, e) AS pos FROM x WHERE e <> '' AND contains(c, e)), z AS (SELECT *, least(pos - 1, length(c) - length(e) - pos + 1) AS margin FROM y)
 SELECT doc_id, fact_type, evidence, chunk_index, margin FROM z QUALIFY row_number() OVER (PARTITION BY doc_id, fact_type, evidence ORDER BY margin DESC, chunk_index) = 1""")
 def e7(spark, d):
-    facts = A.table(spark, d, "documents").select("doc_id", F.col("lang").alias("fact_type"), F.substring("text", 880, 30).alias("evidence"))
-    return C.attach_facts(_chunks(spark, d), facts)
+    return C.attach_facts(_chunks(spark, d), _found(spark, d).select("doc_id", "fact_type", "evidence").distinct())
 
 
 @query("e8_chunk_ids", f"WITH {_CH} SELECT doc_id, chunk_index, sha256('current' || chr(31) || doc_id || chr(31) || chunk_index || chr(31) || sha256(content)) AS chunk_id FROM ch")
@@ -60,9 +60,23 @@ def e9(spark, d):
     return C.offer_boundary(A.facts(spark, d), ("A", "R"))
 
 
-@query("e10_embedding_context", f"WITH {DOCS} SELECT doc_id, 'Title: ' || title || chr(10) || 'Bank: ' || bank || chr(10) || 'Product: ' || product || chr(10) || 'Section: -' || chr(10) || 'Content:' || chr(10) || substr(text, 1, 200) AS context FROM docs")
+_OFFER = f"o AS (SELECT doc_id, {FOLD.format(c='source')} || chr(31) || {FOLD.format(c='lang')} || chr(31) || 'https://shop.example/p/' || doc_id || '?a=1&b=2' || chr(31) || {FOLD.format(c='split_part(text, chr(10), 1)')} || chr(31) || coalesce(boundary, '') || chr(31) || coalesce(start::VARCHAR, '') || chr(31) || coalesce(\"end\"::VARCHAR, '') AS parts"
+
+
+@query("e8_offer_id", f"""WITH b AS (SELECT l_orderkey AS doc_id, sha256(array_to_string(list_sort(list(DISTINCT l_returnflag || '=' || l_linestatus || ' ' || l_quantity::INT)), chr(31))) AS boundary FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1),
+p AS (SELECT l_orderkey AS doc_id, min(l_shipdate::DATE) AS start, max(l_shipdate::DATE) AS "end" FROM lineitem GROUP BY 1), {_OFFER} FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN p USING (doc_id)) SELECT doc_id, sha256(parts) AS offer_id FROM o""")
+def e8_offer(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", "source", "lang", F.substring_index("text", "\n", 1).alias("title"))
+    lines = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min(F.col("l_shipdate").cast("date")).alias("start"), F.max(F.col("l_shipdate").cast("date")).alias("end"))
+    rows = docs.join(C.offer_boundary(A.facts(spark, d), ("A", "R")), "doc_id", "left").join(lines, "doc_id", "left")
+    url = F.concat(F.lit("HTTPS://Shop.example:443/p//"), F.col("doc_id").cast("string"), F.lit("/?b=2&utm_source=x&a=1#top"))
+    return rows.select("doc_id", C.offer_id(F.col("source"), F.col("lang"), url, F.col("title"), F.col("boundary"), F.col("start"), F.col("end")).alias("offer_id"))
+
+
+@query("e10_embedding_context", f"WITH {DOCS}, {_CH} SELECT doc_id, chunk_index, 'Title: ' || title || chr(10) || 'Bank: ' || bank || chr(10) || 'Product: ' || product || chr(10) || 'Section: -' || chr(10) || 'Content:' || chr(10) || content AS context FROM ch JOIN docs USING (doc_id)")
 def e10(spark, d):
-    return A.docs(spark, d).select("doc_id", C.embedding_context(F.col("title"), F.col("bank"), F.col("product"), F.lit(None).cast("string"), F.substring("text", 1, 200)).alias("context"))
+    rows = _chunks(spark, d).join(A.docs(spark, d).select("doc_id", "title", "bank", "product"), "doc_id")
+    return rows.select("doc_id", "chunk_index", C.embedding_context(F.col("title"), F.col("bank"), F.col("product"), F.lit(None).cast("string"), F.col("content")).alias("context"))
 
 
 _TERMS = "list_filter(string_split(trim(regexp_replace(" + FOLD.format(c="{c}") + ", '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
@@ -214,19 +228,32 @@ def h2(spark, d):
     return H.ann_topk(*_vectors(spark, d), 10)
 
 
-@query("h3_h4_query_terms", f"SELECT item_id, list_slice(list_filter(list_distinct_ordered, lambda w: length(w) >= 3), 1, 32) AS terms FROM (SELECT item_id, list_reduce(list_prepend([]::VARCHAR[], list_transform({_TERMS.format(c='text')}, lambda t: [t])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_ordered FROM benchmark)")
+_ASKED = f"asked AS (SELECT item_id AS query_id, list_slice(list_filter(o, lambda w: length(w) >= 3), 1, 32) AS terms FROM (SELECT item_id, list_reduce(list_prepend([]::VARCHAR[], list_transform({_TERMS.format(c='text')}, lambda t: [t])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS o FROM benchmark))"
+
+
+@query("h3_query_terms", f"WITH {_ASKED} SELECT query_id AS item_id, terms FROM asked")
 def h3(spark, d):
-    return A.table(spark, d, "benchmark").select("item_id", H.query_terms(F.col("text")).alias("terms"))
+    return _asked(spark, d).withColumnRenamed("query_id", "item_id")
 
 
-_LEX = f"""{POSTINGS}, lq AS (SELECT item_id AS query_id, unnest(list_slice(list_filter({_TERMS.format(c='text')}, lambda w: length(w) >= 3), 1, 3)) AS term FROM benchmark), qt AS (SELECT DISTINCT query_id, term FROM lq), nt AS (SELECT query_id, count(*) AS n FROM qt GROUP BY 1),
-lex AS (SELECT query_id, doc_id AS chunk_id, round(sum(round(CASE weight WHEN 'A' THEN 1 WHEN 'B' THEN 0.4 ELSE 0.2 END * (1 + ln(tf)), 6)::DECIMAL(18, 6))::DOUBLE * count(DISTINCT term) / any_value(n), 5) AS score FROM postings JOIN qt USING (term) JOIN nt USING (query_id) GROUP BY query_id, doc_id),
+_SCORE = "round(sum(round(CASE weight WHEN 'A' THEN 1 WHEN 'B' THEN 0.4 ELSE 0.2 END * (1 + ln(tf)), 6)::DECIMAL(18, 6))::DOUBLE * count(DISTINCT {t}) / any_value(n) + 1e-9::DOUBLE, 5) AS score"
+_LEX = f"""{POSTINGS}, {_ASKED}, qt AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM asked),
+lex AS (SELECT query_id, doc_id AS chunk_id, {_SCORE.format(t='term')} FROM postings JOIN qt USING (term) GROUP BY query_id, doc_id),
 lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM lex QUALIFY place <= 20)"""
 
 
+def _asked(spark, d):
+    return A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), H.query_terms(F.col("text")).alias("terms"))
+
+
 def _lexical(spark, d, k=20):
-    q = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.slice(F.filter(F.split(F.trim(F.regexp_replace(H.fold_text("text"), "[^a-z0-9]+", " ")), " "), lambda w: F.length(w) >= 3), 1, 3)).alias("terms"))
-    return H.lexical_topk(q, _postings(spark, d).withColumnRenamed("doc_id", "chunk_id"), k)
+    return H.lexical_topk(_asked(spark, d), _postings(spark, d).withColumnRenamed("doc_id", "chunk_id"), k)
+
+
+@query("h4_prefix_topk", f"""WITH {POSTINGS}, {_ASKED}, qt AS (SELECT query_id, unnest(terms) AS prefix, len(terms) AS n FROM asked), hit AS (SELECT query_id, doc_id AS chunk_id, {_SCORE.format(t='prefix')} FROM postings JOIN qt ON substr(term, 1, 3) = substr(prefix, 1, 3) AND starts_with(term, prefix) GROUP BY query_id, doc_id)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM hit QUALIFY place <= 20""")
+def h4(spark, d):
+    return H.prefix_topk(_asked(spark, d), _postings(spark, d).withColumnRenamed("doc_id", "chunk_id"), 20)
 
 
 @query("h5_lexical_topk", f"WITH {_LEX} SELECT * FROM lexical")
@@ -240,13 +267,23 @@ def h6(spark, d):
     return rows.filter(H.trust_filter(F.col("verified"), F.col("confidence"), F.when(F.col("product") == "fr", "failed").otherwise("accepted"), F.lit(False), 0.5)).select("doc_id")
 
 
-@query("h7_h8_campaign_overlap", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (CASE WHEN l_returnflag <> 'A' THEN l_shipdate END IS NOT NULL OR CASE WHEN l_returnflag <> 'R' THEN l_shipdate + INTERVAL 30 DAY END IS NOT NULL) AND (l_returnflag = 'A' OR l_shipdate::DATE <= DATE '1996-12-31') AND (l_returnflag = 'R' OR (l_shipdate + INTERVAL 30 DAY)::DATE >= DATE '1996-01-01')")
+@query("h7_campaign_overlap", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (CASE WHEN l_returnflag <> 'A' THEN l_shipdate END IS NOT NULL OR CASE WHEN l_returnflag <> 'R' THEN l_shipdate + INTERVAL 30 DAY END IS NOT NULL) AND (l_returnflag = 'A' OR l_shipdate::DATE <= DATE '1996-12-31') AND (l_returnflag = 'R' OR (l_shipdate + INTERVAL 30 DAY)::DATE >= DATE '1996-01-01')")
 def h7(spark, d):
     day = F.col("l_shipdate").cast("date")
     start, end = F.when(F.col("l_returnflag") != "A", day), F.when(F.col("l_returnflag") != "R", F.date_add(day, 30))
     return A.table(spark, d, "lineitem").filter(H.campaign_overlap(start, end, F.make_date(F.lit(1996), F.lit(1), F.lit(1)), F.make_date(F.lit(1996), F.lit(12), F.lit(31)))).select("l_orderkey", "l_linenumber")
 
 
+@query("h8_route_bounds", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' OR o_orderstatus = 'P' OR o_custkey % 4 = 0 THEN 'campaign' ELSE 'effective' END AS mode, CASE WHEN o_orderkey % 2 = 0 THEN make_date(year(o_orderdate), 1, 1) WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE END AS since, CASE WHEN o_orderkey % 2 = 0 THEN make_date(year(o_orderdate), 12, 31) END AS until FROM orders")
+def h8(spark, d):
+    o, even = A.table(spark, d, "orders"), F.col("o_orderkey") % 2 == 0
+    fields = F.array(F.when(F.col("o_orderpriority").startswith("1"), "campaign_end").otherwise("rate"))
+    says = F.when(F.col("o_custkey") % 4 == 0, "Hangi KAMPANYALAR var?").otherwise("Oran nedir?")
+    mode = H.date_mode(fields, F.when(F.col("o_orderstatus") == "P", "campaign"), says)
+    b = H.route_bounds(F.when(even, F.year("o_orderdate")), F.when(~even & (F.col("o_orderkey") % 3 == 0), F.col("o_orderdate").cast("date")), F.lit(None).cast("date"))
+    return o.select("o_orderkey", mode.alias("mode"), b["since"].alias("since"), b["until"].alias("until"))
+
+
 _RRF = f"""{_SIDES.format(k=20)}, dr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM dense), {_LEX},
 fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, round(coalesce(1.0::DOUBLE / (60 + a.place), 0) + coalesce(0.5::DOUBLE / (60 + b.place), 0), 9) AS rrf FROM dr a FULL JOIN lexical b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS place FROM fused)"""
@@ -290,15 +327,15 @@ def h16(spark, d):
     return H.dedup_hits(_ranked(spark, d))
 
 
-@query("h14_h17_unified_search", f"WITH {_DEDUP}, v AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier, bank ORDER BY place) AS turn, min(place) OVER (PARTITION BY query_id, tier, bank) AS first FROM o2) SELECT query_id, chunk_id, doc_id, offer_id, bank, tier, place, row_number() OVER (PARTITION BY query_id ORDER BY tier, turn, first, place) AS final FROM v QUALIFY final <= 8")
+@query("h17_diversify", f"WITH {_DEDUP}, v AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier, bank ORDER BY place) AS turn, min(place) OVER (PARTITION BY query_id, tier, bank) AS first FROM o2) SELECT query_id, chunk_id, doc_id, offer_id, bank, tier, place, row_number() OVER (PARTITION BY query_id ORDER BY tier, turn, first, place) AS final FROM v QUALIFY final <= 8")
 def h17(spark, d):
     return H.diversify(H.dedup_hits(_ranked(spark, d)), 8)
 
 
 @query("h18_numeric_value", "SELECT l_orderkey AS doc_id, max(CASE l_linestatus WHEN 'F' THEN l_quantity * 12 ELSE l_quantity / 30 END) AS best FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1")
 def h18(spark, d):
-    months = F.when(F.col("l_linestatus") == "F", F.col("l_quantity") * 12).otherwise(F.col("l_quantity") / 30)
-    return A.table(spark, d, "lineitem").filter("l_returnflag in ('A', 'N')").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max(months).alias("best"))
+    kind = F.when(F.col("l_linestatus") == "F", "year").otherwise("day")
+    return H.best_values(A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("fact_type"), kind.alias("kind"), F.col("l_quantity").alias("value")), ("A", "N"))
 
 
 @query("h19_hydrate", "SELECT o_orderkey AS chunk_id, o_custkey AS doc_id, o_totalprice FROM orders WHERE o_custkey % 3 <> 0")

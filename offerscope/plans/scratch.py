@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """Takes spark.checkpoint.dir of the session; where it is unset, a temporary folder in one process (tests), an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    found = found or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(found)

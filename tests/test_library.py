@@ -237,5 +237,5 @@ def test_rules_find_all_matches(spark):
 def test_rule_query_equals_brute_force(spark):
     segments = QUERIES["f1_segments"](spark, SF).collect()
     expected = sorted((r.doc_id, r.place, *f) for r in segments for f in brute_rules(r.segment, FACT_RULES))
-    got = sorted((r.doc_id, r.at, r.fact_type, r.fact_text, r.ordinal) for r in QUERIES["f3_f10_rules_with_cues"](spark, SF).collect())
+    got = sorted((r.doc_id, r.place, r.fact_type, r.fact_text, r.ordinal) for r in QUERIES["fact_rules_with_evidence"](spark, SF).collect())
     assert got == expected and "number" in {x[2] for x in got}  # years do not occur in this table
