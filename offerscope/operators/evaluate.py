@@ -101,16 +101,41 @@ def citation_accuracy(required: Column, actual: Column, allowed: Column) -> Colu
     return (F.size(F.array_except(required, actual)) == 0) & (F.size(F.array_except(actual, allowed)) == 0)
 
 
+def answer_scores(cases: DataFrame) -> DataFrame:
+    """numeric_accuracy: cases whose set of numbers is the expected one; rejection_rate: of the cases to be rejected (must) those that were (did); null without any."""
+    same = F.array_sort("want").eqNullSafe(F.array_sort("got"))
+    return cases.agg(F.round(F.avg(same.cast("int")), 6).alias("numeric_accuracy"), F.round(F.count_if(F.col("must") & F.col("did")) / F.nullif(F.count_if("must"), F.lit(0)), 6).alias("rejection_rate"))
+
+
+def context_accuracy(turns: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Shares of turns whose inherited fields (arrays want_x and got_x, compared as sorted lists) are as expected, each and all together, and whose clarification is."""
+    same = {f: F.array_sort(f"want_{f}").eqNullSafe(F.array_sort(f"got_{f}")) for f in fields}
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    both = F.lit(True)
+    for c in same.values():
+        both = both & c
+    return turns.agg(*(share(c).alias(f) for f, c in same.items()), share(both).alias("all_fields"), share(F.col("want_clarification") == F.col("got_clarification")).alias("clarification"))
+
+
 def classification_report(pred: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support of each class (columns gold, pred); one grouping of the confusion counts."""
+    """label, support, precision, recall, f1 of each label, then of `accuracy`, `macro` (plain mean) and `weighted` (by support); 0 where a divisor is 0."""
     c = pred.groupBy("gold", "pred").agg(F.count("*").alias("n"))
     tp = F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0))
     gold = c.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("support"), tp.alias("tp"))
     said = c.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("predicted"))
-    rows = gold.join(said, "label", "full").select("label", F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("predicted", F.lit(0)).alias("predicted"))
-    ratio = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
-    p, r = ratio("tp", "predicted"), ratio("tp", "support")
-    return rows.select("label", "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
+    rows = gold.join(said, "label", "full").na.fill(0)
+    p, r = (F.when(F.col(x) > 0, F.col("tp") / F.col(x)).otherwise(0.0) for x in ("predicted", "support"))
+    rows = rows.select("label", "support", "tp", p.alias("precision"), r.alias("recall")).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    scores = ("precision", "recall", "f1")
+    every = F.sum("support").alias("support")
+    totals = [
+        rows.agg(every, *((F.sum("tp") / F.sum("support")).alias(x) for x in scores)).withColumn("label", F.lit("accuracy")), rows.agg(every, *(F.avg(x).alias(x) for x in scores)).withColumn("label", F.lit("macro")),
+        rows.agg(every, *((F.sum(F.col(x) * F.col("support")) / F.sum("support")).alias(x) for x in scores)).withColumn("label", F.lit("weighted")),
+    ]
+    out = rows.drop("tp")
+    for t in totals:
+        out = out.unionByName(t)
+    return out.select("label", "support", *(F.round(x, 6).alias(x) for x in scores))
 
 
 def span_f1(pred: DataFrame, gold: DataFrame) -> DataFrame:

@@ -56,6 +56,43 @@ def order_evidence(rows: DataFrame, descending: bool) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(value, F.desc("rrf"), "bank", "doc_id")))
 
 
+def select_evidence(hits: DataFrame, limit: int, strict: bool = False) -> DataFrame:
+    """The hits that may stand as evidence, `limit` for each query, with their new place.
+
+    Columns of a hit: query_id, place, chunk_id, bank, product_match, contradicts (its title names another product), field_match (it
+    has an asked fact), confirmation (2: its title names the product, 1: its text does, 0), and of its query: intent, asks_product,
+    asks_field, asks_bank, numeric. Which hits stand is one strategy for each query, from what its hits have:
+    joint matches of product and field, hits whose text confirms the product, hits of the product, joint ones before
+    other field matches, field matches, all, or none. Comparisons and lists without a named bank first take the
+    best confirmed hit of each bank. With `strict` a numeric answer needs the product in the text.
+    """
+    of = Window.partitionBy("query_id")
+    product, field = F.col("product_match") & ~F.col("contradicts"), F.col("field_match")
+    joint, confirmed = product & field, field & (F.col("confirmation") > 0)
+    title = confirmed & (F.col("confirmation") == 2)
+    rows = hits.select(
+        "*", product.alias("is_product"), joint.alias("is_joint"), confirmed.alias("is_confirmed"), title.alias("is_title"), F.max(product).over(of).alias("any_product"), F.max(field).over(of).alias("any_field"), F.max(joint).over(of).alias("any_joint"),
+        F.max(confirmed).over(of).alias("any_confirmed"), F.sum(title.cast("int")).over(of).alias("n_title"), (F.col("numeric") & F.col("intent").isin("lookup", "compare", "list", "calculate")).alias("counts"), (~F.col("asks_bank") & F.col("intent").isin("compare", "list")).alias("wide"),
+    )
+    both = F.col("asks_product") & F.col("asks_field")
+    numeric = both & F.col("counts")
+    fall = F.when(F.col("asks_product") & F.col("any_product"), "product").when(F.col("asks_field") & F.col("any_field"), "field").otherwise("all")
+    if strict:
+        named = F.when(F.col("wide"), "confirmed").when((F.col("n_title") > 0) & ((F.col("intent") != "compare") | (F.col("n_title") >= 2)), "title").otherwise("confirmed")
+        sure = F.when(F.col("any_confirmed"), named).when(F.col("any_field"), "none").otherwise(fall)
+    else:
+        sure = F.when(F.col("any_joint"), "joint").when(F.col("any_confirmed"), "confirmed").when((F.col("intent") == "lookup") & F.col("any_product"), "product").otherwise("none")
+    pick = F.when(numeric, sure).when(both & F.col("any_field"), "joint_first").otherwise(fall)
+    rows = rows.withColumn("pick", pick).withColumn("wide", F.col("wide") & numeric & F.col("pick").isin("joint", "confirmed"))
+    stands = F.when(F.col("pick") == "joint", F.col("is_joint")).when(F.col("pick") == "confirmed", F.col("is_confirmed")).when(F.col("pick") == "title", F.col("is_title")).when(F.col("pick") == "product", F.col("is_product")).when(F.col("pick").isin("field", "joint_first"), field).otherwise(F.col("pick") == "all")
+    kept = rows.filter(stands)
+    bank = Window.partitionBy("query_id", "bank")
+    first = F.col("wide") & (F.row_number().over(bank.orderBy(F.desc("confirmation"), "place")) == 1)
+    lead = F.when(first, 0).when((F.col("pick") == "joint_first") & F.col("is_joint"), 0).otherwise(1)
+    kept = kept.withColumn("lead", lead).withColumn("rank", F.row_number().over(of.orderBy("lead", "place"))).filter(F.col("rank") <= limit)
+    return kept.select("query_id", "chunk_id", "bank", "pick", F.col("rank").alias("place"))
+
+
 def numeric_answer_rows(rows: DataFrame, k: int) -> DataFrame:
     """The best value of each bank for each query, then the k best; queries with fewer than two banks go."""
     one = rows.groupBy("query_id", "bank").agg(F.max(F.struct("value", "doc_id")).alias("best")).select("query_id", "bank", "best.value", "best.doc_id")

@@ -56,10 +56,18 @@ def apply_fact_decisions(queue: DataFrame, decisions: DataFrame, facts: DataFram
     return kept.unionByName(approved), after.drop("decision")
 
 
-def write_candidates(facts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates replace the stored facts of the same document and method."""
+def write_candidates(facts: DataFrame, queue: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, queue): a document's accepted candidates replace its stored facts of the same method, its candidates for review replace the queue's
+    pending rows of the method; resolved rows stay, and a candidate whose fact_key is resolved isn't queued again.
+
+    facts and candidates have doc_id, method, fact_key and more; candidates also decision; queue also status.
+    """
     touched = candidates.select("doc_id", "method").distinct()
-    return facts.join(touched, ["doc_id", "method"], "left_anti").select(candidates.columns).unionByName(candidates)
+    stored = facts.join(touched, ["doc_id", "method"], "left_anti").select(facts.columns).unionByName(candidates.filter("decision = 'accepted'").select(facts.columns))
+    resolved = queue.filter("status <> 'pending'")
+    waiting = queue.filter("status = 'pending'").join(touched, ["doc_id", "method"], "left_anti").select(queue.columns)
+    fresh = candidates.filter("decision = 'review'").join(resolved.select("doc_id", "method", "fact_key").distinct(), ["doc_id", "method", "fact_key"], "left_anti")
+    return stored, resolved.select(queue.columns).unionByName(waiting).unionByName(fresh.withColumn("status", F.lit("pending")).select(queue.columns))
 
 
 def upsert_frozen(old: DataFrame, new: DataFrame, key: str, columns: list[str], frozen: list[str], verified: str) -> DataFrame:

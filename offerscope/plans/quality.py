@@ -58,10 +58,20 @@ def j5(spark, d):
     return facts.groupBy("method").agg(F.count("*").alias("n")).unionByName(after.groupBy(F.concat(F.lit("queue_"), "status").alias("method")).agg(F.count("*").alias("n")))
 
 
-@query("j6_write_candidates", "WITH f AS (SELECT l_orderkey AS doc_id, l_returnflag AS method, l_quantity AS value FROM lineitem), c AS (SELECT l_orderkey AS doc_id, l_returnflag AS method, -l_quantity AS value FROM lineitem WHERE l_linenumber = 2) SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = f.doc_id AND c.method = f.method) UNION ALL SELECT * FROM c")
+@query("j6_write_candidates", """WITH l AS (SELECT l_orderkey AS doc_id, l_returnflag AS method, l_linenumber AS n, l_quantity::INT AS q, l_linestatus FROM lineitem), f AS (SELECT doc_id, method, 'k' || q % 5 AS fact_key FROM l WHERE n % 2 = 1),
+u AS (SELECT doc_id, method, 'k' || q % 5 AS fact_key, CASE WHEN l_linestatus = 'F' THEN 'approved' ELSE 'pending' END AS status FROM l WHERE n % 2 = 0), c AS (SELECT doc_id, method, 'k' || q % 7 AS fact_key, CASE WHEN q % 3 = 0 THEN 'accepted' WHEN q % 3 = 1 THEN 'review' ELSE 'rejected' END AS decision FROM l WHERE q > 25)
+SELECT 'fact' AS kind, * FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = f.doc_id AND c.method = f.method) UNION ALL SELECT 'fact', doc_id, method, fact_key FROM c WHERE decision = 'accepted'
+UNION ALL SELECT status, doc_id, method, fact_key FROM u WHERE status <> 'pending' OR NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = u.doc_id AND c.method = u.method)
+UNION ALL SELECT 'pending', doc_id, method, fact_key FROM c WHERE decision = 'review' AND NOT EXISTS (SELECT 1 FROM u WHERE u.status <> 'pending' AND u.doc_id = c.doc_id AND u.method = c.method AND u.fact_key = c.fact_key)""")
 def j6(spark, d):
-    f = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("method"), F.col("l_quantity").alias("value"), "l_linenumber")
-    return J.write_candidates(f, f.filter("l_linenumber = 2").select("doc_id", "method", (-F.col("value")).alias("value")))
+    l, q = A.table(spark, d, "lineitem"), F.col("l_quantity").cast("int")  # noqa: E741
+    key = lambda m: F.concat(F.lit("k"), (q % m).cast("string")).alias("fact_key")
+    own = F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("method")
+    facts = l.filter("l_linenumber % 2 = 1").select(*own, key(5))
+    queue = l.filter("l_linenumber % 2 = 0").select(*own, key(5), F.when(F.col("l_linestatus") == "F", "approved").otherwise("pending").alias("status"))
+    candidates = l.filter(q > 25).select(*own, key(7), F.when(q % 3 == 0, "accepted").when(q % 3 == 1, "review").otherwise("rejected").alias("decision"))
+    stored, after = J.write_candidates(facts, queue, candidates)
+    return stored.select(F.lit("fact").alias("kind"), "*").unionByName(after.withColumnRenamed("status", "kind"))
 
 
 @query("j7_upsert_snapshots", """WITH o AS (SELECT c_custkey AS k, c_mktsegment AS label, c_acctbal AS value, c_mktsegment = 'BUILDING' AS verified FROM customer), n AS (SELECT o_custkey AS k, max(o_orderpriority) AS label, max(o_totalprice) AS value FROM orders GROUP BY 1)
@@ -190,6 +200,27 @@ def k14(spark, d):
     return K.paired_deltas(_metrics(spark, d, True), _metrics(spark, d, False))
 
 
+@query("k16_answer_scores", """WITH s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_quantity) FILTER (l_linestatus = 'F')) AS want, list_sort(list(DISTINCT l_quantity) FILTER (l_returnflag <> 'N')) AS got, bool_or(l_returnflag = 'A') AS must, bool_or(l_returnflag = 'R') AS did FROM lineitem GROUP BY 1)
+SELECT round(avg((want IS NOT DISTINCT FROM got)::INT), 6) AS numeric_accuracy, round(count(*) FILTER (must AND did) / count(*) FILTER (must), 6) AS rejection_rate FROM s""")
+def k16_scores(spark, d):
+    l = A.table(spark, d, "lineitem")  # noqa: E741
+    s = l.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("want"), F.collect_set(F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))).alias("got"), F.bool_or(F.col("l_returnflag") == "A").alias("must"), F.bool_or(F.col("l_returnflag") == "R").alias("did"))
+    return K.answer_scores(s)
+
+
+@query("k17_context_accuracy", """WITH t AS (SELECT o_custkey AS case_id, o_orderkey AS turn, CASE WHEN o_orderkey % 3 = 0 THEN [o_orderstatus, 'x'] ELSE [o_orderstatus] END AS wb, CASE WHEN o_orderkey % 6 = 0 THEN [o_orderstatus] WHEN o_orderkey % 3 = 0 THEN ['x', o_orderstatus] ELSE [o_orderstatus] END AS gb, o_orderpriority AS wp,
+CASE WHEN o_orderkey % 5 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS gp, o_orderkey % 7 = 0 AS wc, o_orderkey % 14 = 0 AS gc FROM orders), m AS (SELECT list_sort(wb) = list_sort(gb) AS b, wp = gp AS p, wc = gc AS c FROM t)
+SELECT round(avg(b::INT), 6) AS banks, round(avg(p::INT), 6) AS product, round(avg((b AND p)::INT), 6) AS all_fields, round(avg(c::INT), 6) AS clarification FROM m""")
+def k17(spark, d):
+    o, n = A.table(spark, d, "orders"), F.col("o_orderkey")
+    own, x = F.col("o_orderstatus"), F.lit("x")
+    rows = o.select(
+        F.when(n % 3 == 0, F.array(own, x)).otherwise(F.array(own)).alias("want_banks"), F.when(n % 6 == 0, F.array(own)).when(n % 3 == 0, F.array(x, own)).otherwise(F.array(own)).alias("got_banks"),
+        F.array("o_orderpriority").alias("want_product"), F.array(F.when(n % 5 == 0, "1-URGENT").otherwise(F.col("o_orderpriority"))).alias("got_product"), (n % 7 == 0).alias("want_clarification"), (n % 14 == 0).alias("got_clarification"),
+    )
+    return K.context_accuracy(rows, ("banks", "product"))
+
+
 @query("k16_citation_accuracy", "WITH s AS (SELECT l_orderkey AS k, list(DISTINCT l_returnflag) AS act, list(DISTINCT CASE WHEN l_linenumber = 1 THEN l_returnflag END) AS req FROM lineitem GROUP BY 1) SELECT k, list_has_all(act, list_filter(req, lambda x: x IS NOT NULL)) AND list_has_all(['A', 'R'], act) AS ok FROM s")
 def k16(spark, d):
     s = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_returnflag").alias("act"), F.collect_set(F.when(F.col("l_linenumber") == 1, F.col("l_returnflag"))).alias("req"))
@@ -198,7 +229,11 @@ def k16(spark, d):
 
 @query("k19_classification_report", """WITH p AS (SELECT lang AS gold, CASE WHEN regexp_matches(text, '\\bthe\\b') THEN 'en' WHEN regexp_matches(text, '\\bder\\b') THEN 'de' ELSE 'fr' END AS pred FROM documents), l AS (SELECT gold AS label FROM p UNION SELECT pred FROM p),
 r AS (SELECT label, (SELECT count(*) FROM p WHERE gold = label) AS support, (SELECT count(*) FROM p WHERE gold = label AND pred = label) AS tp, (SELECT count(*) FROM p WHERE pred = label) AS predicted FROM l), q AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS a, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS b FROM r)
-SELECT label, support, round(a, 6) AS precision, round(b, 6) AS recall, round(CASE WHEN a + b > 0 THEN 2 * a * b / (a + b) ELSE 0 END, 6) AS f1 FROM q""")
+SELECT label, support, round(a, 6) AS precision, round(b, 6) AS recall, round(f, 6) AS f1 FROM (SELECT *, CASE WHEN a + b > 0 THEN 2 * a * b / (a + b) ELSE 0 END AS f FROM q)
+UNION ALL SELECT k, sum(support)::BIGINT, CASE k WHEN 'accuracy' THEN round(sum(tp) / sum(support), 6) WHEN 'macro' THEN round(avg(a), 6) ELSE round(sum(a * support) / sum(support), 6) END,
+CASE k WHEN 'accuracy' THEN round(sum(tp) / sum(support), 6) WHEN 'macro' THEN round(avg(b), 6) ELSE round(sum(b * support) / sum(support), 6) END,
+CASE k WHEN 'accuracy' THEN round(sum(tp) / sum(support), 6) WHEN 'macro' THEN round(avg(f), 6) ELSE round(sum(f * support) / sum(support), 6) END
+FROM (SELECT *, CASE WHEN a + b > 0 THEN 2 * a * b / (a + b) ELSE 0 END AS f FROM q), (SELECT unnest(['accuracy', 'macro', 'weighted']) AS k) GROUP BY k""")
 def k19(spark, d):
     t = F.col("text")
     return K.classification_report(A.table(spark, d, "documents").select(F.col("lang").alias("gold"), F.when(t.rlike(r"\bthe\b"), "en").when(t.rlike(r"\bder\b"), "de").otherwise("fr").alias("pred")))

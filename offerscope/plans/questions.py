@@ -66,6 +66,25 @@ def l8(spark, d):
     return op.source_ids(op.order_evidence(_evidence(spark, d), True).filter("place <= 8").select("query_id", "doc_id", "place"))
 
 
+_HITS = """hits AS (SELECT query_id, doc_id, place, bank, doc_id % 2 = 0 AS product_match, doc_id % 9 = 0 AS contradicts, doc_id % 3 = 0 AS field_match, doc_id % 5 % 3 AS confirmation, ['lookup', 'compare', 'list', 'calculate', 'historical'][query_id % 5 + 1] AS intent,
+query_id % 4 > 0 AS asks_product, query_id % 3 > 0 AS asks_field, query_id % 7 = 0 AS asks_bank, query_id % 2 = 1 AS "numeric" FROM ord WHERE place <= 40),
+fl AS (SELECT *, product_match AND NOT contradicts AS p, product_match AND NOT contradicts AND field_match AS j, field_match AND confirmation > 0 AS c FROM hits),
+an AS (SELECT *, bool_or(p) OVER q AS ap, bool_or(field_match) OVER q AS af, bool_or(j) OVER q AS aj, bool_or(c) OVER q AS ac, asks_product AND asks_field AND "numeric" AND intent <> 'historical' AS num FROM fl WINDOW q AS (PARTITION BY query_id)),
+pk AS (SELECT *, CASE WHEN num THEN CASE WHEN aj THEN 'joint' WHEN ac THEN 'confirmed' WHEN intent = 'lookup' AND ap THEN 'product' ELSE 'none' END WHEN asks_product AND asks_field AND af THEN 'joint_first' WHEN asks_product AND ap THEN 'product' WHEN asks_field AND af THEN 'field' ELSE 'all' END AS pick FROM an),
+kept AS (SELECT *, num AND NOT asks_bank AND intent IN ('compare', 'list') AND pick IN ('joint', 'confirmed') AS wide FROM pk WHERE CASE pick WHEN 'joint' THEN j WHEN 'confirmed' THEN c WHEN 'product' THEN p WHEN 'field' THEN field_match WHEN 'joint_first' THEN field_match ELSE pick = 'all' END),
+led AS (SELECT *, CASE WHEN wide AND row_number() OVER (PARTITION BY query_id, bank ORDER BY confirmation DESC, place) = 1 THEN 0 WHEN pick = 'joint_first' AND j THEN 0 ELSE 1 END AS lead FROM kept)"""
+
+
+@query("l7_select_evidence", f"WITH {_EV}, {_HITS} SELECT query_id, chunk_id, bank, pick, r AS place FROM (SELECT query_id, doc_id AS chunk_id, bank, pick, row_number() OVER (PARTITION BY query_id ORDER BY lead, place) AS r FROM led) WHERE r <= 8")
+def l7(spark, d):
+    n, q = F.col("doc_id"), F.col("query_id")
+    hits = op.order_evidence(_evidence(spark, d), True).filter("place <= 40").select(
+        "query_id", F.col("doc_id").alias("chunk_id"), "place", "bank", (n % 2 == 0).alias("product_match"), (n % 9 == 0).alias("contradicts"), (n % 3 == 0).alias("field_match"), (n % 5 % 3).alias("confirmation"),
+        F.element_at(F.array(*map(F.lit, ("lookup", "compare", "list", "calculate", "historical"))), (q % 5 + 1).cast("int")).alias("intent"), (q % 4 > 0).alias("asks_product"), (q % 3 > 0).alias("asks_field"), (q % 7 == 0).alias("asks_bank"), (q % 2 == 1).alias("numeric"),
+    )
+    return op.select_evidence(hits, 8)
+
+
 @query("l9_numeric_answer_rows", f"WITH {_EV}, o AS (SELECT query_id, bank, max(value) AS value, arg_max(doc_id, (value, doc_id)) AS doc_id, count(*) OVER (PARTITION BY query_id) AS banks FROM ev WHERE value IS NOT NULL GROUP BY query_id, bank) SELECT query_id, bank, value, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, bank) AS place FROM o WHERE banks >= 2 QUALIFY place <= 3")
 def l9(spark, d):
     return op.numeric_answer_rows(_evidence(spark, d).filter("value is not null"), 3)
