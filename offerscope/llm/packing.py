@@ -47,7 +47,7 @@ from tokenizers import Tokenizer
 LOSS, SEGMENTS = 2046, 12
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Words whose ids a worker remembers: twice so many.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Fixed value: the usual pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WHITE = "\t-\r \x85\xa0  -     　"
