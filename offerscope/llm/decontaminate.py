@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerscope.llm.shared import written
-from offerscope.llm.words import Words, crossing, mix, word_tables
+from offerscope.llm.words import Words, crossing, lean, mix, word_tables
 
 INDEX_ROWS = 1_000_000
 SHINGLE = 5
@@ -212,7 +212,7 @@ def _verify(percent: int) -> Callable:
 
 
 def _indexed(items: DataFrame, percent: int) -> DataFrame:
-    return written(items.mapInArrow(_item_index(percent), _INDEX), "items")
+    return written(items.mapInArrow(lean(_item_index(percent)), _INDEX), "items")
 
 
 def _ready(items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
@@ -233,12 +233,12 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, id_col
     rows = _indexed(items, percent)
     index = _broadcast_index(rows, percent)
     if index is not None:
-        found = docs.mapInArrow(_search(index), "doc_id long, item_id long, n_item long, n_shared long")
+        found = docs.mapInArrow(lean(_search(index)), "doc_id long, item_id long, n_item long, n_shared long")
     else:
         parts = rows.groupBy("part", "width", "bound").agg(F.min("n_item").alias("least")).collect()  # a bounded number of partitions
-        sketches = docs.mapInArrow(_doc_sketches([(r["part"], r["width"], -(-percent * r["least"] // 100), r["bound"]) for r in parts]), "doc_id long, part int, h long")
+        sketches = docs.mapInArrow(lean(_doc_sketches([(r["part"], r["width"], -(-percent * r["least"] // 100), r["bound"]) for r in parts])), "doc_id long, part int, h long")
         pairs = written(sketches.join(rows.filter("sketch").select("part", "h", "item_id"), ["part", "h"]).select("doc_id", "item_id").distinct(), "pairs")
-        found = docs.join(pairs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item").mapInArrow(_verify(percent), "doc_id long, item_id long, n_item long, n_shared long")
+        found = docs.join(pairs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item").mapInArrow(lean(_verify(percent)), "doc_id long, item_id long, n_item long, n_shared long")
     most = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_item"), "n_item", "n_shared")).alias("most"))
     return most.select("doc_id", "item_id", "most.n_item", "most.n_shared").withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
@@ -251,6 +251,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> D
     items = _ready(items, "item_id", "text")
     index = _broadcast_index(_indexed(items, percent), percent)
     if index is not None:
-        return docs.mapInArrow(_clean(index), docs.schema)
+        return docs.mapInArrow(lean(_clean(index)), docs.schema)
     leaks = contained_items(docs, items, percent, item_text_col="item").select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)

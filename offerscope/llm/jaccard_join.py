@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from offerscope.llm.components import components
 from offerscope.llm.shared import written
-from offerscope.llm.words import Words, crossing, mix, word_tables
+from offerscope.llm.words import Words, crossing, lean, mix, word_tables
 
 #: Most frequent tokens that are told apart; 16 bytes each in every Python worker.
 FREQUENT = 1_500_000
@@ -110,7 +110,7 @@ def _counter(k: int) -> Callable:
 
 def frequent_tokens(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of at most FREQUENT tokens; the bound holds for any corpus."""
-    seen = written(texts.select("text").mapInArrow(_counter(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT), "counts")
+    seen = written(texts.select("text").mapInArrow(lean(_counter(k)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT), "counts")
     floor, total = LEAST_COUNT, 0
     sizes = seen.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("tokens"), F.min("n").alias("low")).orderBy(F.desc("step")).collect()  # some hundred rows at most
     for r in sizes:
@@ -312,7 +312,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def _by_cells(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of components (u, v) that links within the given open buckets join."""
     dealt = _with_text(_dealt(rows), texts).select("sig", "i", "j", "role", "c", "text")
-    return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_cells(k, percent), "u long, v long")
+    return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(lean(_cells(k, percent)), "u long, v long")
 
 
 def _checker(k: int, percent: int) -> Callable:
@@ -342,20 +342,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
     left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_u"), F.col("bits").alias("bits_u"))
     right = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_v"), F.col("bits").alias("bits_v"))
     pairs = pairs.join(left, "a").join(right, "b").filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
-    pairs = written(pairs.select("n_u", "n_v", "bits_u", "bits_v", "a", "b").mapInArrow(_near(percent), "u long, v long"), "pairs")
+    pairs = written(pairs.select("n_u", "n_v", "bits_u", "bits_v", "a", "b").mapInArrow(lean(_near(percent)), "u long, v long"), "pairs")
     sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / LEADER_SHARE).cast("int").alias("salts"))
     leaders = sizes.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("u").alias("v"))
     asked = pairs.join(sizes, "u").select("u", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"), F.lit(True).alias("member"), "v").unionByName(leaders)
     asked = written(asked.join(classes.select(F.col("cls").alias("v"), "rep", "key"), "v"), "asked")
     rows = _with_text(asked, texts).select("u", "salt", "member", "v", "text")
     rows = rows.repartition(F.col("u"), F.col("salt")).sortWithinPartitions("u", "salt", "member")
-    return written(rows.mapInArrow(_checker(k, percent), "u long, v long"), "links")
+    return written(rows.mapInArrow(lean(_checker(k, percent)), "u long, v long"), "links")
 
 
 def _classes_of_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, key, n, component) of each row (doc_id, key, text); the component is a class, null without doc_id or shingles."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, k))
-    sets = written(docs.mapInArrow(_signer(k, percent, frequent), "doc_id long, key long, n long, cls long, sigs array<long>, bits binary"), "sets")
+    sets = written(docs.mapInArrow(lean(_signer(k, percent, frequent)), "doc_id long, key long, n long, cls long, sigs array<long>, bits binary"), "sets")
     live = sets.filter("doc_id is not null and n > 0")
     reps = live.groupBy(F.col("cls").alias("c")).agg(F.min(F.struct("doc_id", "key")).alias("first")).select("c", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("rep_key"))
     classes = live.join(reps, (live.doc_id == reps.rep) & (live.key == reps.rep_key) & (live.cls == reps.c)).dropDuplicates(["cls"])

@@ -41,13 +41,15 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from offerscope.llm.words import lean
 from tokenizers import Tokenizer
 
 #: Loss-bearing tokens and segments of a sequence of documents.
 LOSS, SEGMENTS = 2046, 12
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Words whose ids a worker remembers: twice so many.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 #: Fixed value: the usual pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -76,12 +78,12 @@ class Words(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.path, self.old, self._tokenizer = path, {}, Tokenizer.from_file(path)
-        self.special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        ranks = _merge_ranks(json.loads(self._tokenizer.to_str()))
-        self.encode = self.whole
-        if ranks:
-            self.encode, self._tokenizer = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, None  # loaded again only if asked for
+        self.path, self.old, self._tokenizer = path, {}, None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.special = [t["content"] for t in file["added_tokens"]]
+        ranks = _merge_ranks(file)
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else self.whole  # the tokenizer is loaded only if asked for
 
     def whole(self, text: str) -> list[int]:
         """The tokenizer's own ids."""
@@ -235,4 +237,4 @@ def _rows(ready: list[tuple]) -> pa.RecordBatch:
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_packer(tokenizer, end_id, limits), SCHEMA)
+    return rows.mapInArrow(lean(_packer(tokenizer, end_id, limits)), SCHEMA)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerscope.llm.labelled import labelled_sample, remainder
-from offerscope.llm.words import Words, word_tables
+from offerscope.llm.words import Words, lean, word_tables
 
 TRAIN_ROWS = 20_000
 FOLD, HELD_OUT = 4, 2
@@ -195,7 +195,7 @@ def _scorer(model) -> Callable:
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", fold: int = FOLD, held_out: int = HELD_OUT) -> Trees:
     rows = labelled_sample(docs, labels, target, fold, held_out, TRAIN_ROWS).select("label", F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(_features, "label int, x array<double>").toArrow()
+    rows = rows.mapInArrow(lean(_features), "label int, x array<double>").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
     y = np.array(rows.column("label").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order in which rows arrive
@@ -206,4 +206,4 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Dat
     """doc_id, held_out, score, predicted of each row."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, target))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id").cast("long"), FOLD) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(_scorer(model)), "doc_id long, held_out boolean, score double, predicted int")

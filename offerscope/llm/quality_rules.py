@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerscope.llm.words import word_tables
+from offerscope.llm.words import lean, word_tables
 
 #: Bit of each rule.
 RULES = {
@@ -126,7 +126,7 @@ def _ledger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measurements and failed_bits of each row."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_ledger, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", failed_bits long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_ledger), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", failed_bits long")
 
 
 def keep_documents(docs: DataFrame, version: int = CURRENT, text_col: str = "text") -> DataFrame:
@@ -139,7 +139,7 @@ def keep_documents(docs: DataFrame, version: int = CURRENT, text_col: str = "tex
             if bits:
                 yield batch.filter(pa.array(np.concatenate(bits) & (BASE | POLICIES[version]) == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def apply_policy(rows: DataFrame, version: int = CURRENT) -> DataFrame:

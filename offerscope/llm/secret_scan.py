@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerscope.llm.words import lean
+
 #: log10 guesses from which a credential value counts as a secret.
 COST = 10.0
 #: A piece of a value other than a brute-force character has at most so many characters.
@@ -196,7 +198,7 @@ def _scan(vocabulary: str | None) -> Callable:
 def scan_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row; one pass, no shuffle."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(vocabulary), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(lean(_scan(vocabulary)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(text: str | None, vocabulary: str | None = None, mask: str = "[secret]") -> str | None:
@@ -225,5 +227,5 @@ def _redact(vocabulary: str | None) -> Callable:
 
 def redact_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The same rows and columns with secrets in `text` masked, and n_chars, where there is one, counted anew."""
-    out = docs.mapInArrow(_redact(vocabulary), docs.schema)
+    out = docs.mapInArrow(lean(_redact(vocabulary)), docs.schema)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

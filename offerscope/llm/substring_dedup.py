@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerscope.llm.shared import written
-from offerscope.llm.words import Words, crossing, mix, split, word_tables
+from offerscope.llm.words import Words, crossing, lean, mix, split, word_tables
 
 WINDOW, ANCHOR = 13, 8
 SPAN = WINDOW - ANCHOR
@@ -253,7 +253,7 @@ def _emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hot(texts: DataFrame, share: float = 0.01, least: int = 32, limit: int = 1_000_000) -> list[tuple[int, int]]:
     """(hash, smallest doc_id) of anchors in at least `share` of a sample of documents; there are at most anchors-a-document / share."""
     part = texts.sample(0.02, seed=7)
-    seen = part.mapInArrow(_emit_anchors, "doc_id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("home")).filter(F.col("n") >= least)
+    seen = part.mapInArrow(lean(_emit_anchors), "doc_id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("home")).filter(F.col("n") >= least)
     if not seen.limit(1).count():
         return []
     floor = max(least, int(share * part.count()))
@@ -263,7 +263,7 @@ def _hot(texts: DataFrame, share: float = 0.01, least: int = 32, limit: int = 1_
 def covered_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, key, s, e): runs of words, end exclusive, that recur from a smaller doc_id; docs has doc_id, text and its key."""
     texts = docs.filter("doc_id is not null and length(text) >= 25").select("doc_id", "text", "key")
-    anchors = texts.select("doc_id", "text").mapInArrow(_emit_anchors, "doc_id long, h long")
+    anchors = texts.select("doc_id", "text").mapInArrow(lean(_emit_anchors), "doc_id long, h long")
     hot = texts.sparkSession.createDataFrame(_hot(texts.select("doc_id", "text")), "h long, hot long")
     # a hot anchor is known to recur: its rows go anywhere
     anchors = anchors.join(F.broadcast(hot), "h", "left").withColumn("place", F.when(F.col("hot").isNotNull(), F.xxhash64("doc_id")).otherwise(F.col("h")))
@@ -274,19 +274,19 @@ def covered_spans(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("h", F.coalesce("hot", "least").alias("home"))).alias("marks"))
     )
-    segments = texts.join(marks, "doc_id").select("doc_id", "text", "marks", "key").mapInArrow(_emit_segments, "home long, doc_id long, key long, at int, segment binary")
+    segments = texts.join(marks, "doc_id").select("doc_id", "text", "marks", "key").mapInArrow(lean(_emit_segments), "home long, doc_id long, key long, at int, segment binary")
     segments = written(segments.withColumn("part", F.spark_partition_id()), "segments")  # part: rows that repeat one wholly get salts apart
     large = segments.groupBy("home").agg(F.sum(F.length("segment")).alias("size")).filter(F.col("size") > HOME_BYTES).select("home", F.ceil(F.col("size") / HOME_BYTES).cast("int").alias("n_salts"))
     large = written(large, "homes")  # at most one row for each HOME_BYTES of the corpus
     placed = segments.join(F.broadcast(large) if large.count() < 100_000 else large, "home", "left").withColumn("n_salts", F.coalesce("n_salts", F.lit(1)))
     placed = placed.withColumn("salt", F.when(F.col("n_salts") > 1, F.pmod(F.xxhash64("doc_id", "part"), F.col("n_salts"))).otherwise(0).cast("int"))
-    windows = placed.filter("n_salts > 1").select("home", "salt", "doc_id", "segment").mapInArrow(_emit_windows, "home long, salt int, win long, least long, most long")
+    windows = placed.filter("n_salts > 1").select("home", "salt", "doc_id", "segment").mapInArrow(lean(_emit_windows), "home long, salt int, win long, least long, most long")
     windows = written(windows.groupBy("home", "salt", "win").agg(F.min("least").alias("least"), F.max("most").alias("most")), "windows")
     both = windows.groupBy("win").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first < last")
     confirmed = windows.join(both, "win").select("home", "salt", F.lit(2).alias("n_salts"), F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("at"), F.lit(None).cast("binary").alias("segment"), "win")
     rows = placed.select("home", "salt", "n_salts", F.lit(1).alias("kind"), "doc_id", "key", "at", "segment", F.lit(None).cast("long").alias("win")).unionByName(confirmed)
     rows = rows.withColumn("n_salts", F.least("n_salts", F.lit(2))).repartition(F.col("home"), F.col("salt")).sortWithinPartitions("n_salts", "home", "salt", "kind")
-    return rows.mapInArrow(_emit_spans, "doc_id long, key long, s int, e int")
+    return rows.mapInArrow(lean(_emit_spans), "doc_id long, key long, s int, e int")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,4 +294,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     spans = covered_spans(docs).groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     rows = docs.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")).alias("spans"))
-    return rows.mapInArrow(_emit_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(lean(_emit_kept), "doc_id long, n_words long, n_removed long, kept_sha256 string")

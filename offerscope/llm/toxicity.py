@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from offerscope.llm.labelled import one_text, remainder
 from offerscope.llm.shared import written
-from offerscope.llm.words import Words, word_tables
+from offerscope.llm.words import Words, lean, word_tables
 
 POSITIVES, UNLABELLED = 4_000, 16_000
 FEATURES = 512
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Linear:
     others = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED).select("doc_id", F.lit(False).alias("positive"))
     rows = one_text(docs.join(F.broadcast(confirmed.unionByName(others)), "doc_id"), "positive").select("doc_id", "positive", "text")
     rows = written(rows, "sample")  # at most POSITIVES + UNLABELLED rows
-    counts = rows.mapInArrow(_emit_places(None), "doc_id long, positive boolean, place int").groupBy("place").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).filter("p + u >= 5").toArrow()  # at most 2^PLACES rows
+    counts = rows.mapInArrow(lean(_emit_places(None)), "doc_id long, positive boolean, place int").groupBy("place").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).filter("p + u >= 5").toArrow()  # at most 2^PLACES rows
     sizes = {r.positive: r["count"] for r in rows.groupBy("positive").count().collect()}
     place, cp, cu = (np.array(counts.column(c).to_pylist(), np.int64) for c in ("place", "p", "u"))
     empty = np.zeros(1 << PLACES)
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Linear:
     best = best[(a * np.log(a / b))[np.searchsorted(place, best, sorter=np.argsort(place))] > -1] if len(best) else best
     mask = np.zeros(1 << PLACES, bool)
     mask[best] = True
-    found = rows.mapInArrow(_emit_places(spark.sparkContext.broadcast(mask)), "doc_id long, positive boolean, place int").toArrow()
+    found = rows.mapInArrow(lean(_emit_places(spark.sparkContext.broadcast(mask))), "doc_id long, positive boolean, place int").toArrow()
     every = rows.select("doc_id", "positive").distinct().toArrow()  # documents without any of the places count as well
     key = lambda t: np.array(t.column("doc_id").to_pylist(), np.int64) * 2 + np.array(t.column("positive").to_pylist(), np.int64)
     ids = np.unique(key(every))
@@ -148,4 +148,4 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> DataF
     """doc_id, held_out, score, predicted of each row."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, target))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id").cast("long"), FOLD) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(_scorer(model)), "doc_id long, held_out boolean, score double, predicted int")

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerscope.llm.shared import scratch_dir
+from offerscope.llm.words import lean
 
 #: Payloads under so many bytes are never revisited.
 LEAST = 100
@@ -229,7 +230,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     rows = with_references(pages).select("page_id", "url", "html", "digest", "refers_to")
     store, base = pafs.FileSystem.from_uri(folder)
     store.create_dir(base)
-    made = rows.mapInArrow(_writer(folder, dictionary), "file string, records long, size long")
+    made = rows.mapInArrow(lean(_writer(folder, dictionary)), "file string, records long, size long")
     made.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(made.schema).parquet(f"{folder}/manifest")
 
@@ -238,7 +239,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Records of the archives that the folder's manifest names; files of lost or repeated task attempts aren't read."""
     manifest = spark.read.schema("file string, records long, size long").parquet(f"{folder}/manifest")
     files = manifest.select("file", "records").repartition(F.col("file"))  # an archive has ARCHIVE_BYTES at most, so a task holds one of them at a time
-    return files.mapInArrow(_reader(folder), SCHEMA)
+    return files.mapInArrow(lean(_reader(folder)), SCHEMA)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
