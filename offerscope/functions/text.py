@@ -121,3 +121,52 @@ def dates_in_text(col: Column | str) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda d: F.try_to_timestamp(F.concat_ws("-", part(d, year), number(d).cast("string"), part(d, day)), F.lit("yyyy-M-d")).cast("date"))
 
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(found(dmy, 3, 1, 2), found(ymd, 1, 3, 2), found(word, 3, 1, None)))))
+
+
+def ordered_dates(col: Column | str, year: Column | None = None, reference: Column | None = None) -> Column:
+    """Dates of a text in its order: dd.mm.yyyy (also / and -), ISO, "d month [year]" and "d-d month year"; impossible ones are left out.
+
+    A missing year is that of the next date that has one, else of the one before, else `year`, else the date is left out.
+    If two dates are all and the second comes first, the one whose year was missing moves by a year; if both were missing,
+    that of the two readings which holds the reference date, if exactly one does.
+    """
+    text, months = fold_text(col), "|".join(MONTHS)
+    short = rf"(?<!\d)(\d{{1,2}})\s*[-–—]\s*(\d{{1,2}})\s+({months})\s+((?:19|20)\d{{2}})(?!\d)"
+    iso, numeric = r"(?<!\d)((?:19|20)\d{2})-(\d{1,2})-(\d{1,2})(?!\d)", r"(?<!\d)(\d{1,2})[./-](\d{1,2})[./-](\d{4})(?!\d)"
+    word = rf"(?<!\d)(\d{{1,2}})\s+({months})(?:\s+(\d{{4}}))?"
+    part = lambda x, p, g: F.regexp_extract(x, p, g).try_cast("int")
+    named = lambda x, p, g: F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(x, p, g)).cast("int")
+    date = lambda d, m, y: F.struct(d.alias("d"), m.alias("m"), y.alias("y"))
+
+    def read(x: Column) -> Column:
+        return (
+            F.when(x.rlike(f"^{short}"), F.array(date(part(x, short, 1), named(x, short, 3), part(x, short, 4)), date(part(x, short, 2), named(x, short, 3), part(x, short, 4))))
+            .when(x.rlike(f"^{iso}"), F.array(date(part(x, iso, 3), part(x, iso, 2), part(x, iso, 1))))
+            .when(x.rlike(f"^{numeric}"), F.array(date(part(x, numeric, 1), part(x, numeric, 2), part(x, numeric, 3))))
+            .otherwise(F.array(date(part(x, word, 1), named(x, word, 2), part(x, word, 3))))
+        )
+
+    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"{short}|{iso}|{numeric}|{word}"), F.lit(0)), read))
+    fallback = F.lit(None).cast("int") if year is None else year
+
+    def dated(found: Column) -> Column:
+        years = lambda part: F.filter(F.transform(part, lambda m: m["y"]), lambda y: y.isNotNull())
+        near = lambda m, i: F.coalesce(m["y"], F.get(years(F.slice(found, i + 2, F.size(found))), F.lit(0)), F.try_element_at(years(F.slice(found, F.lit(1), i)), F.lit(-1)), fallback)
+        return F.array_compact(F.transform(found, lambda m, i: F.try_to_timestamp(F.concat(near(m, i), F.lit("-"), m["m"], F.lit("-"), m["d"]), F.lit("yyyy-M-d")).cast("date")))
+
+    def moved(day: Column, n: int) -> Column:
+        other = F.add_months(day, 12 * n)
+        return F.when(F.dayofmonth(other) == F.dayofmonth(day), other)
+
+    def mended(s: Column) -> Column:
+        a, b, first, second = F.get(s["days"], F.lit(0)), F.get(s["days"], F.lit(1)), F.get(s["found"], F.lit(0))["y"], F.get(s["found"], F.lit(1))["y"]
+        earlier, later = F.array(moved(a, -1), b), F.array(a, moved(b, 1))
+        ref = F.lit(None).cast("date") if reference is None else reference
+        holds = lambda p: F.coalesce(ref.between(F.get(p, F.lit(0)), F.get(p, F.lit(1))), F.lit(False))
+        one = F.when(first.isNotNull() & second.isNull(), later).when(first.isNull() & second.isNotNull(), earlier).when(first.isNull() & second.isNull() & (holds(earlier) != holds(later)), F.when(holds(earlier), earlier).otherwise(later))
+        whole = F.when((F.size(s["days"]) == 2) & (F.size(s["found"]) == 2) & (b < a) & ~F.exists(one, lambda d: d.isNull()), one)
+        return F.coalesce(whole, s["days"])
+
+    # each step reads the one before as the element of an array, so it is computed once
+    steps = F.transform(F.transform(F.array(found), lambda f: F.struct(f.alias("found"), dated(f).alias("days"))), mended)
+    return F.when(text.isNotNull(), F.get(steps, F.lit(0)))

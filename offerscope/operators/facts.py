@@ -80,65 +80,6 @@ def nearest_cue(text: Column, place: Column, cues: dict[str, str], radius: int =
     return F.when(best["far"] < far, best["name"])
 
 
-# Words near an amount or a percentage that say what it is.
-_MONEY = r"[0-9][0-9.,]*\s*(?:tl|try|₺|lira)"
-_SUFFIX = r"^\s*(?:['’]?(?:ye|ya|e|a))?\s*"
-_THRESHOLD_AFTER = _SUFFIX + r"(?:ve\s+)?(?:uzeri|ustu|uzerindeyse|ustundeyse)\b"
-_SPEND_AFTER = _SUFFIX + r"(?:(?:deger|tutar)inde\s+)?(?:tek\s+seferde\s+)?(?:harcama|alisveris)"
-_LEAST = r"en az|minimum|alt limit|harcama esigi"
-_SPEND = r"harcama|alisveris"
-_REWARD = r"bonus|odul|puan|nakit iade|hediye|kazan|iade"
-_DISCOUNT = r"indirim|iskonto"
-FINANCE_CUES = ("kar payi", "kar orani", "finansman", "vade", "kredi")
-DISCOUNT_CUES = ("indirim", "iskonto")
-
-
-def _spans_of(folded: Column, pattern: str) -> Column:
-    """array<struct<said, start, stop>> (from 0) of a pattern's matches, from the gaps between them."""
-    gaps, said = F.split(folded, pattern, -1), F.regexp_extract_all(folded, F.lit(f"({pattern})"), F.lit(1))
-    chars = lambda texts: F.aggregate(texts, F.lit(0), lambda n, x: n + F.length(x))
-    at = lambda i: chars(F.slice(gaps, F.lit(1), i + 1)) + chars(F.slice(said, F.lit(1), i))
-    return F.transform(said, lambda x, i: F.struct(x.alias("said"), at(i).alias("start"), (at(i) + F.length(x)).alias("stop")))
-
-
-def amount_roles(rows: DataFrame) -> DataFrame:
-    """A row for each amount in `evidence`, with its role: spend_threshold, reward, discount or null.
-
-    An amount's text reaches from 100 characters before it to 130 behind it, but not past a neighbouring amount. First comes
-    the spending it asks for, then whichever of reward and discount is named behind it, then before it.
-    """
-    folded = fold_text("evidence")
-    found = rows.withColumn("folded", folded).withColumn("found", _spans_of(F.col("folded"), _MONEY)).select("*", F.posexplode("found").alias("i", "m"))
-    left = F.greatest(F.lit(0), F.col("m.start") - 100, F.coalesce(F.get("found", F.col("i") - 1)["stop"], F.lit(0)))
-    right = F.least(F.length("folded"), F.col("m.stop") + 130, F.coalesce(F.get("found", F.col("i") + 1)["start"], F.lit(2**31 - 1)))
-    found = found.withColumn("before", F.substring("folded", left + 1, F.col("m.start") - left)).withColumn("after", F.substring("folded", F.col("m.stop") + 1, right - F.col("m.stop")))
-    near, around = F.substring(F.col("before"), F.greatest(F.length("before") - 64, F.lit(1)), F.lit(65)), F.concat("before", "after")
-    threshold = F.col("after").rlike(_THRESHOLD_AFTER) | F.substring("after", 1, 70).rlike(_SPEND_AFTER) | (near.rlike(_LEAST) & around.rlike(_SPEND))
-    first = lambda text: F.regexp_extract(text, f"({_REWARD}|{_DISCOUNT})", 1)
-    word = F.when(first(F.col("after")) != "", first(F.col("after"))).otherwise(first(F.col("before")))
-    role = F.when(threshold, "spend_threshold").when(word.rlike(_DISCOUNT), "discount").when(word != "", "reward")
-    return found.select(*rows.columns, F.col("m.said").alias("amount"), role.alias("role"))
-
-
-def percent_roles(rows: DataFrame, radius: int = 130) -> DataFrame:
-    """A row for each percentage in `evidence`: finance or discount, whose cue is nearest on either side; null without one."""
-    found = rows.withColumn("folded", fold_text("evidence")).select("*", F.explode(_spans_of(F.col("folded"), r"%\s*[0-9]+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?\s*%")).alias("m"))
-    start, stop = F.col("m.start"), F.col("m.stop")
-    before, after = F.substring("folded", F.greatest(start - radius, F.lit(0)) + 1, F.least(start, F.lit(radius))), F.substring("folded", stop + 1, F.lit(radius))
-    far = F.lit(2**31 - 1)
-
-    def distance(cues: tuple[str, ...]) -> Column:
-        ways = []
-        for cue in cues:
-            at, back = F.instr(after, F.lit(cue)), F.instr(F.reverse(before), F.lit(cue[::-1]))
-            ways += [F.when(at > 0, at - 1).otherwise(far), F.when(back > 0, back - 1).otherwise(far)]
-        return F.least(*ways)
-
-    finance, discount = distance(FINANCE_CUES), distance(DISCOUNT_CUES)
-    role = F.when((finance == far) & (discount == far), None).when(discount <= finance, "discount").otherwise("finance")
-    return found.select(*rows.columns, F.col("m.said").alias("percent"), role.alias("role"))
-
-
 def surface_check(kind: Column, value: Column) -> Column:
     """Money needs a currency, percent its mark, a count lies in 1 to 120 without unit, a duration needs a unit, a range two dates."""
     date = r"\d{1,2}\.\d{1,2}\.\d{4}"

@@ -44,6 +44,7 @@ class Rule:
     apart: tuple[str, int] | None = None  # must not
     relevant: str | None = None  # the segment must hold a keyword of its page, or this pattern ("": no pattern helps)
     most: int = 10**6  # characters of a segment
+    without: str | None = None  # must not occur in the segment
 
 
 RULES = (
@@ -81,18 +82,21 @@ def _fact(rule: Rule, ordinal: int) -> Callable[[Column], Column]:
     return lambda value: F.struct(F.lit(rule.fact_type).alias("fact_type"), value.alias("fact_text"), F.lit(rule.confidence).alias("confidence"), F.lit(ordinal).alias("ordinal"))
 
 
-def typed_rules(rows: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id") -> DataFrame:
+def typed_rules(rows: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", more: Callable[[Column], Column] | None = None) -> DataFrame:
     """(key, at, fact_type, fact_text, evidence, confidence, ordinal) of the rules, distinct for each segment and rule.
 
     A page without keywords takes every segment as relevant; null segments have no facts; a null product only those of all products.
+    `more` gives further facts of the folded segment in the same pass: an array of structs (fact_type, fact_text, confidence, ordinal).
     """
     text = F.col("_text")
-    own = F.coalesce((F.size("keywords") <= 0) | F.exists("keywords", lambda k: F.contains(text, k)), F.lit(True))
+    own = F.coalesce((F.size("keywords") <= 0) | F.exists("keywords", lambda k: F.contains(text, k)), F.lit(True)) if "keywords" in rows.columns else F.lit(True)
     found = []
     for i, r in enumerate(rules):
         ok = F.length("segment") <= r.most
         for cue in r.cues:
             ok = ok & text.rlike(cue)
+        if r.without:
+            ok = ok & ~text.rlike(r.without)
         if r.products:
             ok = ok & F.col("product").isin(*r.products)
         if r.relevant is not None:
@@ -103,6 +107,8 @@ def typed_rules(rows: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "do
         if r.apart:
             values = F.filter(values, _has_near(text, *r.apart, wanted=False))
         found.append(F.when(ok, F.transform(F.array_distinct(values), _fact(r, i))))
+    if more:
+        found.append(more(text))
     read = rows.withColumn("_text", fold_text("segment")).withColumn("_own", own)
     out = read.select(key, "at", F.col("segment").alias("evidence"), F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("f"))
     return out.select(key, "at", "f.fact_type", "f.fact_text", "evidence", "f.confidence", "f.ordinal")

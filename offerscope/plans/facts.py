@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from offerscope import adapters as A
 from offerscope.operators import facts as op
+from offerscope.operators import roles
 from offerscope.operators import typed_rules as T
 from offerscope.plans.corpus import FOLD
 from offerscope.registry import query
@@ -78,7 +79,7 @@ def f14_amounts(spark, d):
         .otherwise(F.concat(F.lit("Hesap bakiyesi "), n, F.lit(" TL, kalan borç "), m, F.lit(" TL olarak görünür.")))
     )
     rows = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", says.alias("evidence"))
-    return op.amount_roles(rows).select("l_orderkey", "l_linenumber", "amount", "role")
+    return roles.amount_roles(rows).select("l_orderkey", "l_linenumber", "amount", "role")
 
 
 @query("f15_percent_role", "SELECT l_orderkey, l_linenumber, '%' || (l_quantity::INT) AS percent, CASE l_returnflag WHEN 'A' THEN 'finance' WHEN 'N' THEN 'discount' END AS role FROM lineitem")
@@ -86,7 +87,7 @@ def f15(spark, d):
     n = F.col("l_quantity").cast("int").cast("string")
     says = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Kâr payı oranı %"), n, F.lit(" ile başlar, indirim kuponu ise başka bir sayfada anlatılır."))).when(F.col("l_returnflag") == "N", F.concat(F.lit("Finansman kullananlara %"), n, F.lit(" indirim."))).otherwise(F.concat(F.lit("Katılım %"), n, F.lit(" düzeyinde kaldı.")))
     rows = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", says.alias("evidence"))
-    return op.percent_roles(rows).select("l_orderkey", "l_linenumber", "percent", "role")
+    return roles.percent_roles(rows).select("l_orderkey", "l_linenumber", "percent", "role")
 
 
 @query("f18_surface_check", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN l_linestatus = 'F' WHEN 'N' THEN l_quantity BETWEEN 1 AND 120 ELSE l_linestatus = 'F' END AS ok FROM lineitem")
