@@ -123,12 +123,12 @@ def dates_in_text(col: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(found(dmy, 3, 1, 2), found(ymd, 1, 3, 2), found(word, 3, 1, None)))))
 
 
-def ordered_dates(col: Column | str, year: Column | None = None, reference: Column | None = None) -> Column:
+def ordered_dates(col: Column | str, year: Column | None = None, reference: Column | None = None, repair: bool = True) -> Column:
     """Dates of a text in its order: dd.mm.yyyy (also / and -), ISO, "d month [year]" and "d-d month year"; impossible ones are left out.
 
     A missing year is that of the next date that has one, else of the one before, else `year`, else the date is left out.
     If two dates are all and the second comes first, the one whose year was missing moves by a year; if both were missing,
-    that of the two readings which holds the reference date, if exactly one does.
+    that of the two readings which holds the reference date, if exactly one does. Without `repair` they stay as they are.
     """
     text, months = fold_text(col), "|".join(MONTHS)
     short = rf"(?<!\d)(\d{{1,2}})\s*[-–—]\s*(\d{{1,2}})\s+({months})\s+((?:19|20)\d{{2}})(?!\d)"
@@ -165,7 +165,7 @@ def ordered_dates(col: Column | str, year: Column | None = None, reference: Colu
         holds = lambda p: F.coalesce(ref.between(F.get(p, F.lit(0)), F.get(p, F.lit(1))), F.lit(False))
         one = F.when(first.isNotNull() & second.isNull(), later).when(first.isNull() & second.isNotNull(), earlier).when(first.isNull() & second.isNull() & (holds(earlier) != holds(later)), F.when(holds(earlier), earlier).otherwise(later))
         whole = F.when((F.size(s["days"]) == 2) & (F.size(s["found"]) == 2) & (b < a) & ~F.exists(one, lambda d: d.isNull()), one)
-        return F.coalesce(whole, s["days"])
+        return F.coalesce(whole, s["days"]) if repair else s["days"]
 
     # each step reads the one before as the element of an array, so it is computed once
     steps = F.transform(F.transform(F.array(found), lambda f: F.struct(f.alias("found"), dated(f).alias("days"))), mended)

@@ -96,6 +96,44 @@ def paired_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("available", F.when(F.col("available"), F.round(F.col("b") - F.col("a"), 6)).alias("delta"))
 
 
+def run_issues(cases: DataFrame, relevant: DataFrame, corpus: DataFrame, runs: dict[str, DataFrame]) -> DataFrame:
+    """(run, case_id, issue) of what forbids a comparison; the run is null where the cases themselves are at fault.
+
+    Cases (case_id, query): duplicate_case, empty_query, no_relevant. Relevant (case_id, id, grade): bad_grade, duplicate_relevant, not_in_corpus
+    (column id). Runs (case_id, id, rank): missing_case, unknown_case, unknown_id.
+    """
+    row = lambda df, issue, run=None: df.select(F.lit(run).cast("string").alias("run"), "case_id", F.lit(issue).alias("issue")).distinct()
+    known, ids = cases.select("case_id").distinct(), corpus.select("id").distinct()
+    found = [
+        row(cases.groupBy("case_id").count().filter("count > 1"), "duplicate_case"), row(cases.filter(F.coalesce(F.trim("query"), F.lit("")) == ""), "empty_query"), row(known.join(relevant, "case_id", "left_anti"), "no_relevant"),
+        row(relevant.filter(~F.coalesce(F.col("grade") > 0, F.lit(False))), "bad_grade"), row(relevant.groupBy("case_id", "id").count().filter("count > 1"), "duplicate_relevant"), row(relevant.join(ids, "id", "left_anti"), "not_in_corpus"),
+    ]
+    for name, run in runs.items():
+        found += [row(known.join(run, "case_id", "left_anti"), "missing_case", name), row(run.join(known, "case_id", "left_anti"), "unknown_case", name), row(run.join(ids, "id", "left_anti"), "unknown_id", name)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def compare_retrievers(cases: DataFrame, relevant: DataFrame, a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
+    """(metric, cases, a, b, delta) of two runs over the same cases; k is 10 at least. Means and delta are null unless both runs answer every case."""
+    if k < 10:
+        raise ValueError("k must be at least 10")
+    known = cases.select("case_id").distinct()
+    means = lambda run, name: ranking_metrics(run.join(known, "case_id", "left_semi"), relevant.join(known, "case_id", "left_semi"), k).agg(*(F.avg(m).alias(f"{m}_{name}") for m in METRICS))
+    answered = lambda run, name: run.join(known, "case_id", "left_semi").agg(F.countDistinct("case_id").alias(f"n_{name}"))
+    one = known.agg(F.count("*").alias("cases"))
+    for part in (means(a, "a"), means(b, "b"), answered(a, "a"), answered(b, "b")):
+        one = one.crossJoin(part)  # single rows
+    whole = (F.col("n_a") == F.col("cases")) & (F.col("n_b") == F.col("cases"))
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.when(whole, F.col(f"{m}_a")).alias("a"), F.when(whole, F.col(f"{m}_b")).alias("b")) for m in METRICS)))
+    return one.select("cases", rows.alias("r")).select("r.metric", "cases", F.round("r.a", 6).alias("a"), F.round("r.b", 6).alias("b"), F.round(F.col("r.b") - F.col("r.a"), 6).alias("delta"))
+
+
+METRICS = ("recall", "rr", "ndcg")
+
+
 def citation_accuracy(required: Column, actual: Column, allowed: Column) -> Column:
     """All required sources are cited, and nothing but allowed ones."""
     return (F.size(F.array_except(required, actual)) == 0) & (F.size(F.array_except(actual, allowed)) == 0)

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerscope.functions.text import fold_text
+from offerscope.functions.text import MONTHS, fold_text, ordered_dates
 
 
 def extract_entities(text: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
@@ -21,6 +21,31 @@ def extract_years(text: Column) -> Column:
     return F.when(F.size(years) > 0, F.struct(F.array_min(years).alias("from_year"), F.array_max(years).alias("to_year")))
 
 
+# Ranges of years and months in folded text.
+_YEAR, _MONTH, _TO = r"((?:19|20)\d{2})", f"({'|'.join(MONTHS)})", r"\s*(?:-|ile)\s*"
+YEARS, MONTHS_OF_YEARS, MONTHS_OF_YEAR = rf"(?<!\d){_YEAR}{_TO}{_YEAR}(?!\d)", rf"(?<!\w){_MONTH}\s+{_YEAR}{_TO}{_MONTH}\s+{_YEAR}(?!\d)", rf"(?<!\w){_MONTH}{_TO}{_MONTH}\s+{_YEAR}(?!\d)"
+
+
+def extract_period(text: Column) -> Column:
+    """struct(year, since, until): a range of years, of months, or the first and last day that a text names, the first that fits and isn't reversed.
+
+    The year is the first one named, given only where there is no range. All are null for a text without any.
+    """
+    folded = fold_text(text)
+    year = lambda p, g: F.regexp_extract(folded, p, g).try_cast("int")
+    month = lambda p, g: F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(folded, p, g)), F.lit(0)).cast("int")
+    bounds = lambda y1, m1, y2, m2: F.struct(F.make_date(y1, m1, F.lit(1)).alias("since"), F.last_day(F.make_date(y2, m2, F.lit(1))).alias("until"))
+    ranges = [
+        bounds(year(YEARS, 1), F.lit(1), year(YEARS, 2), F.lit(12)), bounds(year(MONTHS_OF_YEARS, 2), month(MONTHS_OF_YEARS, 1), year(MONTHS_OF_YEARS, 4), month(MONTHS_OF_YEARS, 3)),
+        bounds(year(MONTHS_OF_YEAR, 3), month(MONTHS_OF_YEAR, 1), year(MONTHS_OF_YEAR, 3), month(MONTHS_OF_YEAR, 2)),
+    ]
+    days = ordered_dates(F.regexp_replace(folded, r"(?<!\d)((?:19|20)\d{2})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3"), repair=False)
+    ranges.append(F.struct(F.array_min(days).alias("since"), F.array_max(days).alias("until")))
+    found = F.coalesce(*(F.when(r["since"] <= r["until"], r) for r in ranges))
+    named = F.when(found.isNull(), F.regexp_extract(folded, rf"(?<!\d){_YEAR}(?!\d)", 1).try_cast("int"))
+    return F.struct(named.alias("year"), found["since"].alias("since"), found["until"].alias("until"))
+
+
 def intent(text: Column) -> Column:
     """calculate, compare, historical, list or lookup, the first that fits."""
     t = fold_text(text)

@@ -1,5 +1,6 @@
 """Queries of sections J (review), K (training, evaluation) and Q (constraints) on the given tables, with their SQL."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from offerscope import adapters as A
@@ -200,6 +201,33 @@ def k14(spark, d):
     return K.paired_deltas(_metrics(spark, d, True), _metrics(spark, d, False))
 
 
+_PAIR = f"a AS (WITH {_RUN.format(way='ASC')} SELECT * FROM metric), b AS (WITH {_RUN.format(way='DESC')} SELECT * FROM metric)"
+
+
+@query("k18_compare_retrievers", f"WITH {_PAIR.replace(' <= 5', ' <= 10')}, n AS (SELECT count(*) AS cases FROM a) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, (SELECT cases FROM n) AS cases, round((SELECT avg({m}) FROM a), 6) AS a, round((SELECT avg({m}) FROM b), 6) AS b, round((SELECT avg({m}) FROM b) - (SELECT avg({m}) FROM a), 6) AS delta" for m in K.METRICS))
+def k18(spark, d):
+    """Two orders of each customer's orders, by price."""
+    cases, relevant, a, b = _runs(spark, d)
+    return K.compare_retrievers(cases, relevant, a, b, 10)
+
+
+@query("k18_run_issues", """WITH rel AS (SELECT o_custkey AS case_id, o_orderkey AS id FROM orders WHERE o_orderkey % 4 > 0), corpus AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 10 > 0), run AS (SELECT o_custkey AS case_id, o_orderkey AS id FROM orders WHERE o_custkey % 7 > 0)
+SELECT DISTINCT NULL::VARCHAR AS run, case_id, 'not_in_corpus' AS issue FROM rel WHERE id NOT IN (SELECT id FROM corpus) UNION ALL SELECT DISTINCT 'a', case_id, 'missing_case' FROM rel WHERE case_id NOT IN (SELECT case_id FROM run) UNION ALL SELECT DISTINCT 'a', case_id, 'unknown_id' FROM run WHERE id NOT IN (SELECT id FROM corpus)
+UNION ALL SELECT DISTINCT 'a', case_id, 'unknown_case' FROM run WHERE case_id NOT IN (SELECT case_id FROM rel)""")
+def k18_issues(spark, d):
+    cases, relevant, a, _ = _runs(spark, d)
+    corpus = A.table(spark, d, "orders").filter("o_orderkey % 10 > 0").select(F.col("o_orderkey").alias("id"))
+    return K.run_issues(cases, relevant, corpus, {"a": a.filter("case_id % 7 > 0")})
+
+
+def _runs(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4).alias("grade"), "o_totalprice")
+    relevant = o.filter("grade > 0").select("case_id", "id", "grade")
+    by = lambda c: o.select("case_id", "id", F.row_number().over(Window.partitionBy("case_id").orderBy(c, "id")).alias("rank"))
+    cases = relevant.select("case_id").distinct().withColumn("query", F.concat(F.lit("q"), F.col("case_id").cast("string")))
+    return cases, relevant, by(F.asc("o_totalprice")), by(F.desc("o_totalprice"))
+
+
 @query("k16_answer_scores", """WITH s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_quantity) FILTER (l_linestatus = 'F')) AS want, list_sort(list(DISTINCT l_quantity) FILTER (l_returnflag <> 'N')) AS got, bool_or(l_returnflag = 'A') AS must, bool_or(l_returnflag = 'R') AS did FROM lineitem GROUP BY 1)
 SELECT round(avg((want IS NOT DISTINCT FROM got)::INT), 6) AS numeric_accuracy, round(count(*) FILTER (must AND did) / count(*) FILTER (must), 6) AS rejection_rate FROM s""")
 def k16_scores(spark, d):

@@ -21,6 +21,20 @@ def l2(spark, d):
     return A.table(spark, d, "documents").select("doc_id", y.alias("y")).filter("y is not null").select("doc_id", "y.from_year", "y.to_year")
 
 
+@query("l2_extract_period", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN year(o_orderdate) END::INT AS year, CASE o_orderkey % 6 WHEN 0 THEN make_date(year(o_orderdate), 1, 1) WHEN 1 THEN make_date(year(o_orderdate), 11, 1) WHEN 2 THEN make_date(year(o_orderdate), 2, 1) WHEN 3 THEN o_orderdate::DATE END AS since,
+CASE o_orderkey % 6 WHEN 0 THEN make_date(year(o_orderdate) + 2, 12, 31) WHEN 1 THEN make_date(year(o_orderdate) + 1, 1, 31) WHEN 2 THEN make_date(year(o_orderdate), 4, 30) WHEN 3 THEN o_orderdate::DATE + 40 END AS until FROM orders""")
+def l2_period(spark, d):
+    """A question for each order that names its date as years, months or days."""
+    k, y = F.col("o_orderkey") % 6, F.year("o_orderdate")
+    year, later, next_year, day = y.cast("string"), (y + 2).cast("string"), (y + 1).cast("string"), F.col("o_orderdate").cast("date")
+    says = (
+        F.when(k == 0, F.concat(year, F.lit(" - "), later, F.lit(" arası oranlar"))).when(k == 1, F.concat(F.lit("Kasım "), year, F.lit(" ile Ocak "), next_year)).when(k == 2, F.concat(F.lit("Şubat-Nisan "), year, F.lit(" kampanyaları")))
+        .when(k == 3, F.concat(F.date_format(F.date_add(day, 40), "dd.MM.yyyy"), F.lit(" ve "), F.date_format(day, "yyyy/MM/dd"))).when(k == 4, F.concat(year, F.lit(" yılında oran"))).otherwise("güncel oran nedir")
+    )
+    p = op.extract_period(says)
+    return A.table(spark, d, "orders").select("o_orderkey", p["year"].alias("year"), p["since"].alias("since"), p["until"].alias("until"))
+
+
 @query("l3_intent", f"SELECT conv_id, turn, CASE WHEN regexp_matches({_T}, 'hesapla|calculate') THEN 'calculate' WHEN regexp_matches({_T}, 'karsilastir|compare|versus|fark') THEN 'compare' WHEN regexp_matches({_T}, 'gecmis|eski|history|previous') THEN 'historical' WHEN regexp_matches({_T}, 'liste|hangi|all|list') THEN 'list' ELSE 'lookup' END AS intent FROM conversations")
 def l3(spark, d):
     return A.table(spark, d, "conversations").select("conv_id", "turn", op.intent(F.col("text")).alias("intent"))

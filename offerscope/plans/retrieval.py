@@ -9,6 +9,8 @@ from offerscope.operators import classify as G
 from offerscope.operators import retrieve as H
 from offerscope.plans.corpus import FOLD
 from offerscope.plans.facts import _FOUND, _found
+from offerscope.operators import embed as E
+from offerscope.operators import search as S
 from offerscope.registry import query
 
 WORDS = "list_filter(regexp_split_to_array({c}, '[ \\t\\n\\r]+'), lambda w: w <> '')"
@@ -348,3 +350,39 @@ def h19(spark, d):
 @query("h20_product_family", "SELECT CASE WHEN lang IN ('en', 'de') THEN 'germanic' WHEN lang IN ('fr', 'es') THEN 'romance' ELSE lang END AS family, count(*) AS n FROM documents GROUP BY 1")
 def h20(spark, d):
     return A.table(spark, d, "documents").groupBy(H.product_family(F.col("lang"), {"germanic": ("en", "de"), "romance": ("fr", "es")}).alias("family")).agg(F.count("*").alias("n"))
+
+
+def _texts(spark, d):
+    """Benchmark items as queries and documents as chunks, both with the vector of their own text."""
+    embed = lambda rows: E.embed_chunks(rows, E.hashing_embedder(64), 64).withColumnRenamed("embedding", "vector")
+    items, n = A.table(spark, d, "benchmark"), F.col("item_id")
+    asked = embed(items).select(
+        n.alias("query_id"), "vector", H.query_terms(F.col("text")).alias("terms"), F.when(n % 3 == 0, "compare").when(n % 3 == 1, "lookup").otherwise("historical").alias("intent"),
+        F.when(n % 4 == 0, F.array(F.lit("src1"), F.lit("src2"))).alias("banks"), F.when(n % 2 == 0, F.array(F.lit("en"))).alias("products"), F.when(n % 5 > 0, F.array(F.lit("year"), F.lit("license"))).alias("fields"),
+    )
+    text = F.lower("text")
+    kinds = F.array_compact(F.array(F.when(text.rlike(r"\b(19|20)[0-9]{2}\b"), "year"), F.when(text.contains("license"), "license"), F.when(text.rlike("[0-9]{5}"), "number")))
+    rows = embed(A.table(spark, d, "documents")).join(A.table(spark, d, "labels"), "doc_id", "left")
+    chunks = rows.select(
+        F.col("doc_id").alias("chunk_id"), "doc_id", F.sha2(F.substring_index("text", "\n", 1), 256).alias("offer_id"), F.col("source").alias("bank"), F.col("lang").alias("product"), kinds.alias("fields"), "vector",
+        F.coalesce(F.col("quality") == 1, F.lit(False)).alias("verified"), F.coalesce(F.col("toxic") == 0, F.lit(True)).alias("primary"), F.coalesce("quality", F.lit(1)).cast("double").alias("confidence"),
+    )
+    return asked, chunks, _postings(spark, d).withColumnRenamed("doc_id", "chunk_id")
+
+
+@query("h13_historical_search")
+def h13(spark, d):
+    asked, chunks, postings = _texts(spark, d)
+    old = chunks.select("*", F.col("primary").alias("searchable"), F.lit("accepted").alias("quality_status"), F.lit(None).cast("date").alias("day"), (F.size("fields") > 0).alias("has_facts"))
+    return S.historical_search(asked, old, postings, 10, products=("en", "de"), least=0.5)
+
+
+@query("h14_unified_search")
+def h14(spark, d):
+    return S.unified_search(*_texts(spark, d), 8).filter("final is not null")
+
+
+@query("h14_search_diagnostics")
+def h14_diagnostics(spark, d):
+    asked, chunks, postings = _texts(spark, d)
+    return S.search_diagnostics(asked, S.unified_search(asked, chunks, postings, 8))
