@@ -74,8 +74,17 @@ def period_bounds(snaps: DataFrame, months: int | None) -> DataFrame:
     return snaps.agg(F.max("day").alias("to_day"), F.min("day").alias("first")).select(F.add_months("to_day", -months).alias("from_day") if months else F.col("first").alias("from_day"), "to_day")
 
 
-def catalog(docs: DataFrame, facts: DataFrame, query: str, banks: list[str] | None = None, product: str | None = None, min_confidence: float | None = None, has_facts: bool | None = None, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of the catalogue: optional filters, relevance 4 for title, 2 for text, 1 for bank, plus confidence, with the total."""
+#: Sort keys of the catalogue and their columns.
+SORTS = {"relevance": "relevance", "confidence": "confidence", "facts": "n_facts", "bank": "_bank", "title": "_title", "updated": "_updated"}
+
+
+def catalog(docs: DataFrame, facts: DataFrame, query: str, banks: list[str] | None = None, product: str | None = None, min_confidence: float | None = None, has_facts: bool | None = None, page: int = 1, size: int = 20, sort: str = "relevance", descending: bool = True) -> DataFrame:
+    """A page of the catalogue: optional filters, relevance 4 for title, 2 for text, 1 for bank, plus confidence, with the total.
+
+    Sorted by one of SORTS in either direction, missing values last, then by doc_id from the largest; `updated` needs that column in docs.
+    """
+    if sort not in SORTS:
+        raise ValueError(f"sort is one of {', '.join(SORTS)}")
     like = lambda c: F.col(c).ilike(f"%{query}%")
     n = facts.groupBy("doc_id").agg(F.count("*").alias("n_facts"))
     keep: list[Column] = [like("title") | like("text") | like("bank")]
@@ -88,12 +97,14 @@ def catalog(docs: DataFrame, facts: DataFrame, query: str, banks: list[str] | No
     rows = docs
     for k in keep:
         rows = rows.filter(k)
-    rows = rows.select("doc_id", "bank", "product", "confidence", (F.when(like("title"), 4).otherwise(0) + F.when(like("text"), 2).otherwise(0) + F.when(like("bank"), 1).otherwise(0) + F.coalesce("confidence", F.lit(0.0))).alias("relevance"))
+    updated = F.col("updated") if "updated" in docs.columns else F.lit(None).cast("timestamp")
+    rows = rows.select("doc_id", "bank", "product", "confidence", F.lower("bank").alias("_bank"), F.lower("title").alias("_title"), updated.alias("_updated"), (F.when(like("title"), 4).otherwise(0) + F.when(like("text"), 2).otherwise(0) + F.when(like("bank"), 1).otherwise(0) + F.coalesce("confidence", F.lit(0.0))).alias("relevance"))
     rows = rows.join(n, "doc_id", "left").withColumn("n_facts", F.coalesce("n_facts", F.lit(0)))
     if has_facts is not None:
         rows = rows.filter((F.col("n_facts") > 0) == has_facts)
     total = rows.agg(F.count("*").alias("total"))
-    shown = rows.orderBy(F.col("relevance").desc_nulls_last(), F.desc("doc_id")).offset((page - 1) * size).limit(size)
+    key = F.col(SORTS[sort])
+    shown = rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), F.desc("doc_id")).drop("_bank", "_title", "_updated").offset((page - 1) * size).limit(size)
     return shown.crossJoin(F.broadcast(total))  # one row is broadcast
 
 

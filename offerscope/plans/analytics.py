@@ -94,6 +94,12 @@ def i11(spark, d):
     return op.catalog(A.docs(spark, d), A.facts(spark, d), "the", product="en", has_facts=True, page=2)
 
 
+@query("i11_catalog_by_title", f"""WITH {DOCS}, {FACTS}, n AS (SELECT doc_id, count(*) AS n_facts FROM facts GROUP BY doc_id), r AS (SELECT doc_id, bank, product, confidence, (title ILIKE '%a%')::INT * 4 + (text ILIKE '%a%')::INT * 2 + (bank ILIKE '%a%')::INT + coalesce(confidence, 0) AS relevance, coalesce(n_facts, 0) AS n_facts, lower(title) AS t
+FROM docs LEFT JOIN n USING (doc_id) WHERE (title ILIKE '%a%' OR text ILIKE '%a%' OR bank ILIKE '%a%')) SELECT * EXCLUDE (t), (SELECT count(*) FROM r) AS total FROM r ORDER BY t ASC NULLS LAST, doc_id DESC LIMIT 20""")
+def i11_title(spark, d):
+    return op.catalog(A.docs(spark, d), A.facts(spark, d), "a", sort="title", descending=False)
+
+
 @query("i12_document_detail", f"""WITH {FACTS}, x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, fact_type, lower(trim(fact_text)) ORDER BY n, value) AS rn FROM facts)
 SELECT d.doc_id, d.lang, x.fact_type, x.fact_text, x.n FROM documents d JOIN benchmark b ON d.doc_id = b.item_id LEFT JOIN (SELECT * FROM x WHERE rn = 1) x ON x.doc_id = d.doc_id""")
 def i12(spark, d):
