@@ -140,12 +140,22 @@ def recent_context(turns: DataFrame, n: int, budget: int, cap: int, key: str = "
 
 
 def validate_answers(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(query_id, issue, n): claims whose source is unknown, whose numbers aren't in the evidence, or that share too few words with it."""
-    rows = claims.join(evidence.select("query_id", "source_id", F.col("text").alias("e")), ["query_id", "source_id"], "left")
+    """(issue, n): claims whose source is unknown, that name another bank, cite several offers, whose numbers aren't in the evidence, or that share too few words with it.
+
+    Banks are compared where both tables have `bank` (null: none is named), offers where claims have `claim_id` (a row for each
+    source it cites) and the evidence `offer_id`.
+    """
+    banks, offers = {"bank"} <= set(claims.columns) & set(evidence.columns), "claim_id" in claims.columns and "offer_id" in evidence.columns
+    other = [F.col("bank").alias("e_bank")] * banks + [F.col("offer_id").alias("e_offer")] * offers
+    rows = claims.join(evidence.select("query_id", "source_id", F.col("text").alias("e"), *other), ["query_id", "source_id"], "left")
+    wrong_bank = F.coalesce(F.col("bank") != F.col("e_bank"), F.lit(False)) if banks else F.lit(False)
+    of = Window.partitionBy("query_id", "claim_id")
+    several = F.coalesce(F.min("e_offer").over(of) != F.max("e_offer").over(of), F.lit(False)) if offers else F.lit(False)
+    rows = rows.withColumn("wrong_bank", wrong_bank).withColumn("several", several)
     words = lambda c: F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(fold_text(c), "[^a-z0-9]+", " ")), " "), lambda w: F.length(w) >= 4))
     numbers = lambda c: F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))
     shared = F.size(F.array_intersect(words(F.col("claim")), words(F.col("e"))))
-    issue = F.when(F.col("e").isNull(), "unknown_source").when(F.size(F.array_except(numbers(F.col("claim")), numbers(F.col("e")))) > 0, "number").when(shared < F.greatest(F.lit(2), F.floor(F.size(words(F.col("claim"))) / 2)), "support").otherwise("none")
+    issue = F.when(F.col("e").isNull(), "unknown_source").when(F.col("wrong_bank"), "bank").when(F.col("several"), "several_offers").when(F.size(F.array_except(numbers(F.col("claim")), numbers(F.col("e")))) > 0, "number").when(shared < F.greatest(F.lit(2), F.floor(F.size(words(F.col("claim"))) / 2)), "support").otherwise("none")
     return rows.groupBy(issue.alias("issue")).agg(F.count("*").alias("n"))
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from offerscope.operators.questions import select_evidence
+from offerscope.operators.questions import select_evidence, validate_answers
 
 COLUMNS = "query_id long, place int, chunk_id long, bank string, product_match boolean, contradicts boolean, field_match boolean, confirmation int, intent string, asks_product boolean, asks_field boolean, asks_bank boolean, numeric boolean"
 
@@ -59,3 +59,13 @@ def test_equals_the_plain_choice(spark, strict):
         expected += [(q, i + 1, h["chunk_id"]) for i, h in enumerate(plain(hits, 4, strict))]
     got = [(r.query_id, r.place, r.chunk_id) for r in select_evidence(spark.createDataFrame(rows, COLUMNS), 4, strict).orderBy("query_id", "place").collect()]
     assert got == expected
+
+
+def test_answers_name_the_bank_and_one_offer(spark):
+    words = "monthly payment stays low"
+    claims = [(1, 1, "S1", words, "a"), (1, 2, "S1", words, "b"), (1, 3, "S1", words, None), (1, 3, "S2", words, None), (1, 4, "S9", words, "a"), (1, 5, "S1", words + " 7", None)]
+    evidence = [(1, "S1", words, "a", "o1"), (1, "S2", words, "a", "o2")]
+    c = spark.createDataFrame(claims, "query_id int, claim_id int, source_id string, claim string, bank string")
+    e = spark.createDataFrame(evidence, "query_id int, source_id string, text string, bank string, offer_id string")
+    assert {(r.issue, r.n) for r in validate_answers(c, e).collect()} == {("none", 1), ("bank", 1), ("several_offers", 2), ("unknown_source", 1), ("number", 1)}
+    assert {(r.issue, r.n) for r in validate_answers(c.drop("bank", "claim_id"), e).collect()} == {("none", 4), ("unknown_source", 1), ("number", 1)}
