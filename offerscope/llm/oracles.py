@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express.
 
-Not here: op3 and op6 (trained models), op4 (a tokenizer), op8 (guess costs) and the pipeline; tests
+Not here: op3, op6 and op13 (trained models), op4 (a tokenizer), op8 (guess costs) and the pipeline; tests
 hold these against brute force, exact round trips and held-out labels.
 """
 
@@ -82,6 +82,21 @@ WITH f AS (SELECT failed_bits & {_M} AS own FROM ({OP10})), r(rule, bit) AS (VAL
 SELECT rule, count(*) FILTER (own & bit <> 0) AS n_failed, count(*) FILTER (own = bit) AS n_only, count(*) FILTER (own & ~bit = 0) AS n_kept_without FROM r, f GROUP BY rule
 """
 
+_F = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + _F + "')"
+OP11 = rf"""
+WITH crc AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+d AS (SELECT doc_id, {_LOW} AS w FROM documents), b AS (SELECT {_LOW} AS w FROM benchmark),
+raw AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL), aim AS (SELECT x, count(*) AS c FROM (SELECT unnest(w) AS x FROM b) GROUP BY x),
+word AS (SELECT x, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda y: ('0x' || y)::BIGINT)), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8))) % 10000 AS k FROM (SELECT x FROM raw UNION SELECT x FROM aim), crc),
+s AS (SELECT k, sum(c)::BIGINT AS s FROM raw JOIN word USING (x) GROUP BY k), t AS (SELECT k, sum(c)::BIGINT AS t FROM aim JOIN word USING (x) GROUP BY k),
+gain AS (SELECT k, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM s), 0) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM range(10000) AS r(k) LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+own AS (SELECT doc_id, sum(c * gain)::BIGINT AS weight FROM raw JOIN word USING (x) JOIN gain USING (k) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN own USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (10 * (SELECT count(*) FROM ranked)) // 100 THEN r END AS rank, n_features AS n_words FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1,
     "op2_hash_tree_sharding": OP2,
@@ -89,5 +104,6 @@ ORACLES: dict[str, str] = {
     "op7_ngram_jaccard_join": OP7,
     "op9_benchmark_decontamination": OP9,
     "op10_quality_rules": OP10,
+    "op11_crc_resampling": OP11,
     "quality_rule_ablations": ABLATIONS,
 }

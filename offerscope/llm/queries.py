@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerscope.llm import decontaminate, hash_tree, jaccard_join, oracles, packing, quality_gbdt, quality_rules, secret_scan, substring_dedup, toxicity, warc
+from offerscope.llm import crc_resampling, decontaminate, hash_tree, jaccard_join, oracles, packing, quality_gbdt, quality_rules, secret_scan, substring_dedup, toxicity, warc
 from offerscope.llm.shared import table
 
 
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def op11_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crc_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each rule of the current policy: documents that fail it, that only it rejects, that stay without it."""
     return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_crc_resampling": op11_crc_resampling,
     "quality_rule_ablations": quality_rule_ablations,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
