@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerscope.llm import crc_resampling, decontaminate, hash_tree, jaccard_join, oracles, packing, quality_gbdt, quality_rules, secret_scan, substring_dedup, toxicity, warc
+from offerscope.llm import crc_resampling, decontaminate, hash_tree, jaccard_join, oracles, packing, periodic_runs, quality_gbdt, quality_rules, secret_scan, substring_dedup, toxicity, warc
 from offerscope.llm.shared import table
 
 
@@ -61,6 +61,10 @@ def op11_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.rewound(table(spark, sf_dir, "documents"))))
+
+
 def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each rule of the current policy: documents that fail it, that only it rejects, that stay without it."""
     return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
     "op11_crc_resampling": op11_crc_resampling,
+    "op12_recompression_runs": op12_recompression_runs,
     "quality_rule_ablations": quality_rule_ablations,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
