@@ -97,6 +97,23 @@ ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r F
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= (10 * (SELECT count(*) FROM ranked)) // 100 THEN r END AS rank, n_features AS n_words FROM scored LEFT JOIN ranked USING (doc_id)
 """
 
+# A run of period q holds a stretch of places whose three words equal those q later; stretches are islands of places of one q.
+OP12 = rf"""
+WITH crc AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda y: ('0x' || y)::BIGINT)), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8))) AS h FROM documents, crc),
+g AS (SELECT *, h // 10 AS g, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM h), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1])) ELSE w END AS w FROM p),
+gram AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 3], ' ') AS x FROM d, unnest(range(0, greatest(n - 2, 0))) AS u(i)),
+same AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM gram a JOIN gram b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + 2 + q AS m FROM island GROUP BY doc_id, q, k HAVING count(*) + 2 + q >= greatest(6, 4 * q)),
+run AS (SELECT doc_id, s, m, min(q) AS q FROM stretch GROUP BY ALL), gone AS (SELECT DISTINCT doc_id, i FROM run, unnest(range(s + q, s + m)) AS u(i)),
+word AS (SELECT doc_id, i, w[i + 1] AS x FROM d, unnest(range(0, n)) AS u(i)), kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+said AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS l, min((-m, s, q)) AS top FROM run GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top[2]::BIGINT AS start, -top[1]::BIGINT AS length, top[3]::BIGINT AS period, (-1000 * top[1]) // top[3] AS exponent_milli, sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM d LEFT JOIN said USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1,
     "op2_hash_tree_sharding": OP2,
@@ -105,5 +122,6 @@ ORACLES: dict[str, str] = {
     "op9_benchmark_decontamination": OP9,
     "op10_quality_rules": OP10,
     "op11_crc_resampling": OP11,
+    "op12_recompression_runs": OP12,
     "quality_rule_ablations": ABLATIONS,
 }
