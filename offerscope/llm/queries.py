@@ -1,4 +1,4 @@
-"""The registered queries op1_ to op10_, each over its whole table with production parameters."""
+"""The registered queries op1_ to op13_, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerscope.llm import crc_resampling, decontaminate, hash_tree, jaccard_join, oracles, packing, periodic_runs, quality_gbdt, quality_rules, secret_scan, substring_dedup, toxicity, warc
+from offerscope.llm import crc_resampling, decontaminate, hash_tree, jaccard_join, oracles, packing, periodic_runs, personal_data, quality_gbdt, quality_rules, secret_scan, substring_dedup, toxicity, warc
 from offerscope.llm.shared import table
 
 
@@ -65,6 +65,10 @@ def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.rewound(table(spark, sf_dir, "documents"))))
 
 
+def op13_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(personal_data.find_personal(table(spark, sf_dir, "documents")))
+
+
 def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each rule of the current policy: documents that fail it, that only it rejects, that stay without it."""
     return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_crc_resampling": op11_crc_resampling,
     "op12_recompression_runs": op12_recompression_runs,
+    "op13_pii_boosting": op13_pii_boosting,
     "quality_rule_ablations": quality_rule_ablations,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
