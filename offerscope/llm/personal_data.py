@@ -21,6 +21,7 @@ and without carriers no spans are added to the base ones.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -213,20 +214,16 @@ class Model:
     trees: Trees
     least: dict[str, float]
 
-    def margin(self, x: Column) -> Column:
-        """The sum of all trees as one expression."""
+    def margin(self, x: str) -> str:
+        """The sum of all trees as one SQL expression over an array of features."""
         t = self.trees
 
-        def node(i: int) -> Column:
+        def node(i: int) -> str:
             if t.left[i] == i:
-                return F.lit(float(t.value[i]))
-            return F.when(F.get(x, F.lit(int(t.feature[i]))) <= float(t.threshold[i]), node(t.left[i])).otherwise(node(t.right[i]))
+                return f"{float(t.value[i])!r}D"
+            return f"CASE WHEN get({x}, {t.feature[i]}) <= {float(t.threshold[i])!r}D THEN {node(t.left[i])} ELSE {node(t.right[i])} END"
 
-        total = F.lit(float(t.base))
-        for r in t.roots:
-            if t.left[r] != r or t.value[r]:
-                total = total + node(r)
-        return total
+        return " + ".join([f"{float(t.base)!r}D", *map(node, t.roots)])
 
 
 # What is planted. # is a random digit, ~ a random word (^ with a capital), ? a digit that makes the whole pass Luhn, ! one
@@ -264,10 +261,10 @@ def planted(docs: DataFrame) -> DataFrame:
     for n, (kind, form) in enumerate(TEMPLATES):
         digits = F.concat(*(F.lpad(F.pmod(hashed(n, k), F.lit(10**12)).cast("string"), 12, "0") for k in range(3)))
         parts, at, said = [], 0, 0
-        for ch in form:
-            if ch == "#":
-                parts.append(F.substring(digits, at + 1, 1))
-                at += 1
+        for ch in re.findall(r"#+|[~^]|[^#~^]+", form):
+            if ch[0] == "#":
+                parts.append(F.substring(digits, at + 1, len(ch)))
+                at += len(ch)
             elif ch in "~^":
                 word = F.lower(F.regexp_replace(F.get(F.col("w"), F.pmod(hashed(n, "w", said), F.size("w")).cast("int")), "[^A-Za-z]", ""))
                 word = F.coalesce(F.nullif(word, F.lit("")), F.lit("abel"))
@@ -327,7 +324,7 @@ def _added(model: Model) -> Column:
     if not model.least:
         return empty
     enough = lambda c: F.coalesce(*(F.when(c.kind == KINDS.index(k), c.margin >= least) for k, least in model.least.items()), F.lit(False))
-    mine = F.filter(F.transform("_c", lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), model.margin(c.x).alias("margin"), c.kind.alias("kind"))), enough)
+    mine = F.filter(F.expr(f"transform(_c, c -> struct(c.start AS start, c.`end` AS `end`, {model.margin('c.x')} AS margin, c.kind AS kind))"), enough)
     fixed = F.concat(*(F.transform(f"base_{k}", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(float("inf")).alias("margin"), F.lit(-1).alias("kind"))) for k in BASE_KINDS))
 
     def step(acc: Column, s: Column) -> Column:

@@ -75,7 +75,7 @@ def test_no_python_in_the_plan(docs, model):
 
 
 def test_margin_expression_is_the_ensemble(docs, model):
-    rows = personal_data.generated(personal_data.planted(docs)).select(F.explode(personal_data.candidates()).alias("c")).select(F.col("c.x").alias("x"), model.margin(F.col("c.x")).alias("m")).limit(500).collect()
+    rows = personal_data.generated(personal_data.planted(docs)).select(F.explode(personal_data.candidates()).alias("c")).select(F.col("c.x").alias("x"), F.expr(model.margin("c.x")).alias("m")).limit(500).collect()
     assert len(rows) == 500
     assert np.allclose(model.trees.margin(np.array([r.x for r in rows])), [r.m for r in rows])
 
