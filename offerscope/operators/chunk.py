@@ -87,7 +87,7 @@ def chunk_documents(docs: DataFrame, most: int = 220, overlap: int = 40, key: st
                         n += 1
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "section", "content", "n_words"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, CHUNKS)
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, CHUNKS.replace("doc_id long", f"doc_id {docs.schema[key].dataType.simpleString()}"))
 
 
 def char_windows(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text") -> DataFrame:

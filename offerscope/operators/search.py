@@ -24,7 +24,7 @@ def historical_search(
     keep = keep if until is None else keep & (F.col("day") <= until)
     eligible, n = chunks.filter(keep), min(max(12 * k, 60), 600)
     dense = R.cosine_topk(queries.select("query_id", "vector"), eligible.select("chunk_id", "vector"), n)
-    lexical = R.lexical_topk(queries.select("query_id", "terms"), postings.join(eligible.select("chunk_id"), "chunk_id", "left_semi"), n)
+    lexical = R.lexical_topk(queries.select("query_id", "terms"), postings, n, chunks=eligible)
     hits = R.rrf_fuse(dense, lexical, 1.0, 1.0).drop("place").join(eligible.select("chunk_id", "doc_id"), "chunk_id")
     return R.best_chunk_per_document(hits, k).select("query_id", "chunk_id", "doc_id", "rrf", "place")
 
@@ -45,7 +45,9 @@ def unified_search(routes: DataFrame, chunks: DataFrame, postings: DataFrame, k:
     every = F.transform("terms", lambda t: F.concat(F.lit("|"), t))
     each = F.flatten(F.transform(F.array_distinct("banks"), lambda b: F.transform("terms", lambda t: F.concat(b, F.lit("|"), t))))
     terms = routes.select("query_id", F.when(_named(), each).otherwise(every).alias("terms"))
-    stamped = postings.join(chunks.select("chunk_id", "bank"), "chunk_id").withColumn("term", F.explode(F.array(F.concat(F.lit("|"), F.col("term")), F.concat("bank", F.lit("|"), F.col("term"))))).filter("term is not null")
+    raw = routes.select(F.explode("terms").alias("term")).distinct()
+    few = postings.join(F.broadcast(raw) if raw.limit(R.TERMS + 1).count() <= R.TERMS else raw, "term", "left_semi")  # only postings of asked terms meet the chunks
+    stamped = few.join(chunks.select("chunk_id", "bank"), "chunk_id").withColumn("term", F.explode(F.array(F.concat(F.lit("|"), F.col("term")), F.concat("bank", F.lit("|"), F.col("term"))))).filter("term is not null")
     lexical = R.lexical_topk(terms, stamped.drop("bank"), n)
     fused = R.rrf_fuse(dense, lexical).drop("place")
     rows = fused.join(meta, "chunk_id").join(asked, "query_id")

@@ -249,13 +249,13 @@ def _asked(spark, d):
 
 
 def _lexical(spark, d, k=20):
-    return H.lexical_topk(_asked(spark, d), _postings(spark, d).withColumnRenamed("doc_id", "chunk_id"), k)
+    return H.lexical_topk(_asked(spark, d), _postings(spark, d).withColumnRenamed("doc_id", "chunk_id"), k, grouped=True)
 
 
 @query("h4_prefix_topk", f"""WITH {POSTINGS}, {_ASKED}, qt AS (SELECT query_id, unnest(terms) AS prefix, len(terms) AS n FROM asked), hit AS (SELECT query_id, doc_id AS chunk_id, {_SCORE.format(t='prefix')} FROM postings JOIN qt ON substr(term, 1, 3) = substr(prefix, 1, 3) AND starts_with(term, prefix) GROUP BY query_id, doc_id)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM hit QUALIFY place <= 20""")
 def h4(spark, d):
-    return H.prefix_topk(_asked(spark, d), _postings(spark, d).withColumnRenamed("doc_id", "chunk_id"), 20)
+    return H.prefix_topk(_asked(spark, d), _postings(spark, d).withColumnRenamed("doc_id", "chunk_id"), 20, grouped=True)
 
 
 @query("h5_lexical_topk", f"WITH {_LEX} SELECT * FROM lexical")

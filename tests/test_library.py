@@ -101,8 +101,6 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x", datetime.datetime(2024, 1, 1)), ("a", "x", datetime.datetime(2024, 1, 1, 1)), ("a", "y", datetime.datetime(2024, 1, 1, 2))], "record_key string, text string, ts timestamp")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = jobs.read_table_stream(spark, str(tmp_path / "in"), rows.schema)
-    jobs.intake_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert sorted((r.record_key, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "x"), ("a", "y")]
     q = jobs.review_counts_stream(stream.withColumnRenamed("text", "status")).writeStream.outputMode("complete").format("memory").queryName("review_counts").start()
     q.processAllAvailable()
     q.stop()
