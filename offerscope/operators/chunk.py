@@ -96,6 +96,45 @@ def char_windows(docs: DataFrame, size: int, overlap: int, key: str = "doc_id",
     return docs.filter(F.length(text) > 0).select(key, text, F.posexplode(starts).alias("chunk_index", "at")).select(key, "chunk_index", F.substring(F.col(text), F.col("at"), F.lit(size)).alias("chars"))
 
 
+#: Where a window may end, and the share of its length from which on.
+BREAKS, FROM = ("\n", ". ", "; "), 0.65
+_EDGES = " \t\n\x0b\f\r"
+
+
+def cuts(text: str, size: int, overlap: int) -> Iterator[str]:
+    """Windows of at most `size` characters, each ending at the last break after FROM of its length, if there is one.
+
+    The next window begins after the first space in the last `overlap` characters, so its place depends on the last one's break.
+    """
+    text, at = text.strip(_EDGES), 0
+    while at < len(text):
+        end, least = at + size, at + int(size * FROM)
+        if end >= len(text):
+            yield text[at:]
+            return
+        stop = max(text.rfind(b, least, end) for b in BREAKS)
+        end = stop + 1 if stop >= 0 else end
+        yield text[at:end]
+        after = max(end - overlap, at + 1)
+        space = text.find(" ", after, end + 1)
+        at = space + 1 if space >= 0 else after
+
+
+def text_windows(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, chunk_index, chars) of windows that end at sentences and lines; one pass over texts of any length. Blank windows don't count, nor null texts."""
+    if not 0 <= overlap < size:
+        raise ValueError("0 <= overlap < size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in enumerate(batch.column(1)):
+                found = [w for w in (c.strip(_EDGES) for c in cuts(t.as_py() or "", size, overlap)) if w]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(found)), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=[key, "chunk_index", "chars"])
+
+    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, chunk_index int, chars string")
+
+
 def token_windows(docs: DataFrame, most: int = 384, overlap: int = 64, header: int = 64, key: str = "doc_id", text: str = "text", title: str = "title") -> DataFrame:
     """Windows of words, each with the title's words (at most `header`) before it; native expressions only."""
     words = F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda w: w != "")

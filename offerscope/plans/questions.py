@@ -143,6 +143,6 @@ def st2(spark, d):
 
 @query("a5_html_to_text")
 def a5(spark, d):
-    from offerscope.sources.files import html_to_text
+    from offerscope.sources.html import html_to_text
 
     return html_to_text(A.table(spark, d, "pages"))

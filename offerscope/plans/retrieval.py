@@ -31,6 +31,21 @@ def e5(spark, d):
     return C.char_windows(A.table(spark, d, "documents"), 1000, 100)
 
 
+# A window's end: the last break in its last 35 %, else its full length; the next begins after the first space of the overlap.
+_LAST = "CASE WHEN instr(reverse(tail), {r}) > 0 THEN length(tail) - instr(reverse(tail), {r}) - {n} ELSE -1 END"
+_BREAK = f"""greatest({_LAST.format(r='chr(10)', n=0)}, {_LAST.format(r="' .'", n=1)}, {_LAST.format(r="' ;'", n=1)})"""
+_CUT = f"SELECT *, CASE WHEN b0 + 1000 >= length(t) THEN length(t) WHEN brk >= 0 THEN b0 + 651 + brk ELSE b0 + 1000 END AS b1 FROM (SELECT *, {_BREAK} AS brk FROM (SELECT *, substr(t, b0 + 651, 350) AS tail FROM w))"
+_EDGE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("e5_text_windows", f"""WITH RECURSIVE d AS (SELECT doc_id, trim(text, {_EDGE}) AS t FROM documents), w(doc_id, t, i, b0) AS (SELECT doc_id, t, 1, 0::BIGINT FROM d WHERE length(t) > 0
+UNION ALL SELECT doc_id, t, i + 1, CASE WHEN instr(lead_, ' ') > 0 THEN nxt + instr(lead_, ' ') ELSE nxt END FROM (SELECT *, substr(t, nxt + 1, b1 + 1 - nxt) AS lead_ FROM (SELECT *, greatest(b1 - 150, b0 + 1) AS nxt FROM ({_CUT}))) WHERE b1 < length(t)),
+c AS (SELECT doc_id, i, trim(substr(t, b0 + 1, b1 - b0), {_EDGE}) AS chars FROM ({_CUT}) WHERE b0 < length(t))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, chars FROM c WHERE length(chars) > 0""")
+def e5_text(spark, d):
+    return C.text_windows(A.table(spark, d, "documents"), 1000, 150)
+
+
 @query("e6_token_windows", f"""WITH w AS (SELECT doc_id, {WORDS.format(c='text')} AS w, list_slice({WORDS.format(c="split_part(text, chr(10), 1)")}, 1, 64) AS h FROM documents), r AS (SELECT *, greatest(384 - len(h), 65) AS room FROM w WHERE len(w) > 0)
 SELECT doc_id, i::INT AS chunk_index, array_to_string(list_concat(h, list_slice(w, 1 + i * (room - 64), i * (room - 64) + room)), ' ') AS content, len(list_slice(w, 1 + i * (room - 64), i * (room - 64) + room))::INT AS n_body
 FROM r, unnest(range(0, (greatest(len(w) - 64, 1) - 1) // (room - 64) + 1)) AS u(i)""")

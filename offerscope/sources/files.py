@@ -1,10 +1,7 @@
-"""Sources and sinks: page corpora, labelled passages, review sheets, keyed replacement, text of HTML."""
+"""Sources and sinks: page corpora, labelled passages, review sheets, keyed replacement."""
 
-from collections.abc import Iterator
 from functools import reduce
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,43 +68,3 @@ def write_review_csv(rows: DataFrame, path: str, confidence: str, key: str, answ
 def write_versioned(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
     """Replaces the buckets of the rows' keys: idempotent, other buckets stay."""
     rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-class _Text(HTMLParser):
-    SKIP, BLOCK = {"script", "style", "nav", "footer", "header", "aside"}, {"p", "div", "li", "br", "h1", "h2", "h3", "tr", "article", "section"}
-
-    def __init__(self):
-        super().__init__()
-        self.title, self.parts, self.depth, self.in_title = "", [], 0, False
-
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.SKIP
-        self.in_title |= tag == "title"
-        if tag in self.BLOCK:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        self.depth = max(0, self.depth - (tag in self.SKIP))
-        self.in_title &= tag != "title"
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.depth:
-            self.parts.append(data)
-
-
-def html_to_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, title, text) of pages without scripts, styles and navigation; a parser for each page, so one Arrow pass."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for source in batch["html"]:
-                p = _Text()
-                p.feed(source or "")
-                lines = (" ".join(x.split()) for x in "".join(p.parts).split("\n"))
-                out.append((" ".join(p.title.split()), "\n".join(x for x in lines if x)))
-            yield pd.DataFrame({"key": batch["key"], "title": [t for t, _ in out], "text": [t for _, t in out]})
-
-    return pages.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html")).mapInPandas(run, "key long, title string, text string").withColumnRenamed("key", key)

@@ -22,21 +22,18 @@ def read_table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def session_state_stream(turns: DataFrame, slots: list[str], change: str, limit: int, key: str = "conv_id", ttl_seconds: int = 30 * 86400) -> DataFrame:
+def session_state_stream(turns: DataFrame, slots: list[str], change: str, limit: int, key: str = "conv_id") -> DataFrame:
     """(key, turn, version, the slots, summary) after each turn of the sessions, as questions.fold_session has it for a table.
 
     turns has key, turn (long), text, the slots (strings) and `change`. A stated slot replaces, a missing one is inherited until the topic
     changes. The summary has a line for each turn; the oldest lines go beyond `limit` characters, and of one line that is too long its end
-    stays. A turn that isn't newer than the session's last one is a repeat and is left out. State: the slots and the summary; it goes when
-    no turn has come for the time to live.
+    stays. A turn that isn't newer than the session's last one is a repeat and is left out. State: the slots and the summary,
+    which stay; operators/sessions.py has the stream whose sessions end.
     """
     fields = ", ".join(f"`{s}` string" for s in slots)
     state = f"version long, turn long, {fields}, summary string"
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], stored: GroupState) -> Iterator[pd.DataFrame]:
-        if stored.hasTimedOut:
-            stored.remove()
-            return
         version, last, *values, summary = stored.get if stored.exists else (0, None, *(None for _ in slots), "")
         out = []
         for r in pd.concat(list(batches)).sort_values("turn").to_dict("records"):
@@ -52,8 +49,7 @@ def session_state_stream(turns: DataFrame, slots: list[str], change: str, limit:
             summary = "\n".join(lines)[-limit:]
             out.append((k[0], last, version, *values, summary))
         stored.update((version, last, *values, summary))
-        stored.setTimeoutDuration(ttl_seconds * 1000)
         yield pd.DataFrame(out, columns=[key, "turn", "version", *slots, "summary"])
 
     rows = turns.select(F.col(key).cast("string").alias(key), F.col("turn").cast("long").alias("turn"), "text", *slots, F.coalesce(change, F.lit(False)).alias(change))
-    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` string, turn long, version long, {fields}, summary string", state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` string, turn long, version long, {fields}, summary string", state, "append", GroupStateTimeout.NoTimeout)

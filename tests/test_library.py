@@ -14,7 +14,7 @@ from offerscope.functions import text as X
 from offerscope.operators import chunk, curate, embed, evaluate, facts, questions, review, typed_rules
 from offerscope.plans import QUERIES
 from offerscope.plans.facts import RULES as FACT_RULES
-from offerscope.sources import files
+from offerscope.sources import files, html
 from offerscope.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -94,7 +94,7 @@ def test_sources_and_sinks(spark, tmp_path):
     files.write_review_csv(sheet, str(tmp_path / "s"), "c", "k", ["ONAY"])
     assert {r.k for r in files.read_review_csv(spark, str(tmp_path / "s"), "ONAY").collect()} == {"1", "2", "3"}
     page = spark.createDataFrame([(1, "<title>T</title><nav>menu</nav><p>one</p><script>x()</script><p>two"), (2, None)], "page_id long, html string")
-    assert sorted(map(tuple, files.html_to_text(page).collect())) == [(1, "T", "one\ntwo"), (2, "", "")]
+    assert sorted(map(tuple, html.html_to_text(page).collect())) == [(1, "T", "one\ntwo"), (2, "", "")]
 
 
 def test_streams(spark, tmp_path):
