@@ -56,6 +56,53 @@ def bank_highlights(docs: DataFrame, facts: DataFrame) -> DataFrame:
     return own.crossJoin(F.broadcast(top)).select("bank", "n_facts", "top_value", "top_text", (F.col("n_facts") == F.col("f")).alias("most_facts"), (F.col("top_value") == F.col("v")).alias("largest"))  # one row is broadcast
 
 
+#: Ways to sort a comparison of banks.
+MODES = ("coverage", "bank", "confidence", "maturity", "amount")
+
+
+def stated_number(text: Column) -> Column:
+    """The first number of a fact's text, 0 without one: dots group, a comma is decimal."""
+    found = F.coalesce(F.nullif(F.regexp_extract(text, r"(\d[\d.]*?(?:,\d+)?)(?=\s|TL|tl|₺|%|$)", 1), F.lit("")), F.regexp_extract(text, r"\d[\d.]*(?:,\d+)?", 0))
+    return F.coalesce(F.replace(F.replace(found, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
+
+
+def stated_months(text: Column) -> Column:
+    """As stated_number, years as twelve months."""
+    return stated_number(text) * F.when(F.lower(text).rlike("yıl|yil"), 12).otherwise(1)
+
+
+def compare_banks(docs: DataFrame, facts: DataFrame, maturity: tuple[str, ...] = ("VADE_SURESI",), amount: tuple[str, ...] = ("FINANSMAN_TUTARI",)) -> DataFrame:
+    """One row for each bank: n_facts (distinct types and texts), its best confidence, longest maturity in months and largest amount with their texts.
+
+    docs: doc_id, bank, confidence; facts: doc_id, fact_type, fact_text. Banks without facts have zeros; null confidence counts as 0. Of equal values the least text counts.
+    """
+    own = facts.join(docs.select("doc_id", "bank"), "doc_id").groupBy("bank", "fact_type", "fact_text").agg(F.lit(1).alias("one"))
+    best = lambda types, value: F.min(F.when(F.col("fact_type").isin(*types), F.struct((-value).alias("less"), F.col("fact_text").alias("text"))))
+    found = own.groupBy("bank").agg(F.count("*").alias("n_facts"), best(maturity, stated_months(F.col("fact_text"))).alias("m"), best(amount, stated_number(F.col("fact_text"))).alias("a"))
+    rows = docs.groupBy("bank").agg(F.coalesce(F.max("confidence"), F.lit(0.0)).alias("confidence")).join(found, "bank", "left")
+    zero = lambda c: F.coalesce(-F.col(c), F.lit(0.0))
+    return rows.select("bank", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), "confidence", zero("m.less").alias("months"), F.col("m.text").alias("months_text"), zero("a.less").alias("amount"), F.col("a.text").alias("amount_text"))
+
+
+def sort_comparison(banks: DataFrame, mode: str) -> DataFrame:
+    """Adds the place of each bank: names in Turkish order, or the largest first with equal ones in Turkish order."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    column = {"coverage": "n_facts", "confidence": "confidence", "maturity": "months", "amount": "amount"}.get(mode)
+    name = [F.collate(F.col("bank"), "tr"), F.col("bank")]
+    order = [F.desc(column), *name] if column else name
+    return banks.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # one row for each bank
+
+
+def comparison_highlights(banks: DataFrame) -> DataFrame:
+    """(highlight, bank, value): the bank with most facts, with the longest maturity and with the largest amount; none where all are zero."""
+    rows = []
+    for name, column, value in (("coverage", "n_facts", F.col("n_facts").cast("string")), ("maturity", "months", F.col("months_text")), ("amount", "amount", F.col("amount_text"))):
+        top = banks.filter(F.col(column) > 0) if name != "coverage" else banks
+        rows.append(top.select(F.lit(name).alias("highlight"), "bank", value.alias("value"), F.col(column).alias("n")).orderBy(F.desc("n"), F.collate(F.col("bank"), "tr"), "bank").limit(1).drop("n"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def period_change(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Banks whose set of attributes changed, appeared or went between two periods, with the difference in facts."""
 

@@ -70,6 +70,37 @@ def i8(spark, d):
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cover"), F.col("top").desc_nulls_last(), "bank")))  # one row for each bank
 
 
+# Banks with Turkish names, and facts that state months, years and amounts, from the given order lines.
+_NAMES = ("Işık Bankası", "İlk Katılım", "Şeker Finans", "Sağlam Katılım", "Çınar Bank", "Zirve", "Öz Katılım", "Ufuk", "Ilgaz", "İzmir Bank")
+_STATED = f"""d AS (SELECT s_suppkey AS doc_id, list_extract([{', '.join(f"'{n}'" for n in _NAMES)}], s_suppkey % 10 + 1) AS bank, CASE WHEN s_suppkey % 4 > 0 THEN round(s_acctbal / 10000, 4) END AS confidence FROM supplier),
+f AS (SELECT l_suppkey AS doc_id, CASE l_returnflag WHEN 'A' THEN 'VADE_SURESI' WHEN 'R' THEN 'FINANSMAN_TUTARI' ELSE 'DIGER' END AS fact_type, CASE WHEN l_returnflag = 'A' AND l_linenumber = 1 THEN l_partkey % 9 || ' yıl' WHEN l_returnflag = 'A' THEN l_quantity::INT || ' ay' WHEN l_returnflag = 'R' THEN l_partkey || '.000,5 TL' ELSE 'kosul ' || l_linenumber END AS fact_text FROM lineitem),
+u AS (SELECT DISTINCT bank, fact_type, fact_text, replace(replace(regexp_extract(fact_text, '[0-9][0-9.]*(,[0-9]+)?'), '.', ''), ',', '.')::DOUBLE * CASE WHEN fact_text LIKE '%yıl%' THEN 12 ELSE 1 END AS v FROM f JOIN d USING (doc_id)),
+b AS (SELECT bank, max(n) AS n_facts, max(confidence) AS confidence, max(m) AS months, max(mt) AS months_text, max(a) AS amount, max(at_) AS amount_text FROM (SELECT bank, 0 AS n, coalesce(max(confidence), 0) AS confidence, 0.0::DOUBLE AS m, NULL AS mt, 0.0::DOUBLE AS a, NULL AS at_ FROM d GROUP BY bank
+  UNION ALL SELECT bank, count(*), 0, coalesce(max(v) FILTER (fact_type = 'VADE_SURESI'), 0), min_by(fact_text, (-v, fact_text)) FILTER (fact_type = 'VADE_SURESI'), coalesce(max(v) FILTER (fact_type = 'FINANSMAN_TUTARI'), 0), min_by(fact_text, (-v, fact_text)) FILTER (fact_type = 'FINANSMAN_TUTARI') FROM u GROUP BY bank) GROUP BY bank)"""
+
+
+def _compared(spark, d):
+    s, l = A.table(spark, d, "supplier"), A.table(spark, d, "lineitem")  # noqa: E741
+    docs = s.select(F.col("s_suppkey").alias("doc_id"), F.get(F.array(*map(F.lit, _NAMES)), (F.col("s_suppkey") % 10).cast("int")).alias("bank"), F.when(F.col("s_suppkey") % 4 > 0, F.round(F.col("s_acctbal") / 10000, 4)).alias("confidence"))
+    flag, n = F.col("l_returnflag"), F.col("l_linenumber")
+    text = F.when((flag == "A") & (n == 1), F.concat((F.col("l_partkey") % 9).cast("string"), F.lit(" yıl"))).when(flag == "A", F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" ay"))).when(flag == "R", F.concat(F.col("l_partkey").cast("string"), F.lit(".000,5 TL"))).otherwise(F.concat(F.lit("kosul "), n.cast("string")))
+    facts = l.select(F.col("l_suppkey").alias("doc_id"), F.when(flag == "A", "VADE_SURESI").when(flag == "R", "FINANSMAN_TUTARI").otherwise("DIGER").alias("fact_type"), text.alias("fact_text"))
+    return op.compare_banks(docs, facts)
+
+
+@query("i8_sort_modes", f"""WITH {_STATED} SELECT 'coverage' AS mode, bank, row_number() OVER (ORDER BY n_facts DESC, bank COLLATE tr)::INT AS place FROM b UNION ALL SELECT 'bank', bank, row_number() OVER (ORDER BY bank COLLATE tr) FROM b UNION ALL SELECT 'confidence', bank, row_number() OVER (ORDER BY confidence DESC, bank COLLATE tr) FROM b
+UNION ALL SELECT 'maturity', bank, row_number() OVER (ORDER BY months DESC, bank COLLATE tr) FROM b UNION ALL SELECT 'amount', bank, row_number() OVER (ORDER BY amount DESC, bank COLLATE tr) FROM b""")
+def i8_modes(spark, d):
+    banks = _compared(spark, d)
+    out = [op.sort_comparison(banks, m).select(F.lit(m).alias("mode"), "bank", "place") for m in op.MODES]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+@query("i7_comparison_highlights", f"""WITH {_STATED} (SELECT 'coverage' AS highlight, bank, n_facts::VARCHAR AS value FROM b ORDER BY n_facts DESC, bank COLLATE tr LIMIT 1) UNION ALL (SELECT 'maturity', bank, months_text FROM b WHERE months > 0 ORDER BY months DESC, bank COLLATE tr LIMIT 1) UNION ALL (SELECT 'amount', bank, amount_text FROM b WHERE amount > 0 ORDER BY amount DESC, bank COLLATE tr LIMIT 1)""")
+def i7_highlights(spark, d):
+    return op.comparison_highlights(_compared(spark, d))
+
+
 _PERIOD = f"""{DOCS}, {FACTS}, b AS (SELECT bank, fact_type, fact_text, doc_id FROM docs JOIN facts USING (doc_id)),
 now AS (SELECT bank, array_to_string(list_sort(list(DISTINCT fact_type || '=' || fact_text)), '|') AS s, count(*) AS n FROM b WHERE doc_id % 2 = 0 GROUP BY bank),
 old AS (SELECT bank, array_to_string(list_sort(list(DISTINCT fact_type || '=' || fact_text)), '|') AS s, count(*) AS n FROM b WHERE doc_id % 2 = 1 GROUP BY bank)"""

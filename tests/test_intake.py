@@ -63,7 +63,7 @@ def test_updates_not_allowed_and_new_version(spark, tmp_path):
     assert [r.reason for r in again.table("reviews").collect()] == ["existing_document_changed"]
 
 
-@pytest.mark.parametrize("table", ["documents", "facts"])
+@pytest.mark.parametrize("table", ["facts"])
 def test_killed_and_repeated_batches(spark, tmp_path, monkeypatch, table):
     plain = Intake(spark, str(tmp_path / "plain"), "v1", buckets=3)
     torn = Intake(spark, str(tmp_path / "torn"), "v1", buckets=3)
