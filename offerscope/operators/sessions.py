@@ -30,6 +30,7 @@ from pyspark.sql.types import Row
 from offerscope.functions.text import fold_text
 from offerscope.operators.entities import Vocabulary, standard, with_entities
 from offerscope.operators.questions import extract_period
+from offerscope.operators.standalone import standalone
 
 # Wordings in folded text, by what they mean.
 ORDINALS = {"birincisi": 1, "ilki": 1, "ilk teklif": 1, "ikincisi": 2, "ikinci teklif": 2, "ucuncusu": 3, "ucuncunun": 3, "ucuncu teklif": 3}
@@ -76,7 +77,7 @@ def read_turns(turns: DataFrame, vocabulary: Vocabulary | None = None, text: str
     period = extract_period(F.col(text))
     year = F.regexp_extract(t, r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1).try_cast("int")
     day = F.col(asked_on).cast("date") if asked_on in turns.columns else F.lit(None).cast("date")
-    return known.withColumns({"ordinal": ordinal, "year": year, "since": period["since"], "until": period["until"], "says": heard, "day": day})
+    return known.withColumns({"ordinal": ordinal, "year": year, "since": period["since"], "until": period["until"], "says": heard, "day": day, "folded": t})
 
 
 @dataclass
@@ -120,6 +121,7 @@ class Route:
     offer_ids: list[str] = field(default_factory=list)
     inherited: list[str] = field(default_factory=list)
     asks_back: str | None = None
+    standalone: str = ""
 
 
 def _distinct(values) -> list[str]:
@@ -134,6 +136,7 @@ class Turn:
         self.banks, self.products, self.fields = ([*(row[k] or ())] for k in ("banks", "products", "fields"))
         self.ordinal, self.named_year, self.since, self.until = row["ordinal"], row["year"], row["since"], row["until"]
         self.says = says.__contains__
+        self.folded = row["folded"]
         dated = bool(self.since or self.until)
         if dated and self.says("campaign") and "campaign_date" not in self.fields:
             self.fields.append("campaign_date")
@@ -191,7 +194,14 @@ def _meant(t: Turn, s: State) -> list[Offer]:
 
 
 def resolve(t: Turn, s: State) -> Route:
-    """The route of a turn in a state."""
+    """The route of a turn in a state, with the question in full; small talk and turns that need a question back keep their own words."""
+    r = _resolved(t, s)
+    own = r.intent in ("chat", "clarification")
+    r.standalone = t.folded if own else standalone(t.folded, r.banks, r.products, r.fields, r.scope, r.year, r.since, r.until)
+    return r
+
+
+def _resolved(t: Turn, s: State) -> Route:
     if t.small_talk(s):
         return Route("chat", "chat")
     follows = t.follows or (s.asked and t.sets_period)
@@ -293,9 +303,9 @@ def _step(row: dict, s: State) -> tuple[Route, State]:
     return r, after(s, r, offers, row["verified"] is True)
 
 
-ROUTE = "transition string, intent string, banks array<string>, products array<string>, fields array<string>, scope string, year int, since date, until date, offer_ids array<string>, inherited array<string>, asks_back string"
+ROUTE = "transition string, intent string, banks array<string>, products array<string>, fields array<string>, scope string, year int, since date, until date, offer_ids array<string>, inherited array<string>, asks_back string, standalone string"
 OFFERS = "array<struct<offer_id:string,bank:string,products:array<string>,rank:int>>"
-_READ = ("banks", "products", "fields", "ordinal", "year", "since", "until", "says", "day")
+_READ = ("banks", "products", "fields", "ordinal", "year", "since", "until", "says", "day", "folded")
 
 
 def _read(turns: DataFrame, key: str, order: str, vocabulary: Vocabulary | None, *more: str) -> DataFrame:
