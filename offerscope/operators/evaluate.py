@@ -61,6 +61,24 @@ def relabel_audit(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", status.alias("status"), F.coalesce("manual", "rule").alias("final"))
 
 
+def relabel_summary(rows: DataFrame) -> DataFrame:
+    """(part, key, n) over rows (doc_id, split, label, rule, manual): all rows, by status, corrected labels as "old -> new", rows kept of each
+    split (those not in review), kept labels of each split as "split/label", and rows whose label changed. One pass; a row gives at most six counts. Null labels are written as null.
+    """
+    status = F.when(F.col("manual").isNotNull(), "MANUAL").when(F.col("rule").isNull(), "REVIEW").when(F.col("rule") == F.col("label"), "ACCEPT").otherwise("CORRECT")
+    final = F.when(status == "REVIEW", F.col("label")).otherwise(F.coalesce("manual", "rule"))
+    said = lambda c: F.coalesce(c, F.lit("null"))
+    part = lambda name, key, when=None: F.struct(F.lit(name).alias("part"), key.alias("key")) if when is None else F.when(when, F.struct(F.lit(name).alias("part"), key.alias("key")))
+    kept = F.col("status") != "REVIEW"
+    counts = F.array_compact(
+        F.array(
+            part("total", F.lit("")), part("status", F.col("status")), part("change", F.concat(said(F.col("label")), F.lit(" -> "), said(F.col("final"))), F.col("status") == "CORRECT"), part("split", said(F.col("split")), kept),
+            part("class", F.concat(said(F.col("split")), F.lit("/"), said(F.col("final"))), kept), part("changed", F.lit(""), ~F.col("label").eqNullSafe(F.col("final"))),
+        )
+    )
+    return rows.select("split", "label", status.alias("status"), final.alias("final")).select(F.explode(counts).alias("c")).groupBy("c.part", "c.key").agg(F.count("*").alias("n"))
+
+
 def augment_rare(rows: DataFrame, target: int, window: int = 140, stride: int = 70, rounds: int = 8) -> DataFrame:
     """Word windows of documents of classes with fewer than `target` rows, by round and id, as many as are missing."""
     n = rows.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") < target)

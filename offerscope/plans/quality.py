@@ -159,6 +159,16 @@ def k9(spark, d):
     return K.relabel_audit(rows).groupBy("status", "final").agg(F.count("*").alias("n"))
 
 
+@query("k9_relabel_summary", """WITH a AS (SELECT ['train', 'validation', 'test'][doc_id % 3 + 1] AS split, lang AS label, CASE WHEN doc_id % 11 = 0 THEN 'MANUAL' WHEN NOT regexp_matches(text, '\\bthe\\b') THEN 'REVIEW' WHEN lang = 'en' THEN 'ACCEPT' ELSE 'CORRECT' END AS status,
+CASE WHEN doc_id % 11 = 0 THEN 'checked' WHEN regexp_matches(text, '\\bthe\\b') THEN 'en' ELSE lang END AS final FROM documents)
+SELECT 'total' AS part, '' AS key, count(*) AS n FROM a UNION ALL SELECT 'status', status, count(*) FROM a GROUP BY status UNION ALL SELECT 'change', label || ' -> ' || final, count(*) FROM a WHERE status = 'CORRECT' GROUP BY label, final
+UNION ALL SELECT 'split', split, count(*) FROM a WHERE status <> 'REVIEW' GROUP BY split UNION ALL SELECT 'class', split || '/' || final, count(*) FROM a WHERE status <> 'REVIEW' GROUP BY split, final UNION ALL SELECT 'changed', '', count(*) FROM a WHERE label <> final HAVING count(*) > 0""")
+def k9_summary(spark, d):
+    split = F.get(F.array(*map(F.lit, ("train", "validation", "test"))), (F.col("doc_id") % 3).cast("int"))
+    rows = A.table(spark, d, "documents").select("doc_id", split.alias("split"), F.col("lang").alias("label"), F.when(F.col("text").rlike(r"\bthe\b"), "en").alias("rule"), F.when(F.col("doc_id") % 11 == 0, "checked").alias("manual"))
+    return K.relabel_summary(rows)
+
+
 @query("k10_augment_rare", """WITH r AS (SELECT doc_id, lang || '/' || source AS label, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM documents), n AS (SELECT label, count(*) AS n FROM r GROUP BY 1 HAVING count(*) < 60),
 m AS (SELECT doc_id, label, n, i::INT AS round, array_to_string(list_slice(w, i * 70 + 1, i * 70 + 140), ' ') AS text FROM r JOIN n USING (label), unnest(range(0, 8)) AS u(i) WHERE len(w) > i * 70)
 SELECT doc_id, label, round, text FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY round, doc_id) <= 60 - n""")
