@@ -58,6 +58,6 @@ def standalone(folded: str, banks: list[str], products: list[str], fields: list[
     operation = next((w for w in OPERATIONS if w in folded), None)
     if operation and fields:
         count = _COUNT.search(folded)
-        parts += [count.group(1)] * bool(count) + [operation]
+        parts += [count.group(1), operation] if count else [operation]
     days = " - ".join(d.isoformat() for d in (since, until) if d) if year is None else ""
     return " ".join(parts) + " nedir" + (f" ({days})?" if days else "?")

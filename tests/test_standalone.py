@@ -21,6 +21,7 @@ D = datetime.date
         ("1.5.2026 - 30 haziran 2026 kampanyalari", ([], ["KART_KAMPANYASI"], [], "current", None, D(2026, 5, 1), D(2026, 6, 30)), "guncel kart kampanyasi nedir (2026-05-01 - 2026-06-30)?"),
         ("120 ay vadeli 2 m2", ([], [], ["maturity"], "current", None, None, None), "guncel vadeli 120 ay 2 m2 vade suresi nedir?"),
         ("onceki cevapta 120 ay dedin", ([], [], ["maturity"], "current", None, None, None), "guncel vade suresi nedir?"),
+        ("konut oranlari listele", ([], ["KONUT_FINANSMANI"], ["rate"], "current", None, None, None), "guncel konut finansmani orani listele nedir?"),
         ("goster", (["X"], ["NEW_KIND"], ["other"], "current", None, None, D(2026, 1, 1)), "X guncel new kind nedir (2026-01-01)?"),
     ],
 )
