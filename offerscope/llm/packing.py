@@ -16,9 +16,11 @@ buffer, and the token ids never leave the task. Sequence numbers hold the partit
 the upper bits, so they are unique and a task that is run again gives the same rows.
 
 A document's ids are those of the tokenizer for its whole text, then an end id. Texts are cut
-into words with the space before them, which the tokenizer's own pre-tokenizer does too, and the
-ids of words are remembered, so a word is tokenised once (for byte-level BPE files with the usual
-pre-tokenizer; texts that hold a special token's string go to the tokenizer whole).
+into words with the white space before them, which the tokenizer's own pre-tokenizer does too; the
+different words of a slice of texts are encoded once each, and the ids of its texts are gathered
+from these, without a Python object for each word. That holds for byte-level BPE files with the usual
+pre-tokenizer; texts with other white space than single spaces and line ends between words are
+encoded whole, and those that hold a special token's string go to the tokenizer itself.
 All ids but a document's first bear loss, as nothing precedes that one.
 
 Defined results: null or empty text is the end id alone; a null doc_id is kept; repeated rows
@@ -29,33 +31,30 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
-import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerscope.llm.words import lean
+from offerscope.llm.words import buffers, lean, ranges
 from tokenizers import Tokenizer
 
 #: Loss-bearing tokens and segments of a sequence of documents.
 LOSS, SEGMENTS = 2046, 12
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-#: Words whose ids a worker remembers: twice so many.
-REMEMBERED = 80_000
+#: Texts are encoded in slices of about this many bytes.
+SLICE_BYTES = 1 << 22
 #: Fixed value: the usual pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WHITE = "\t-\r \x85\xa0  -     　"
-#: Where one of these is in a text, chunks are cut by the pattern; else a cut at each space and line end gives the same.
-_HARD = ("\0", "  ", " \n", "\n ", "\n\n", *(chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+#: Texts without this are cut before each space and line end: these stand alone, between other characters.
+_UNCUT = r"[\x00\x09\x0B-\x0D\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z"
 
 
 @dataclass(frozen=True)
@@ -68,38 +67,78 @@ class Limits:
     waiting: int = 64
 
 
-class Words(dict):
-    """Ids (little-endian unsigned 32-bit) of chunks; holds the chunks of the last two fillings.
+class Encoder:
+    """Ids of texts.
 
-    New chunks are encoded with the merge ranks in the tokenizer's file where these are a plain
-    byte-level BPE whose ids follow the order of merges (the same ids, in less time), else by the
-    tokenizer itself.
+    They are encoded with the merge ranks in the tokenizer's file where these are a plain byte-level BPE whose
+    ids follow the order of merges (the same ids, in less time), else by the tokenizer itself.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        self.path, self.old, self._tokenizer = path, {}, None
+        self.path, self.tokenizer = path, None  # the tokenizer is loaded only if asked for
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.special = [t["content"] for t in file["added_tokens"]]
         ranks = _merge_ranks(file)
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else self.whole  # the tokenizer is loaded only if asked for
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        if ranks:
+            self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+            self.sizes[list(ranks.values())] = [len(b) for b in ranks]
 
-    def whole(self, text: str) -> list[int]:
+    def whole(self, text: str) -> np.ndarray:
         """The tokenizer's own ids."""
-        self._tokenizer = self._tokenizer or Tokenizer.from_file(self.path)
-        return self._tokenizer.encode(text, add_special_tokens=False).ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.old.get(chunk)
-        if out is None:
-            out = array("I", self.encode(chunk)).tobytes()
-        if len(chunk) <= 100:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = out
-        return out
+        self.tokenizer = self.tokenizer or Tokenizer.from_file(self.path)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def one(self, text: str) -> np.ndarray:
+        """Ids of any text."""
+        if self.fast and not any(t in text for t in self.special):
+            try:
+                return self.fast.encode_to_numpy(text)
+            except ValueError:  # its pattern gives up on runs of a million characters
+                pass
+        return self.whole(text)
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.fast:
+            return [self.whole(t) for t in texts.to_pylist()]
+        cut = pc.invert(pc.match_substring_regex(texts, _UNCUT))
+        for t in self.special:
+            cut = pc.and_(cut, pc.invert(pc.match_substring(texts, t)))
+        rest = iter(texts.filter(pc.invert(cut)).to_pylist())
+        own = iter(self._by_words(texts.filter(cut)))
+        return [next(own) if c else self.one(next(rest)) for c in cut.to_pylist()]
+
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts that can be cut before each space and line end.
+
+        A line end, one id of its own, is put before each text, so that its first word is a chunk like all others. The
+        different chunks, one after the other, are such a text again; where a chunk ends is known from the bytes of its ids.
+        """
+        if not len(texts):
+            return []
+        line, none = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        lists = pc.split_pattern(pc.binary_join_element_wise(line, marked, none), "\0")
+        chunks = lists.flatten().dictionary_encode()
+        stops = np.cumsum(pc.binary_length(chunks.dictionary).to_numpy(zero_copy_only=False))
+        try:
+            ids = self.fast.encode_to_numpy(str(memoryview(chunks.dictionary.buffers()[2])[: stops[-1]], "utf-8"))
+        except ValueError:
+            return [self.one(t) for t in texts.to_pylist()]
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), stops) + 1
+        starts = np.append(0, ends[:-1])
+        at = chunks.indices.to_numpy()
+        first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        lengths, begin = (ends - starts)[at], starts[at]
+        begin[first] += 1
+        lengths[first] -= 1
+        stop = np.cumsum(lengths)
+        place = np.repeat(begin - stop + lengths, lengths)
+        place += np.arange(len(place))
+        return np.split(ids[place], (stop - lengths)[first[1:]])
 
 
 def _merge_ranks(file: dict) -> dict[bytes, int] | None:
@@ -118,18 +157,18 @@ def _merge_ranks(file: dict) -> dict[bytes, int] | None:
         return None
 
 
-_KNOWN: dict[str, Words] = {}
+_KNOWN: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _KNOWN:
+        _KNOWN[path] = Encoder(path)
+    return _KNOWN[path]
 
 
 def token_bytes(path: str, text: str) -> bytes:
     """The tokenizer's ids of a text as little-endian unsigned 32-bit bytes."""
-    if path not in _KNOWN:
-        _KNOWN[path] = Words(path)
-    words = _KNOWN[path]
-    if any(t in text for t in words.special):
-        return np.array(words.whole(text), "<u4").tobytes()
-    chunks = _CHUNK.findall(text) if any(x in text for x in _HARD) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-    return b"".join(map(words.__getitem__, chunks))
+    return encoder(path)(pa.array([text], pa.large_string()))[0].tobytes()
 
 
 def document_loss(start: int, tokens: int) -> int:
@@ -145,29 +184,28 @@ def pack(pieces: Iterator[tuple], limits: Limits, loss_of: Callable[[int, int],
     waiting: list[tuple] = []
 
     def fill() -> list[tuple]:
-        size, loss = np.array([p[:2] for p in waiting], np.int64).T
+        size, loss = np.array([p[0] for p in waiting]), np.array([p[1] for p in waiting])
         there = np.ones(len(waiting), bool)
-        room = np.array([limits.tokens, limits.segments, limits.loss])
+        tokens, segments, bearing = limits.tokens, limits.segments, limits.loss  # what is left
         out, offset, rest = [], 0, None
-        while room[0] and room[1]:
-            fits = np.flatnonzero(there & (size <= room[0]) & (loss <= room[2]))
+        while tokens and segments:
+            fits = (there & (size <= tokens) & (loss <= bearing)).nonzero()[0]
             if len(fits):
-                gain = size[fits] * (room[0] / limits.tokens**2) + room[1] / limits.segments**2 + loss[fits] * (room[2] / limits.loss**2)
-                at = int(fits[np.argmax(gain)])
+                gain = size[fits] * (tokens / limits.tokens**2) + segments / limits.segments**2 + loss[fits] * (bearing / limits.loss**2)
+                at = int(fits[gain.argmax()])
                 piece = waiting[at]
-                there[at] = False
-            elif loss_of and there.any() and room[2]:
-                at = int(np.argmax(np.where(there, size, -1)))
-                tokens, _, key, start = waiting[at]
-                own = min(tokens, int(room[0]), int(room[2]))
+            elif loss_of and bearing and there.any():
+                at = int(np.where(there, size, -1).argmax())
+                whole, _, key, start = waiting[at]
+                own = min(whole, tokens, bearing)
                 piece = (own, loss_of(start, own), key, start)
-                rest = (tokens - own, loss_of(start + own, tokens - own), key, start + own)
-                there[at] = False
+                rest = (whole - own, loss_of(start + own, whole - own), key, start + own)
             else:
                 break
+            there[at] = False
             out.append((piece, offset))
             offset += piece[0]
-            room -= (piece[0], 1, piece[1])
+            tokens, segments, bearing = tokens - piece[0], segments - 1, bearing - piece[1]
             if rest:  # a piece is cut only where nothing fits, so the sequence ends here
                 break
         waiting[:] = [p for p, t in zip(waiting, there.tolist(), strict=True) if t] + ([rest] if rest else [])
@@ -194,15 +232,16 @@ def _packer(path: str, end_id: int, limits: Limits) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, tuple] = {}  # key -> doc_id, ids, tokens that wait
         end = np.array([end_id], "<u4").tobytes()
+        encode = encoder(path)
         key = 0
         ready: list[tuple] = []
 
         def pieces():
             nonlocal key
             for batch in batches:
-                for lo in range(0, len(batch), 100):
-                    for doc, text in zip(batch.column(0).slice(lo, 100).to_pylist(), batch.column(1).slice(lo, 100).to_pylist(), strict=True):
-                        ids = token_bytes(path, text or "") + end
+                for lo, hi in ranges(buffers(batch.column(1))[1], SLICE_BYTES):
+                    for doc, own in zip(batch.column(0)[lo:hi].to_pylist(), encode(batch.column(1)[lo:hi]), strict=True):
+                        ids = own.tobytes() + end
                         n = len(ids) // 4
                         texts[key] = [doc, ids, n]
                         start = 0

@@ -6,10 +6,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+import tiktoken
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from offerscope.llm.packing import Limits, pack, pack_documents, token_bytes
+from offerscope.llm import packing
+from offerscope.llm.packing import Limits, encoder, pack, pack_documents, token_bytes
 
 PATH = P.path("byte_bpe_50k.json")
 REAL = Tokenizer.from_file(PATH)
@@ -34,6 +38,53 @@ def test_every_code_point_gives_the_ids_of_the_library():
         assert np.frombuffer(token_bytes(PATH, text), "<u4").tolist() == real.ids
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_texts_of_a_slice_give_the_ids_of_each(kind):
+    rng = random.Random(2)
+    plain = ["a", "b'", "é", "1", "🙂", "'s", "ſK", ",", "\x1c", "​", "the", " ", " ", "\n"]
+    odd = [*plain, "  ", "\n\n", " \n", "\t", "\0", "\u3000", "\x85", "<|endoftext|>"]
+    for _ in range(200):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choices(rng.choice([plain, odd]), k=rng.randint(0, 9))) for _ in range(rng.randint(1, 30))]
+        lo = rng.randrange(len(texts))
+        own = encoder(PATH)(pa.array(texts, kind)[lo:])
+        assert [x.tolist() for x in own] == [REAL.encode(t or "", add_special_tokens=False).ids for t in texts[lo:]], texts[lo:]
+    assert encoder(PATH)(pa.array([], kind)) == []
+
+
+def test_different_words_of_a_slice_are_encoded_in_one_call(monkeypatch):
+    given = []
+    for name in ("encode_ordinary", "encode_to_numpy"):
+        real = getattr(tiktoken.Encoding, name)
+        monkeypatch.setattr(tiktoken.Encoding, name, lambda self, text, *a, real=real, **k: given.append(len(text)) or real(self, text, *a, **k))
+    monkeypatch.setattr(packing, "_KNOWN", {})
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    words = [f"w{i}x" for i in range(20_000)]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)] * 4
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    rows = pa.Table.from_batches(packing._packer(PATH, 1, Limits())(iter([batch]))).to_pylist()
+    assert len(given) == 1 and sum(given) <= sum(len(w) + 1 for w in words) + len(texts) * 8
+    for doc, text in enumerate(texts[:40]):
+        own = np.array(ids(text), "<u4")
+        for r in rows:
+            if r["doc_id"] == doc:
+                assert r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(own)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "x", "-"])
+def test_runs_of_over_a_million_characters(run):
+    text = "a" + run * 1_100_000 + "b"
+    assert np.frombuffer(token_bytes(PATH, text), "<u4").tolist() == REAL.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_go_to_the_library_with_whole_texts(tmp_path):
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "other.json"))
+    texts = ["b c\nd", None, "", " e  f"]
+    own = encoder(str(tmp_path / "other.json"))(pa.array(texts))
+    assert [x.tolist() for x in own] == [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_the_limits_of_documents_bind(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     seqs = defaultdict(list)
