@@ -49,8 +49,8 @@ from tokenizers import Tokenizer
 #: Loss-bearing tokens and segments of a sequence of documents.
 LOSS, SEGMENTS = 2046, 12
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-#: Texts are encoded in slices of about this many bytes.
-SLICE_BYTES = 1 << 22
+#: Texts are encoded in slices of about this many bytes; a slice's temporaries are many times as large.
+SLICE_BYTES = 1 << 20
 #: Fixed value: the usual pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts without this are cut before each space and line end: these stand alone, between other characters.

@@ -34,6 +34,13 @@ def clear_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession) -> str:
+    """From now on the session's Python workers get batches of at most BATCH rows, as texts are long; gives the setting before."""
+    usual = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(min(BATCH, int(usual)) if int(usual) > 0 else BATCH))
+    return usual
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder.
 
@@ -41,8 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    usual = spark.conf.get(_BATCH_ROWS)
-    spark.conf.set(_BATCH_ROWS, str(min(BATCH, int(usual)) if int(usual) > 0 else BATCH))
+    usual = small_batches(spark)
     try:
         df.write.parquet(path)
     finally:

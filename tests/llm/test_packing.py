@@ -51,6 +51,25 @@ def test_texts_of_a_slice_give_the_ids_of_each(kind):
     assert encoder(PATH)(pa.array([], kind)) == []
 
 
+def test_a_task_encodes_a_bounded_slice_at_a_time(monkeypatch):
+    sizes = []
+
+    def encode(texts):
+        sizes.append(sum(map(len, texts.to_pylist())))
+        return [np.full(len(t), 7, "<u4") for t in texts.to_pylist()]
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 0)  # noqa: N815
+
+    monkeypatch.setattr(packing, "encoder", lambda path: encode)
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "text": ["ten chars " * 1000] * 500})
+    out = pa.Table.from_batches(packing._packer(PATH, 1, Limits())(iter([batch])))
+    assert max(sizes) <= 1 << 20 and sum(sizes) == 5_000_000
+    assert sum(out.column("length").to_pylist()) == 500 * 10_001
+
+
 def test_different_words_of_a_slice_are_encoded_in_one_call(monkeypatch):
     given = []
     for name in ("encode_ordinary", "encode_to_numpy"):

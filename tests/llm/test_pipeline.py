@@ -7,6 +7,7 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -28,6 +29,21 @@ def stages(spark):
     return out
 
 
+@pytest.mark.parametrize(("usual", "most"), [("10000", 1000), ("0", 1000), ("70", 70)])
+def test_stages_get_texts_in_small_batches(spark, usual, most):
+    docs = spark.createDataFrame([(i, "a word", None, None, None) for i in range(2500)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for _, stage in corpus_pipeline.STAGES[::3]:  # those that do no work before their result is written
+            spark.conf.set(setting, usual)
+            stage(spark, docs, SF)
+            sizes = docs.select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long").collect()
+            assert max(r.n for r in sizes) == most
+    finally:
+        spark.conf.set(setting, before)
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()))
 
