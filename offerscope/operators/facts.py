@@ -9,7 +9,7 @@ from offerscope.functions.text import fold_text, parse_number
 def segments(docs: DataFrame, least: int = 12, most: int = 420, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, at, segment): sentences and lines of a document, trimmed, of fitting length, without folded repeats."""
     marked = F.regexp_replace(F.col(text), "([.!?;]) ", "$1\n")
-    rows = docs.select(key, F.posexplode(F.transform(F.split(marked, "\n"), F.trim)).alias("at", "segment")).filter(F.length("segment").between(least, most))
+    rows = docs.select(key, F.posexplode(F.transform(F.split(marked, "\n"), lambda s: F.trim(s))).alias("at", "segment")).filter(F.length("segment").between(least, most))
     first = rows.withColumn("folded", fold_text("segment")).groupBy(key, "folded").agg(F.min(F.struct("at", "segment")).alias("s"))
     return first.select(key, "s.at", "s.segment")
 
