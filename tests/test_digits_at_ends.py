@@ -8,7 +8,7 @@ import pytest
 from offerscope.plans import ORACLES, QUERIES
 
 TEXTS = ["0997523947200283 | chlich | one.\n1683436113538828 Ndly. +1 (504) 555-0292\n In 1999 it was licensed under mit 3", "Reouti anatha. 19.37.233.111", "Twelve letters!! 10112131415!! 10112131415 token!! 20213 2013!! 4040404044"]
-CASES = ["f1_segments", "e7_attach_facts", "f11_cap_facts", "f20_evidence_window", "f25_validate_claimed_facts", "fact_rules"]
+CASES = ["f1_segments", "e7_attach_facts", "f11_cap_facts", "f20_evidence_window", "f25_validate_claimed_facts", "fact_rules", "fact_rules_with_evidence"]
 
 
 @pytest.fixture(scope="module")
