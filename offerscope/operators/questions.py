@@ -140,7 +140,7 @@ def recent_context(turns: DataFrame, n: int, budget: int, cap: int, key: str = "
 
 
 def validate_answers(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(issue, n): claims whose source is unknown, that name another bank, cite several offers, whose numbers aren't in the evidence, or that share too few words with it.
+    """(issue, n): claims whose source is unknown, that name another bank, cite several offers, whose numbers aren't in the evidence, or that share too few words with it (two and half of theirs at least, all if they have fewer).
 
     Banks are compared where both tables have `bank` (null: none is named), offers where claims have `claim_id` (a row for each
     source it cites) and the evidence `offer_id`.
@@ -154,8 +154,9 @@ def validate_answers(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     rows = rows.withColumn("wrong_bank", wrong_bank).withColumn("several", several)
     words = lambda c: F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(fold_text(c), "[^a-z0-9]+", " ")), " "), lambda w: F.length(w) >= 4))
     numbers = lambda c: F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))
-    shared = F.size(F.array_intersect(words(F.col("claim")), words(F.col("e"))))
-    issue = F.when(F.col("e").isNull(), "unknown_source").when(F.col("wrong_bank"), "bank").when(F.col("several"), "several_offers").when(F.size(F.array_except(numbers(F.col("claim")), numbers(F.col("e")))) > 0, "number").when(shared < F.greatest(F.lit(2), F.floor(F.size(words(F.col("claim"))) / 2)), "support").otherwise("none")
+    shared, own = F.size(F.array_intersect(words(F.col("claim")), words(F.col("e")))), F.size(words(F.col("claim")))
+    needed = F.least(own, F.greatest(F.lit(2), F.floor(own / 2)))
+    issue = F.when(F.col("e").isNull(), "unknown_source").when(F.col("wrong_bank"), "bank").when(F.col("several"), "several_offers").when(F.size(F.array_except(numbers(F.col("claim")), numbers(F.col("e")))) > 0, "number").when(shared < needed, "support").otherwise("none")
     return rows.groupBy(issue.alias("issue")).agg(F.count("*").alias("n"))
 
 

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
 
 from offerscope.operators.questions import select_evidence, validate_answers
+from offerscope.plans import ORACLES, QUERIES
 
 COLUMNS = "query_id long, place int, chunk_id long, bank string, product_match boolean, contradicts boolean, field_match boolean, confirmation int, intent string, asks_product boolean, asks_field boolean, asks_bank boolean, numeric boolean"
 
@@ -69,3 +71,19 @@ def test_answers_name_the_bank_and_one_offer(spark):
     e = spark.createDataFrame(evidence, "query_id int, source_id string, text string, bank string, offer_id string")
     assert {(r.issue, r.n) for r in validate_answers(c, e).collect()} == {("none", 1), ("bank", 1), ("several_offers", 2), ("unknown_source", 1), ("number", 1)}
     assert {(r.issue, r.n) for r in validate_answers(c.drop("bank", "claim_id"), e).collect()} == {("none", 4), ("unknown_source", 1), ("number", 1)}
+
+
+def test_claims_of_one_word_or_none_need_no_second(spark):
+    claims = [(1, "S1", "thonnt of thonnt"), (2, "S1", "of the"), (3, "S1", "elsewhere"), (4, "S1", "thonnt elsewhere")]
+    c = spark.createDataFrame(claims, "query_id int, source_id string, claim string")
+    e = spark.createDataFrame([(i, "S1", "thonnt of thonnt") for i in range(1, 5)], "query_id int, source_id string, text string")
+    assert {(r.issue, r.n) for r in validate_answers(c, e).collect()} == {("none", 2), ("support", 2)}
+
+
+def test_answers_equal_sql_on_texts_of_one_word_and_other_line_ends(spark, tmp_path):
+    texts = ["thonnt thonnt thonnt", "abcdefghijklmnopqrst", "monthly\rpayment stays", "monthly\npayment stays", "monthly\x85payment\u2028stayslow", None]
+    spark.createDataFrame([(i + 3 * k, t) for k, t in enumerate(texts) for i in (100, 300)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = set(con.execute(ORACLES["l11_validate_answers"]).fetchall())
+    assert len(expected) == 2 and {(r.issue, r.n) for r in QUERIES["l11_validate_answers"](spark, str(tmp_path)).collect()} == expected
