@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from offerscope.functions.text import content_digest
 
@@ -111,26 +115,51 @@ def overlap_audit(archive: DataFrame, live: DataFrame) -> DataFrame:
     return marked.groupBy("bank").agg(F.count("*").alias("rows"), F.countDistinct("digest").alias("unique_texts"), F.count("live").alias("live_texts"))
 
 
+def _banded(bands: int, width: int, seed: int = 5, most: int = 1 << 20) -> Callable:
+    """Rows (u, own), of which those with shingles stay, with the hashes of their bands: `width` minima each, of some `most` shingles at a time."""
+    rng = np.random.default_rng(seed)
+    mask, odd = (rng.integers(0, 1 << 63, bands * width, np.uint64) for _ in range(2))
+    odd = odd << np.uint64(1) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(1)), 0))
+            if not batch.num_rows:
+                continue
+            own = batch.column(1)
+            hashes, ends = own.flatten().to_numpy().view(np.uint64), np.cumsum(own.value_lengths().to_numpy().astype(np.int64))
+            starts = np.concatenate([[0], ends[:-1]])
+            out = np.zeros((batch.num_rows, bands), np.uint64)
+            at = 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, starts[at] + most, "right")))
+                part, first = hashes[starts[at] : ends[to - 1]], starts[at:to] - starts[at]
+                for i in range(bands * width):
+                    least = np.minimum.reduceat((part ^ mask[i]) * odd[i], first)
+                    out[at:to, i // width] = (out[at:to, i // width] ^ least) * odd[i // width] + least
+                at = to
+            lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, bands, dtype=np.int32), pa.array(out.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "bands"])
+
+    return run
+
+
 def near_dup_clusters(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", bands: int = 10, width: int = 4) -> DataFrame:
     """(key, cluster): near-identical pages by MinHash over word 5-shingles, clustered by least labels.
 
     Pages with equal text are one item. A band is `width` minima together, so boilerplate alone gives no candidates. In each
-    band's bucket a page is compared with the bucket's least page, exactly on the shingle vectors, so a bucket gives as many pairs as it
+    band's bucket a page is compared with the bucket's least page, exactly on the shingles' hashes, so a bucket gives as many pairs as it
     has pages. Approximate: a pair of similarity s meets in a band with chance 1 - (1 - s^width)^bands (0.995 at
     0.8 with 10 bands of 4). The label rounds stop when nothing changes.
     """
-    from pyspark.ml.feature import HashingTF, MinHashLSH, NGram, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.feature import NGram, RegexTokenizer
 
     items = docs.filter(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("digest")).agg(F.min(key).alias("u"))
     texts = docs.join(items, docs[key] == items["u"]).select("u", F.coalesce(text, F.lit("")).alias(text))
     grams = NGram(n=5, inputCol="words", outputCol="grams").transform(RegexTokenizer(inputCol=text, outputCol="words", pattern="\\s+").transform(texts))
-    vectors = HashingTF(inputCol="grams", outputCol="vector", binary=True, numFeatures=1 << 20).transform(grams.filter(F.size("grams") > 0)).select("u", "grams", "vector")
-    model = MinHashLSH(inputCol="vector", outputCol="hashes", numHashTables=bands * width, seed=5).fit(vectors)
-    least = F.transform("hashes", lambda h: vector_to_array(h)[0])
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(least, i * width + 1, width)).alias("h")))
-    hashed = model.transform(vectors).select("u", F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g))).alias("own"), band.alias("bands")).checkpoint()
-    rows = hashed.select("u", F.explode("bands").alias("b")).select("u", "b.i", "b.h")
+    owned = grams.select("u", F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g))).alias("own"))
+    hashed = owned.mapInArrow(_banded(bands, width), StructType([*owned.schema, StructField("bands", ArrayType(LongType()))])).checkpoint()
+    rows = hashed.select("u", F.posexplode("bands").alias("i", "h"))
     heads = rows.groupBy("i", "h").agg(F.min("u").alias("head"), F.max("u").alias("last")).filter("head < last").drop("last")
     pairs = rows.join(heads, ["i", "h"]).filter("u <> head").select("u", F.col("head").alias("v")).distinct()
     own = hashed.select("u", "own")

@@ -66,6 +66,24 @@ def test_near_dup_clusters_find_near_copies_and_leave_boilerplate_apart(spark):
     assert len({got[i] for i in range(12)}) <= 2 and len({got[100 + i] for i in range(30)}) == 30
 
 
+def test_bands_are_made_once_in_slices_and_equal_sets_share_them(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(-(1 << 63), (1 << 63) - 1, n).tolist() for n in (5, 1, 300, 40)]
+    near = sets[2][:295] + rng.integers(0, 1 << 62, 5).tolist()
+    sets += [[], sets[2][::-1], near]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{i}" for i in range(len(sets))]), pa.array(sets, pa.list_(pa.int64()))], names=["u", "own"])
+    whole, parts = (pa.Table.from_batches(curate._banded(10, 4, most=n)(iter([batch.slice(0, 3), batch.slice(3)]))).to_pydict() for n in (1 << 20, 64))
+    assert whole == parts and whole["u"] == ["p0", "p1", "p2", "p3", "p5", "p6"]
+    got = dict(zip(whole["u"], whole["bands"]))
+    assert all(len(b) == 10 for b in got.values()) and got["p2"] == got["p5"]
+    same = lambda a, b: sum(x == y for x, y in zip(got[a], got[b]))
+    assert same("p2", "p6") >= 5 and same("p2", "p3") == same("p0", "p1") == 0
+    docs = spark.createDataFrame([("a", "one two three four five six"), ("b", "one two three four five six"), ("c", "one two"), ("d", ""), ("e", None), ("f", "ONE two three\tfour five  six")], "doc_id string, text string")
+    assert {r.doc_id: r.cluster for r in curate.near_dup_clusters(docs).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "a"}
+
+
 def test_date_mode_and_bounds(spark):
     from pyspark.sql import functions as F
 
