@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from offerscope.functions.text import content_digest
 
@@ -115,8 +115,12 @@ def overlap_audit(archive: DataFrame, live: DataFrame) -> DataFrame:
     return marked.groupBy("bank").agg(F.count("*").alias("rows"), F.countDistinct("digest").alias("unique_texts"), F.count("live").alias("live_texts"))
 
 
+#: Pages of candidate pairs whose ids are broadcast, if there are no more than so many; beyond that texts are joined on the id.
+CANDIDATE_IDS = 1_000_000
+
+
 def _banded(bands: int, width: int, seed: int = 5, most: int = 1 << 20) -> Callable:
-    """Rows (u, own), of which those with shingles stay, with the hashes of their bands: `width` minima each, of some `most` shingles at a time."""
+    """Rows (u, own), of which those with shingles stay, as (u, n, bands): the number of shingles and the bands' hashes, `width` minima each, of some `most` shingles at a time."""
     rng = np.random.default_rng(seed)
     mask, odd = (rng.integers(0, 1 << 63, bands * width, np.uint64) for _ in range(2))
     odd = odd << np.uint64(1) | np.uint64(1)
@@ -127,7 +131,8 @@ def _banded(bands: int, width: int, seed: int = 5, most: int = 1 << 20) -> Calla
             if not batch.num_rows:
                 continue
             own = batch.column(1)
-            hashes, ends = own.flatten().to_numpy().view(np.uint64), np.cumsum(own.value_lengths().to_numpy().astype(np.int64))
+            hashes, n = own.flatten().to_numpy().view(np.uint64), own.value_lengths()
+            ends = np.cumsum(n.to_numpy().astype(np.int64))
             starts = np.concatenate([[0], ends[:-1]])
             out = np.zeros((batch.num_rows, bands), np.uint64)
             at = 0
@@ -139,7 +144,7 @@ def _banded(bands: int, width: int, seed: int = 5, most: int = 1 << 20) -> Calla
                     out[at:to, i // width] = (out[at:to, i // width] ^ least) * odd[i // width] + least
                 at = to
             lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, bands, dtype=np.int32), pa.array(out.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, lists], names=["u", "n", "bands"])
 
     return run
 
@@ -154,15 +159,20 @@ def near_dup_clusters(docs: DataFrame, similarity: float = 0.8, key: str = "doc_
     """
     from pyspark.ml.feature import NGram, RegexTokenizer
 
+    def sets(texts: DataFrame) -> DataFrame:
+        words = RegexTokenizer(inputCol=text, outputCol="words", pattern="\\s+").transform(texts)
+        return NGram(n=5, inputCol="words", outputCol="grams").transform(words).select("u", F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g))).alias("own"))
+
     items = docs.filter(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("digest")).agg(F.min(key).alias("u"))
-    texts = docs.join(items, docs[key] == items["u"]).select("u", F.coalesce(text, F.lit("")).alias(text))
-    grams = NGram(n=5, inputCol="words", outputCol="grams").transform(RegexTokenizer(inputCol=text, outputCol="words", pattern="\\s+").transform(texts))
-    owned = grams.select("u", F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g))).alias("own"))
-    hashed = owned.mapInArrow(_banded(bands, width), StructType([*owned.schema, StructField("bands", ArrayType(LongType()))])).checkpoint()
-    rows = hashed.select("u", F.posexplode("bands").alias("i", "h"))
-    heads = rows.groupBy("i", "h").agg(F.min("u").alias("head"), F.max("u").alias("last")).filter("head < last").drop("last")
-    pairs = rows.join(heads, ["i", "h"]).filter("u <> head").select("u", F.col("head").alias("v")).distinct()
-    own = hashed.select("u", "own")
+    owned = sets(docs.join(items, docs[key] == items["u"]).select("u", F.coalesce(text, F.lit("")).alias(text)))
+    hashed = owned.mapInArrow(_banded(bands, width), StructType([owned.schema["u"], StructField("n", IntegerType()), StructField("bands", ArrayType(LongType()))])).checkpoint()
+    rows = hashed.select("u", "n", F.posexplode("bands").alias("i", "h"))
+    heads = rows.groupBy("i", "h").agg(F.min(F.struct("u", "n")).alias("head"), F.max("u").alias("last")).filter("head.u < last").select("i", "h", F.col("head.u").alias("v"), F.col("head.n").alias("m"))
+    pairs = rows.join(heads, ["i", "h"]).filter(F.col("u") != F.col("v")).filter(F.least("n", "m") >= similarity * F.greatest("n", "m")).select("u", "v").distinct().checkpoint()
+    # only pages of a pair are read again, so neither all texts nor all shingles are written
+    asked = pairs.select("u").union(pairs.select("v")).distinct()
+    asked = F.broadcast(asked) if asked.limit(CANDIDATE_IDS + 1).count() <= CANDIDATE_IDS else asked
+    own = sets(docs.join(asked, docs[key] == asked["u"]).select("u", text)).checkpoint()
     both = pairs.join(own, "u").join(own.select(F.col("u").alias("v"), F.col("own").alias("other")), "v")
     shared = F.size(F.array_intersect("own", "other"))
     labels = least_labels(both.filter(shared >= similarity * (F.size("own") + F.size("other") - shared)).select("u", "v"))

@@ -75,7 +75,7 @@ def test_bands_are_made_once_in_slices_and_equal_sets_share_them(spark):
     sets += [[], sets[2][::-1], near]
     batch = pa.RecordBatch.from_arrays([pa.array([f"p{i}" for i in range(len(sets))]), pa.array(sets, pa.list_(pa.int64()))], names=["u", "own"])
     whole, parts = (pa.Table.from_batches(curate._banded(10, 4, most=n)(iter([batch.slice(0, 3), batch.slice(3)]))).to_pydict() for n in (1 << 20, 64))
-    assert whole == parts and whole["u"] == ["p0", "p1", "p2", "p3", "p5", "p6"]
+    assert whole == parts and whole["u"] == ["p0", "p1", "p2", "p3", "p5", "p6"] and whole["n"] == [5, 1, 300, 40, 300, 300]
     got = dict(zip(whole["u"], whole["bands"]))
     assert all(len(b) == 10 for b in got.values()) and got["p2"] == got["p5"]
     same = lambda a, b: sum(x == y for x, y in zip(got[a], got[b]))
